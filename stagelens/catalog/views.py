@@ -51,7 +51,7 @@ select concat('app-', cast(cast(floor(user_id * 2 / 15.0) as bigint) as string))
             when 'purchase' then 'BlockManager_memory_memUsed_MB'
             when 'error' then 'BlockManager_disk_diskSpaceUsed_MB'
             else 'ExecutorMetrics_ProcessTreePythonRSSMemory' end as metric_name,
-       case when event_type = 'view' then value * 1000000 else value end as raw_value
+       case when event_type = 'view' then value * 4000000 else value end as raw_value
 from events
 """
 
@@ -69,7 +69,7 @@ PLAN_NODES = {
 # a stage listed by a later job again
 SKIPPED_STAGE, RELISTED_BY = 3, 6
 
-EXECUTOR_KB = 550000
+EXECUTOR_KB = 250000
 
 
 def _view(spark: SparkSession, sf: str, table: str, sql: str) -> DataFrame:
