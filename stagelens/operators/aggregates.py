@@ -66,10 +66,19 @@ def salted_agg(
         values = df.groupBy(*keys, salt.alias("_salt"), col).agg(F.lit(1).alias("_seen"))
         partial = values.groupBy(*keys, "_salt").agg(F.count(col).alias(name))
         counted = partial.groupBy(*keys).agg(F.sum(name).alias(name))
-        out = counted if out is None else out.join(counted, list(keys))
+        out = counted if out is None else _join_groups(out, counted, keys)
     return out
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two results per group side by side; null is a group like any other."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def high_card_agg(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Average and maximum per (nearly unique) group."""
     return df.groupBy(*keys).agg(

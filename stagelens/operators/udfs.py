@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.udf("string")
+@F.udf(StringType())
 def mark_text(value):
     """Row-at-a-time Python function of one column."""
     return f"{value}X"
@@ -18,7 +19,7 @@ def mark_text_builtin(value: Column) -> Column:
     return F.concat(F.coalesce(value.cast("string"), F.lit("None")), F.lit("X"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pair_text(ids: pd.Series, amounts: pd.Series) -> pd.Series:
     """Arrow-batched Python function of two columns."""
     return ("ID:" + ids.astype(str) + "_AMT:" + amounts.astype(str)).str.repeat(10)

@@ -295,7 +295,8 @@ def build_telemetry(
     ``as_of`` unfinished applications are kept and end at that time.
     """
     found = ld.read_apps(spark, landing, layout) if app_documents is None else app_documents
-    found = first_attempt(found)
+    # an application may be listed by several responses
+    found = first_attempt(found).dropDuplicates(["id"])
     if as_of is None:
         apps = _applications(completed_only(found), F.lit(None).cast("timestamp_ntz"))
     else:
