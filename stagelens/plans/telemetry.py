@@ -465,27 +465,49 @@ def _log_job_map(events: DataFrame) -> DataFrame:
     )
 
 
+def _executor_readings(events: DataFrame) -> DataFrame:
+    """``app_id, executor_id, at`` (epoch ms) and ``m``, the reported executor metrics.
+
+    Tasks report at their end; a stage's peaks per executor count at its
+    completion. A reading without any heap in use was never taken.
+    """
+    tasks = el.events_of(events, "task_end").select(
+        "app_id",
+        F.col("`Task Info`.`Executor ID`").alias("executor_id"),
+        F.col("`Task Info`.`Finish Time`").alias("at"),
+        F.col("`Task Executor Metrics`").alias("m"),
+    )
+    done = el.events_of(events, "stage_completed").select(
+        "app_id",
+        F.col("`Stage Info`.`Stage ID`").alias("stage_id"),
+        F.coalesce("`Stage Info`.`Stage Attempt ID`", F.lit(0)).alias("attempt_id"),
+        F.col("`Stage Info`.`Completion Time`").alias("at"),
+    )
+    stages = el.events_of(events, "stage_metrics").select(
+        "app_id",
+        F.col("`Stage ID`").alias("stage_id"),
+        F.coalesce("`Stage Attempt ID`", F.lit(0)).alias("attempt_id"),
+        F.col("`Executor ID`").alias("executor_id"),
+        F.col("`Executor Metrics`").alias("m"),
+    )
+    peaks = stages.join(done, ["app_id", "stage_id", "attempt_id"]).select(
+        "app_id", "executor_id", "at", "m"
+    )
+    return tasks.unionByName(peaks).filter(F.col("m.JVMHeapMemory") > 0)
+
+
 def _log_metrics(events: DataFrame) -> DataFrame:
-    """Executor metrics reported with finished tasks: the last value per second."""
-    m = F.col("`Task Executor Metrics`")
+    """Executor metrics as samples: the last value per second."""
+    m, at = F.col("m"), F.col("at")
     storage = F.coalesce(m["OnHeapStorageMemory"], F.lit(0)) + F.coalesce(
         m["OffHeapStorageMemory"], F.lit(0)
     )
     sources = {name: m[field] for name, field in _EXECUTOR_METRICS.items()}
     sources["BlockManager_memory_memUsed_MB"] = storage
-    finish = F.col("`Task Info`.`Finish Time`")
-    reported = el.events_of(events, "task_end").filter(m.isNotNull())
     # one row per executor and second before the metrics are unpivoted
-    per_second = reported.groupBy(
-        "app_id",
-        F.col("`Task Info`.`Executor ID`").alias("executor_id"),
-        F.floor(finish / F.lit(1000)).cast("bigint").alias("second"),
-    ).agg(
-        *[
-            F.max(F.struct(finish.alias("at"), value.alias("v")))["v"].alias(name)
-            for name, value in sources.items()
-        ]
-    )
+    per_second = _executor_readings(events).groupBy(
+        "app_id", "executor_id", F.floor(at / F.lit(1000)).cast("bigint").alias("second")
+    ).agg(*[F.max(F.struct(at, value.alias("v")))["v"].alias(name) for name, value in sources.items()])
     long = per_second.unpivot(
         ["app_id", "executor_id", "second"], list(sources), "metric_name", "raw"
     )

@@ -23,6 +23,7 @@ KINDS = {
     "SparkListenerStageSubmitted": "stage_submitted",
     "SparkListenerStageCompleted": "stage_completed",
     "SparkListenerTaskEnd": "task_end",
+    "SparkListenerStageExecutorMetrics": "stage_metrics",
     "SparkListenerExecutorAdded": "executor_added",
     "SparkListenerExecutorRemoved": "executor_removed",
     "SparkListenerBlockManagerAdded": "block_manager_added",
@@ -36,6 +37,12 @@ _STAGE = (
     "`Submission Time`: bigint, `Completion Time`: bigint>"
 )
 
+_EXECUTOR_METRICS = (
+    "struct<`JVMHeapMemory`: bigint, `JVMOffHeapMemory`: bigint, "
+    "`OnHeapStorageMemory`: bigint, `OffHeapStorageMemory`: bigint, "
+    "`ProcessTreePythonRSSMemory`: bigint, `TotalGCTime`: bigint, `MajorGCTime`: bigint>"
+)
+
 # The union of the fields used from any event; absent fields read as null.
 EVENT = (
     "`App ID` string, `App Name` string, `Timestamp` bigint, "
@@ -51,9 +58,7 @@ EVENT = (
     "`Input Metrics`: struct<`Bytes Read`: bigint>, "
     "`Shuffle Read Metrics`: struct<`Remote Bytes Read`: bigint, `Local Bytes Read`: bigint>, "
     "`Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: bigint>>, "
-    "`Task Executor Metrics` struct<`JVMHeapMemory`: bigint, `JVMOffHeapMemory`: bigint, "
-    "`OnHeapStorageMemory`: bigint, `OffHeapStorageMemory`: bigint, "
-    "`ProcessTreePythonRSSMemory`: bigint, `TotalGCTime`: bigint, `MajorGCTime`: bigint>, "
+    f"`Task Executor Metrics` {_EXECUTOR_METRICS}, `Executor Metrics` {_EXECUTOR_METRICS}, "
     "`Executor ID` string, `Executor Info` struct<`Host`: string, `Total Cores`: int>, "
     "`Removed Reason` string, "
     "`Block Manager ID` struct<`Executor ID`: string, `Host`: string>, `Maximum Memory` bigint, "
