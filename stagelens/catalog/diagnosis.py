@@ -208,7 +208,8 @@ for _name in _RULES:
 
 
 def _bottleneck_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.bottleneck_metrics(views.tables(spark, sf), 3, "duration", DAY // 4)
+    t = views.written_tables(spark, sf, ("fact_stages", "fact_hardware_metrics"))
+    return rules.bottleneck_metrics(t, 3, "duration", DAY // 4)
 
 
 QUERIES["diag_bottleneck_metrics"] = Query(
@@ -222,7 +223,7 @@ QUERIES["diag_bottleneck_metrics"] = Query(
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
-    found = report(views.tables(spark, sf), TH)
+    found = report(views.written_tables(spark, sf), TH)
     return found.select(
         "app_id",
         "rule_id",

@@ -26,7 +26,7 @@ def _gmt(ms: Column) -> Column:
 
 def write_landing(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None = None) -> str:
     """Landing folder in the lines layout; returns its path."""
-    t = views.tasks(spark, sf)
+    t = views.written_tasks(spark, sf)
     spans = views.app_spans(t)
     jobs = views.jobs(t)
     plans = views.plans(spans)
@@ -125,7 +125,7 @@ _SQL = "org.apache.spark.sql.execution.ui."
 
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``app_id, value``: one line (or a few lines kept together) of an event log."""
-    t = views.tasks(spark, sf)
+    t = views.written_tasks(spark, sf)
     spans = views.app_spans(t)
     zero = F.lit(0).cast("bigint")
     run, quantity = F.col("run_time_ms"), F.col("input_bytes")

@@ -66,6 +66,10 @@ def _workload(name: str, body: str) -> Query:
     return Query(lambda spark, sf: wl.WORKLOADS[name](star(spark, sf)), STAR_CTE + body)
 
 
+def _spread(spark: SparkSession, sf: str, name: str, by: str) -> DataFrame:
+    return tb.spread(table_of(spark, sf, name), by)
+
+
 _SUM = "cast(sum(cast(amount as decimal(18,2))) as double)"
 _AMOUNT = "cast(cast(amount as decimal(18,2)) as string)"
 
@@ -279,13 +283,13 @@ QUERIES["top_per_hot_key"] = Query(
 _MARK_SQL = "select c_custkey, concat(cast(c_name as string), 'X') as marked from customer"
 
 QUERIES["udf_python"] = Query(
-    lambda spark, sf: table_of(spark, sf, "customer").select(
+    lambda spark, sf: _spread(spark, sf, "customer", "c_custkey").select(
         "c_custkey", udfs.mark_text("c_name").alias("marked")
     ),
     _MARK_SQL,
 )
 QUERIES["udf_builtin_rewrite"] = Query(
-    lambda spark, sf: table_of(spark, sf, "customer").select(
+    lambda spark, sf: _spread(spark, sf, "customer", "c_custkey").select(
         "c_custkey", udfs.mark_text_builtin(F.col("c_name")).alias("marked")
     ),
     _MARK_SQL,
@@ -296,14 +300,14 @@ _PAIR_SQL = (
     "cast(cast(o_totalprice as decimal(18,2)) as string)), 10) as text from orders"
 )
 QUERIES["udf_two_columns"] = Query(
-    lambda spark, sf: table_of(spark, sf, "orders").select(
+    lambda spark, sf: _spread(spark, sf, "orders", "o_orderkey").select(
         "o_orderkey",
         udfs.pair_text("o_orderkey", F.col("o_totalprice").cast(_MONEY)).alias("text"),
     ),
     _PAIR_SQL,
 )
 QUERIES["udf_two_columns_rewrite"] = Query(
-    lambda spark, sf: table_of(spark, sf, "orders").select(
+    lambda spark, sf: _spread(spark, sf, "orders", "o_orderkey").select(
         "o_orderkey",
         udfs.pair_text_builtin(F.col("o_orderkey"), F.col("o_totalprice").cast(_MONEY)).alias("text"),
     ),

@@ -12,6 +12,7 @@ from ..plans import mapping as mp
 from ..plans import store as st
 from ..plans import telemetry as tel
 from ..session import scratch_path
+from ..sources.tables import spread
 from . import Query, landed, views
 from .views import with_views
 
@@ -179,7 +180,7 @@ QUERIES["tele_metric_peaks"] = Query(
 # --- plan text --------------------------------------------------------------------------
 
 QUERIES["tele_plan_lines"] = Query(
-    lambda spark, sf: views.table_of(spark, sf, "documents").select(
+    lambda spark, sf: spread(views.table_of(spark, sf, "documents"), "doc_id").select(
         "doc_id", pt.clean_plan(F.col("text")).alias("plan_text")
     ),
     f"select doc_id, {views.clean_plan_sql('text')} as plan_text from documents",
@@ -188,7 +189,7 @@ QUERIES["tele_plan_lines"] = Query(
 
 def _order_plans(spark: SparkSession, sf: str) -> DataFrame:
     """One generated plan per order; the node depends on the priority."""
-    orders = views.table_of(spark, sf, "orders")
+    orders = spread(views.table_of(spark, sf, "orders"), "o_orderkey")
     return orders.select(
         "o_orderkey", views.raw_plan(F.col("o_orderkey"), F.col("o_orderpriority")).alias("raw_plan")
     )
@@ -252,7 +253,7 @@ QUERIES["tele_metrics_during"] = Query(
 
 
 def _stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    t = views.tables(spark, sf)
+    t = views.written_tables(spark, sf, ("fact_stages", "fact_hardware_metrics"))
     return mp.stage_metrics(t["fact_stages"], t["fact_hardware_metrics"], DAY // 4)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..plans import telemetry as tel
+from ..session import scratch_path
+from ..sources.tables import read_table, spread, write_table
 
 # 2024-01-01 00:00:00 UTC in epoch milliseconds
 START_MS = 1704067200000
@@ -72,20 +74,47 @@ SKIPPED_STAGE, RELISTED_BY = 3, 6
 EXECUTOR_KB = 250000
 
 
-def _view(spark: SparkSession, sf: str, table: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {table}", "from {src}"), src=table_of(spark, sf, table))
+# Schemas of the test tables, so that opening one runs no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 
 def table_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+
+
+def _view(spark: SparkSession, sf: str, table: str, sql: str, *by: str) -> DataFrame:
+    source = spread(table_of(spark, sf, table), *by)
+    return spark.sql(sql.replace(f"from {table}", "from {src}"), src=source)
 
 
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return _view(spark, sf, "lineitem", TASKS_SQL)
+    return _view(spark, sf, "lineitem", TASKS_SQL, "l_orderkey", "l_linenumber")
+
+
+def written_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """The derived tasks written out, for queries that read them many times."""
+    path = scratch_path(spark, "tasks")
+    write_table(tasks(spark, sf), path)
+    return read_table(spark, path)
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return _view(spark, sf, "events", SAMPLES_SQL)
+    return _view(spark, sf, "events", SAMPLES_SQL, "event_id")
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,17 +188,14 @@ def executors(t: DataFrame) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def tables(spark: SparkSession, sf: str, t: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six telemetry tables straight from the derived tasks and samples."""
-    t = tasks(spark, sf)
-    by = ["app_id", "stage_id", "attempt_id"]
-    spans = t.groupBy(*by).agg(
-        F.min("launch_ms").alias("s"), F.max("finish_ms").alias("e")
-    ).select(
-        *by, sc.epoch_ms_to_ts(F.col("s")).alias("start_time"),
-        sc.epoch_ms_to_ts(F.col("e")).alias("end_time"),
-    )
-    stages = tel.attach_task_quantiles(tel.stage_totals(t).join(spans, by), tel.task_quantiles(t))
+    t = tasks(spark, sf) if t is None else t
+    spans = {
+        "start_time": sc.epoch_ms_to_ts(F.min("launch_ms")),
+        "end_time": sc.epoch_ms_to_ts(F.max("finish_ms")),
+    }
+    stages = tel.attach_task_quantiles(tel.stage_totals(t, spans), tel.task_quantiles(t))
     apps = app_spans(t)
     out = {
         "dim_applications": apps.select(
@@ -205,6 +231,21 @@ def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: tel.conform(df, name) for name, df in out.items()}
 
 
+def written_tables(spark: SparkSession, sf: str, names: tuple[str, ...] = tuple(tel.TABLES)) -> dict[str, DataFrame]:
+    """The derived tables written out first, as rules find them in a store.
+
+    For queries that use a table more than once, which would otherwise derive
+    it from the tasks each time.
+    """
+    out = {}
+    for name, df in tables(spark, sf, written_tasks(spark, sf)).items():
+        if name in names:
+            path = scratch_path(spark, name)
+            write_table(df, path)
+            out[name] = read_table(spark, path)
+    return out
+
+
 # --- DuckDB counterparts ----------------------------------------------------------
 
 

@@ -73,14 +73,30 @@ def truncate_second(ts: Column) -> Column:
     return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), fraction)
 
 
+def _since_epoch(ts: Column) -> tuple[Column, Column]:
+    """Whole minutes since the epoch (in seconds) and the seconds after them.
+
+    Interval parts are plain arithmetic; a cast to an instant would depend on
+    the session zone.
+    """
+    span = ts - F.expr(_EPOCH)
+    day, hour, minute, second = (
+        F.extract(F.lit(part), span) for part in ("DAY", "HOUR", "MINUTE", "SECOND")
+    )
+    minutes = (day.cast("bigint") * 24 + hour) * 60 + minute
+    return minutes * 60, second
+
+
 def ts_to_epoch_s(ts: Column) -> Column:
     """Whole epoch seconds of a naive UTC timestamp."""
-    return F.floor(ts_to_epoch_ms(ts) / F.lit(1000)).cast("bigint")
+    whole, second = _since_epoch(ts)
+    return whole + F.floor(second).cast("bigint")
 
 
 def ts_to_epoch_ms(ts: Column) -> Column:
     """Epoch milliseconds of a naive UTC timestamp."""
-    return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), ts)
+    whole, second = _since_epoch(ts)
+    return whole * 1000 + F.floor(second * 1000).cast("bigint")
 
 
 def app_end(completed: Column, end: Column, as_of: Column) -> Column:

@@ -110,34 +110,63 @@ def skew_profile(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact element ``floor(n / 2)`` of each group's sorted integer values.
-
-    No group is ever gathered: equal values collapse into counts, counts
-    into coarse buckets of ``COARSE_WIDTH`` values, and only the bucket that
-    holds the wanted rank is looked at value by value. Each window therefore
-    runs over the buckets of one group or over the values of one bucket.
+def order_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Minimum, upper median and maximum of integer values per group: ``lo, mid, hi``.
+
+    The median is exact: element ``floor(n / 2)`` of the group's sorted values.
+    No group is ever gathered. A first pass counts coarse buckets of
+    ``COARSE_WIDTH`` values, combined in the map tasks, and finds the bucket
+    that holds the wanted rank; a second pass counts single values of those
+    buckets only. Each window runs over the buckets of one group or over the
+    values of one bucket, whatever share of the rows the group holds.
     """
     keys = list(keys)
-    # only the columns asked for travel into the shuffle
-    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    coarse = F.floor(F.col(value) / F.lit(float(COARSE_WIDTH))).cast("bigint")
-    values = values.withColumn("_coarse", coarse)
-    buckets = values.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_bn"))
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.floor(F.sum("_bn").over(whole) / F.lit(2)).cast("bigint")
-    buckets = (
-        buckets.withColumns({"_rank": rank, "_upto": F.sum("_bn").over(running)})
-        .filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_bn") <= F.col("_rank")))
-        .withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_bn")))
-        .select(*keys, "_coarse", "_rank")
+    v = F.col(value)
+    rows = df.filter(v.isNotNull()).select(
+        *keys, v, F.floor(v / F.lit(float(COARSE_WIDTH))).cast("bigint").alias("_coarse")
+    )
+    buckets = rows.groupBy(*keys, "_coarse").agg(
+        F.count(F.lit(1)).alias("_bn"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
     )
-    inside = Window.partitionBy(*keys, "_coarse").orderBy(value)
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy(*keys).orderBy("_coarse")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.floor(F.col("_n") / F.lit(2)).cast("bigint")
+    before = F.col("_upto") - F.col("_bn")
+    target = (
+        buckets.withColumns(
+            {
+                "_n": F.sum("_bn").over(whole),
+                "_upto": F.sum("_bn").over(so_far),
+                "lo": F.min("_lo").over(whole),
+                "hi": F.max("_hi").over(whole),
+            }
+        )
+        .filter((F.col("_upto") > rank) & (before <= rank))
+        .select(*keys, "_coarse", (rank - before).alias("_rank"), "lo", "hi")
+    )
+    # groups may share a null key, so keys compare null-safely
+    wanted = target.withColumnsRenamed({k: f"_t_{k}" for k in [*keys, "_coarse"]})
+    same = F.col("_coarse") == F.col("_t__coarse")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    counted = (
+        rows.join(wanted, same)
+        .groupBy(*keys, value)
+        .agg(
+            F.count(F.lit(1)).alias("_vn"),
+            *[F.first(c).alias(c) for c in ("_rank", "lo", "hi")],
+        )
+    )
+    inside = Window.partitionBy(*keys).orderBy(value)
+    seen = F.sum("_vn").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        values.join(buckets, [*keys, "_coarse"])
-        .withColumn("_seen", F.sum("_n").over(inside))
-        .filter((F.col("_seen") > F.col("_rank")) & (F.col("_seen") - F.col("_n") <= F.col("_rank")))
-        .select(*keys, F.col(value).alias(out))
+        counted.withColumn("_seen", seen)
+        .filter((F.col("_seen") > F.col("_rank")) & (F.col("_seen") - F.col("_vn") <= F.col("_rank")))
+        .select(*keys, "lo", v.alias("mid"), "hi")
     )
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """The middle one of ``order_stats``."""
+    return order_stats(df, keys, value).select(*keys, F.col("mid").alias(out))

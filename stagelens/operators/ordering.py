@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
+from ..sources.tables import read_table, write_table
 from .joins import skew_join
 
 
@@ -15,15 +16,17 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], sort: bool = False) ->
     """Range-partitioned copy with its partition number fixed in ``_part``.
 
     Range bounds come from a sample, so two runs of the same plan may cut
-    differently; the checkpoint in the shared folder makes every later use see
-    the same cut, also after an executor is lost.
+    differently. The copy is written to the shared folder: every later use sees
+    the same cut, also after an executor is lost, and reads only its columns.
+    The number of ranges is left to AQE, which sizes them by bytes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = df.repartitionByRange(parts, *order)
+    spark = df.sparkSession
+    out = df.repartitionByRange(*order)
     if sort:
         out = out.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    return out.withColumn("_part", F.spark_partition_id()).checkpoint()
+    path = scratch_path(spark, "ranged")
+    write_table(out.withColumn("_part", F.spark_partition_id()), path)
+    return read_table(spark, path)
 
 
 def running_sum(
@@ -92,7 +95,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], out: str = "posi
     sizes = cut.groupBy("_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
     )
-    # one row per range: bounded by the number of shuffle partitions
+    # one row per range
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")

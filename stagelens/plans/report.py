@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .rules import DEFAULT, Tables, Thresholds
-from .telemetry import metric_peaks
 
 SEVERITIES = ("high", "medium", "low", "info")
 
@@ -74,7 +73,7 @@ RULE_TEXT = {
 def all_findings(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
     """Rows of all rules. Stage links and metric peaks are built once and shared."""
     stage_plans = rules.plans_of_stages(t)
-    peaks = metric_peaks(t["fact_hardware_metrics"])
+    peaks = rules.rule_peaks(t)
     parts = [
         rules.stage_findings(stage_plans, th),
         rules.nested_loop_join(t, th, stage_plans),

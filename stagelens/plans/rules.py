@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mapping import memory_headroom, stage_metrics, stage_to_plan, top_stages
+from .mapping import MEMORY_METRIC, memory_headroom, stage_metrics, stage_to_plan, top_stages
 from .telemetry import metric_peaks
 
 FINDING = ["app_id", "rule_id", "severity", "stage_id", "sql_id", "evidence"]
@@ -218,6 +218,15 @@ def spill_ranking(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
     return _finding(ranked, "spill", severity, evidence)
 
 
+RULE_METRICS = (RSS_METRIC, GC_METRIC, MEMORY_METRIC)
+
+
+def rule_peaks(t: Tables) -> DataFrame:
+    """Peaks of the metrics the rules read; the others stay in the scan."""
+    metrics = t["fact_hardware_metrics"]
+    return metric_peaks(metrics.filter(F.col("metric_name").isin(*RULE_METRICS)))
+
+
 # --- rules that look at hardware metrics -----------------------------------------
 
 
@@ -225,7 +234,7 @@ def python_memory(
     t: Tables, th: Thresholds = DEFAULT, peaks: DataFrame | None = None
 ) -> DataFrame:
     """Python memory that spikes in an application with Python in its plans."""
-    peaks = metric_peaks(t["fact_hardware_metrics"]) if peaks is None else peaks
+    peaks = rule_peaks(t) if peaks is None else peaks
     spikes = peaks.filter(
         (F.col("metric_name") == RSS_METRIC) & (F.col("peak") > F.col("mean") * th.rss_ratio)
     )
@@ -239,7 +248,7 @@ def python_memory(
 
 def cache_limit(t: Tables, th: Thresholds = DEFAULT, peaks: DataFrame | None = None) -> DataFrame:
     """Executors whose storage memory reached its limit."""
-    peaks = metric_peaks(t["fact_hardware_metrics"]) if peaks is None else peaks
+    peaks = rule_peaks(t) if peaks is None else peaks
     full = memory_headroom(peaks, t["fact_executors"]).filter(
         F.col("used_share") >= th.memory_share
     )
@@ -251,7 +260,7 @@ def cache_limit(t: Tables, th: Thresholds = DEFAULT, peaks: DataFrame | None = N
 
 def gc_pressure(t: Tables, th: Thresholds = DEFAULT, peaks: DataFrame | None = None) -> DataFrame:
     """Executors that spent a large share of the run on garbage collection."""
-    peaks = metric_peaks(t["fact_hardware_metrics"]) if peaks is None else peaks
+    peaks = rule_peaks(t) if peaks is None else peaks
     gc = peaks.filter(F.col("metric_name") == GC_METRIC)
     apps = t["dim_applications"].select("app_id", "duration_ms")
     heavy = gc.join(apps, "app_id").filter(

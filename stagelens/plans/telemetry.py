@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import plan_text as pt
 from ..functions import scalars as sc
 from ..functions import series as se
-from ..operators.aggregates import upper_median
+from ..operators.aggregates import order_stats
 from ..sources import event_log as el
 from ..sources import landing as ld
 
@@ -96,8 +96,11 @@ def build_job_map(jobs: DataFrame, sql_jobs: DataFrame) -> DataFrame:
     )
 
 
-def stage_totals(tasks: DataFrame) -> DataFrame:
-    """Per stage attempt: task count, run time and byte totals (in KB), slowest task."""
+def stage_totals(tasks: DataFrame, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per stage attempt: task count, run time and byte totals (in KB).
+
+    ``more`` adds aggregates of the caller to the same pass.
+    """
     by = ["app_id", "stage_id", "attempt_id"]
     return tasks.groupBy(*by).agg(
         F.count(F.lit(1)).cast("int").alias("num_tasks"),
@@ -107,17 +110,16 @@ def stage_totals(tasks: DataFrame) -> DataFrame:
         sc.to_kb(F.sum("shuffle_write_bytes")).alias("shuffle_write_kb"),
         sc.to_kb(F.sum("memory_spill_bytes")).alias("memory_spill_kb"),
         sc.to_kb(F.sum("disk_spill_bytes")).alias("disk_spill_kb"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
 
 
 def task_quantiles(tasks: DataFrame) -> DataFrame:
     """Quantiles 0, 0.5 (upper median) and 1 of task run time per stage attempt."""
     by = ["app_id", "stage_id", "attempt_id"]
-    ends = tasks.groupBy(*by).agg(
-        F.min("run_time_ms").alias("lo"), F.max("run_time_ms").alias("hi")
+    return order_stats(tasks, by, "run_time_ms").select(
+        *by, F.array("lo", "mid", "hi").alias("quantiles")
     )
-    mid = upper_median(tasks, by, "run_time_ms", "mid")
-    return ends.join(mid, by).select(*by, F.array("lo", "mid", "hi").alias("quantiles"))
 
 
 def last_per_second(samples: DataFrame) -> DataFrame:

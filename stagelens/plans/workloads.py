@@ -23,7 +23,7 @@ from ..operators.joins import (
     shuffle_join,
 )
 from ..operators.ordering import running_sum, shuffle_key, with_position
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 Star = Mapping[str, DataFrame]
 _MONEY = "decimal(18,2)"
@@ -67,7 +67,7 @@ def broadcast_hash_join(star: Star) -> DataFrame:
 
 def python_function(star: Star) -> DataFrame:
     """Row-at-a-time Python function whose result is used."""
-    out = star["customer_dim"].withColumn("marked", udfs.mark_text("customer_name"))
+    out = spread(star["customer_dim"], "customer_id").withColumn("marked", udfs.mark_text("customer_name"))
     return out.agg(
         F.count("marked").alias("n_rows"),
         F.sum(F.length("marked").cast("bigint")).alias("n_chars"),
@@ -98,7 +98,7 @@ def cross_join(star: Star) -> DataFrame:
 
 def explode_rows(star: Star) -> DataFrame:
     """Every sale fanned out two hundred times, summed per store."""
-    wide = udfs.explode_range(star["sales_fact"].select("store_id"), 200)
+    wide = udfs.explode_range(spread(star["sales_fact"], "transaction_id").select("store_id"), 200)
     return wide.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("exploded").cast("bigint")).alias("sum_exploded")
     )
@@ -146,7 +146,7 @@ def cartesian_size(star: Star) -> DataFrame:
 
 def python_two_columns(star: Star) -> DataFrame:
     """Arrow-batched Python function of two columns whose result is used."""
-    out = _sales(star).withColumn("text", udfs.pair_text("transaction_id", "amount"))
+    out = spread(_sales(star), "transaction_id").withColumn("text", udfs.pair_text("transaction_id", "amount"))
     return out.groupBy("store_id").agg(
         F.sum(F.length("text").cast("bigint")).alias("n_chars"), F.max("text").alias("last_text")
     )

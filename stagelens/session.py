@@ -20,7 +20,6 @@ DEFAULTS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -51,13 +50,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable, keeping a folder already set."""
-    root = checkpoint_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table written between two jobs."""
     return os.path.join(checkpoint_root(spark), "stagelens", f"{label}-{uuid.uuid4().hex}")

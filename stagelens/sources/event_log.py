@@ -72,10 +72,8 @@ def _event_kind(line: Column) -> Column:
     name = F.regexp_extract(
         line, rf'^\s*\{{\s*"Event"\s*:\s*"(?:{_SQL_PACKAGE})?(SparkListener\w+)"', 1
     )
-    kind = F.lit(None).cast("string")
-    for event, short in KINDS.items():
-        kind = F.when(name == event, short).otherwise(kind)
-    return kind
+    pairs = [F.lit(x) for event_and_kind in KINDS.items() for x in event_and_kind]
+    return F.try_element_at(F.create_map(*pairs), name)
 
 
 def app_id_of_path(path: Column) -> Column:

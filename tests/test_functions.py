@@ -101,6 +101,8 @@ def test_times(spark):
         sc.epoch_s_to_ts(F.lit(1704067200.5)),
         sc.truncate_second(sc.epoch_ms_to_ts(F.lit(1704067200999))),
         sc.ts_to_epoch_ms(sc.epoch_ms_to_ts(F.lit(1704067200123))),
+        sc.ts_to_epoch_ms(sc.epoch_ms_to_ts(F.lit(1720000000999))),
+        sc.ts_to_epoch_s(sc.epoch_ms_to_ts(F.lit(1720000000999))),
     )
     assert list(row) == [
         dt.datetime(2024, 3, 10, 2, 30, 0, 123000),
@@ -110,6 +112,8 @@ def test_times(spark):
         dt.datetime(2024, 1, 1, 0, 0, 0, 500000),
         dt.datetime(2024, 1, 1),
         1704067200123,
+        1720000000999,
+        1720000000,
     ]
 
 
