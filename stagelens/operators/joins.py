@@ -15,6 +15,7 @@ HOT_SHARES = 256
 
 # Largest table broadcast_join sends to every executor.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:
@@ -29,9 +30,19 @@ def shuffle_join(left: DataFrame, right: DataFrame, on: str | Sequence[str]) ->
     return left.join(right.hint("merge"), _keys(on))
 
 
-def fits_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Row count of ``small`` checked against the bound, reading no more than needed."""
-    return small.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(
+    small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Rows and bytes of ``small`` checked against the bounds.
+
+    Reads at most one row more than allowed; bytes are those of the row as text.
+    """
+    row = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in small.columns])))
+    checked = small.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("size")
+    )
+    n, size = checked.first()
+    return n <= max_rows and size <= max_bytes
 
 
 def broadcast_join(
@@ -39,8 +50,8 @@ def broadcast_join(
 ) -> DataFrame:
     """Equi inner join with a small dimension: no shuffle of the large side.
 
-    The dimension is counted first; beyond ``max_rows`` the join is left to
-    the optimizer, which shuffles.
+    The dimension is measured first; beyond ``max_rows`` (or a fixed number of
+    bytes) the join is left to the optimizer, which shuffles.
     """
     if fits_broadcast(small, max_rows):
         return left.join(F.broadcast(small), _keys(on))
@@ -133,8 +144,11 @@ def skew_join(
         raise ValueError("how must be inner or left")
     keys = _keys(on)
     salt_by = list(salt_by or [c for c in left.columns if c not in keys])
-    counts = counts if counts is not None else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        total = left.count()
+    else:
+        total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("n") * shares > F.lit(total)).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys],
         F.ceil(F.col("n") * shares / F.lit(max(total, 1))).cast("int").alias("_salts"),

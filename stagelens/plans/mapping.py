@@ -56,10 +56,12 @@ def stage_to_plan(
         pt.plan_flags(F.col("plan_text")).alias("f"),
         *(["plan_text"] if with_text else []),
     ).select("app_id", "sql_id", "f.*", *(["plan_text"] if with_text else []))
-    joined = stages.join(stage_jobs(map_jobs), ["app_id", "stage_id"], "left").join(
-        flags, ["app_id", "sql_id"], "left"
-    )
-    return joined.withColumns({f: F.coalesce(f, F.lit(False)) for f in pt.NODES})
+    # stages outside SQL match no plan; spread them instead of meeting at one null key
+    spare = -1 - F.pmod(F.hash("stage_id"), F.lit(1024))
+    key = F.coalesce("sql_id", spare).alias("_sql")
+    linked = stages.join(stage_jobs(map_jobs), ["app_id", "stage_id"], "left").select("*", key)
+    joined = linked.join(flags.withColumnRenamed("sql_id", "_sql"), ["app_id", "_sql"], "left")
+    return joined.drop("_sql").withColumns({f: F.coalesce(f, F.lit(False)) for f in pt.NODES})
 
 
 def _bucket(ts: Column, bucket_s: int) -> Column:

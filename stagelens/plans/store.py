@@ -1,10 +1,14 @@
 """The telemetry store: columnar tables loaded one set of applications at a time.
 
-Layout: ``<out>/<table>/app_id=<id>/load_id=<n>/…`` and ``<out>/loads``, which
-lists the loads that are complete. The marker of a load is written last and
-readers join it, so they see whole applications or nothing, and a repeated
-load of an application replaces the old one in one step. A load that died is
-repeated under the same number and overwrites its own folders.
+Layout: ``<out>/<table>/load_id=<n>/…`` and ``<out>/loads/load_id=<n>/…``, which
+lists the applications of complete loads. The list of a load is written last
+and readers join it, so they see whole applications or nothing, and loading an
+application again replaces it in one step. A load that died is repeated under
+its number and overwrites its folders.
+
+Files follow the size of the data, not the number of applications: rows are
+clustered by application inside a load, so a filter on ``app_id`` skips row
+groups by their bounds.
 """
 
 from __future__ import annotations
@@ -20,29 +24,22 @@ from .telemetry import TABLES, conform
 LOADS = "loads"
 
 
-def _write(df: DataFrame, path: str, *partitions: str) -> None:
-    # rebalance keeps the files of an application together and lets AQE split
-    # an application that is far larger than the others
+def _write(df: DataFrame, out: str, name: str, load_id: int) -> None:
+    # rebalance keeps an application together and lets AQE split one that is
+    # far larger than the others
     (
         df.hint("rebalance", "app_id")
+        .sortWithinPartitions("app_id")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
+        .parquet(f"{out}/{name}/load_id={load_id}")
     )
 
 
 def load_tables(tables: Mapping[str, DataFrame], out: str, load_id: int) -> None:
-    """Write the six tables of some applications, then mark them as loaded."""
+    """Write the six tables of some applications, then list them as loaded."""
     for name in TABLES:
-        df = tables[name].withColumn("load_id", F.lit(load_id).cast("bigint"))
-        _write(df, f"{out}/{name}", "app_id", "load_id")
-    marker = tables["dim_applications"].select(
-        "app_id", F.lit(load_id).cast("bigint").alias("load_id")
-    )
-    marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "load_id"
-    ).parquet(f"{out}/{LOADS}")
+        _write(tables[name], out, name, load_id)
+    _write(tables["dim_applications"].select("app_id"), out, LOADS, load_id)
 
 
 def loads(spark: SparkSession, out: str) -> DataFrame:

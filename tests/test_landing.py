@@ -256,7 +256,7 @@ def test_a_load_that_died_is_not_seen(spark, landing, tmp_path):
     tables = tel.build_telemetry(spark, str(landing))
     st.load_tables(only(tables, A), out, 0)
     # second load stops after its first tables, before the marker
-    st._write(only(tables, B)["fact_stages"].selectExpr("*", "1L as load_id"), f"{out}/fact_stages", "app_id", "load_id")
+    st._write(only(tables, B)["fact_stages"], out, "fact_stages", 1)
     assert contents(st.read_store(spark, out)) == contents(only(tables, A))
     st.load_new(spark, tables, out)
     assert contents(st.read_store(spark, out)) == contents(tables)
