@@ -6,6 +6,8 @@ builders run on documents that grow with the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def write_landing(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None =
         (F.col("end_ms") - F.col("start_ms")).alias("duration"),
     )
     sample = F.array(
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000)).cast("decimal(20,6)").cast("string"),
+        sc.ts_to_epoch(F.col("ts")).cast("string"),
         F.col("raw_value").cast("string"),
     )
     series = F.concat(se.series_prefix(F.col("app_id")), "executor_id", F.lit("_"), "metric_name")
@@ -248,24 +250,22 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         _line("SparkListenerApplicationEnd", Timestamp=F.col("end_ms")),
     )
     parts = [
-        t.select("app_id", task_end.alias("value")),
         info.select("app_id", _line("SparkListenerStageCompleted", Stage__Info=stage).alias("value")),
         views.jobs(t).select("app_id", job_lines.alias("value")),
         views.plans(spans).select("app_id", sql_lines.alias("value")),
         views.executors(t).select("app_id", executor_lines.alias("value")),
         spans.select("app_id", app_lines.alias("value")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rest = reduce(DataFrame.unionByName, parts)
+    # few files per application: narrow task rows move, not their long lines
+    moved = t.hint("rebalance", "app_id")
+    return moved.select("app_id", task_end.alias("value")).unionByName(rest.hint("rebalance", "app_id"))
 
 
 def write_event_log(spark: SparkSession, sf: str) -> str:
     """Event logs, one folder per application; returns their path."""
     path = scratch_path(spark, "eventlog")
-    lines = event_lines(spark, sf).hint("rebalance", "app_id")
-    lines.write.partitionBy("app_id").text(path)
+    event_lines(spark, sf).write.partitionBy("app_id").text(path)
     return path
 
 

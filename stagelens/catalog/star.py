@@ -101,7 +101,7 @@ WORKLOADS = {
     "from sales_fact group by promotion_id",
     "high_cardinality": "select count(*) as n_groups, cast(sum(cast(m as decimal(18,2))) as double) as sum_max, "
     "max(a) as max_avg from (select max(amount) as m, avg(amount) as a from sales_fact "
-    "group by transaction_id, md5(cast(transaction_id as string)))",
+    "group by transaction_id, md5(concat(cast(transaction_id as string), ':tag')))",
     "cartesian_size": "select cast((select count(*) from customer_dim) * (select count(*) from customer_dim) "
     "as bigint) as n_pairs",
     "python_two_columns": f"select store_id, cast(sum(length(t)) as bigint) as n_chars, max(t) as last_text "

@@ -153,6 +153,26 @@ QUERIES["tele_resample_1s"] = Query(
 )
 
 
+LOOKBACK = 20
+
+
+def _fill(spark: SparkSession, sf: str) -> DataFrame:
+    return tel.fill_seconds(tel.last_per_second(views.metrics(spark, sf)), LOOKBACK)
+
+
+QUERIES["tele_fill_seconds"] = Query(
+    _fill,
+    with_views(
+        "select app_id, s + to_seconds(k) as timestamp, executor_id, metric_name, value_kb_or_ms from "
+        "(select *, unnest(range(n)) as k from (select *, coalesce(least("
+        "cast(date_diff('second', s, lead(s) over (partition by app_id, executor_id, metric_name order by s)) as bigint), "
+        f"{LOOKBACK + 1}), {LOOKBACK + 1}) as n from (select app_id, executor_id, metric_name, "
+        "date_trunc('second', timestamp) as s, max({'t': timestamp, 'v': value_kb_or_ms}).v as value_kb_or_ms "
+        "from fact_hardware_metrics group by app_id, executor_id, metric_name, date_trunc('second', timestamp))))"
+    ),
+)
+
+
 def _clip(spark: SparkSession, sf: str) -> DataFrame:
     t = views.tables(spark, sf)
     return tel.clip_to_app(t["fact_hardware_metrics"], t["dim_applications"])

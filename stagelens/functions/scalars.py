@@ -17,8 +17,7 @@ def uniform(id_col: Column, salt: str) -> Column:
     The first 32 bits of an MD5, so a row gets the same value whatever
     partition, attempt or engine computes it.
     """
-    digest = F.md5(F.concat(id_col.cast("string"), F.lit(":" + salt)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(stable_id(id_col, salt), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
 def uniform_int(u: Column, width: int, low: int) -> Column:
@@ -26,6 +25,16 @@ def uniform_int(u: Column, width: int, low: int) -> Column:
     return F.floor(u * F.lit(width)).cast("int") + F.lit(low)
 
 
+def random_id() -> Column:
+    """A new random id per row; differs from run to run."""
+    return F.uuid()
+
+
+def stable_id(id_col: Column, salt: str) -> Column:
+    """An id as random as ``random_id`` that depends on its arguments only."""
+    return F.md5(F.concat(id_col.cast("string"), F.lit(":" + salt)))
+
+
 def labelled(prefix: str, id_col: Column) -> Column:
     """``prefix`` followed by the id as text."""
     return F.concat(F.lit(prefix), id_col.cast("string"))
@@ -87,6 +96,12 @@ def _since_epoch(ts: Column) -> tuple[Column, Column]:
     return minutes * 60, second
 
 
+def ts_to_epoch(ts: Column) -> Column:
+    """Epoch seconds with microseconds, as a decimal."""
+    whole, second = _since_epoch(ts)
+    return (whole + second).cast("decimal(20,6)")
+
+
 def ts_to_epoch_s(ts: Column) -> Column:
     """Whole epoch seconds of a naive UTC timestamp."""
     whole, second = _since_epoch(ts)

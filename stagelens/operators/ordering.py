@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_id
 from ..session import scratch_path
 from ..sources.tables import read_table, write_table
 from .joins import skew_join
@@ -125,7 +126,7 @@ def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
 
 def shuffle_key(id_col: Column, seed: str) -> Column:
     """Repeatable random sort key: any engine computes the same order."""
-    return F.md5(F.concat(id_col.cast("string"), F.lit(":" + seed)))
+    return stable_id(id_col, seed)
 
 
 def take_first(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import plan_text as pt
@@ -131,6 +131,33 @@ def last_per_second(samples: DataFrame) -> DataFrame:
     ).withColumnRenamed("second", "timestamp")
 
 
+def fill_seconds(per_second: DataFrame, lookback_s: int = 300, bucket_s: int = 3600) -> DataFrame:
+    """One-second grid in which a sample stands until the next one, at most ``lookback_s``.
+
+    ``per_second`` holds at most one sample per second and series. The next
+    sample is looked up inside time buckets, and across them among the first
+    samples of the buckets, so a long series is spread over its buckets.
+    """
+    by = ["app_id", "executor_id", "metric_name"]
+    at = sc.ts_to_epoch_s(F.col("timestamp"))
+    samples = per_second.withColumn("_s", at).withColumn(
+        "_bucket", F.floor(F.col("_s") / F.lit(bucket_s)).cast("bigint")
+    )
+    firsts = samples.groupBy(*by, "_bucket").agg(F.min("_s").alias("_first"))
+    following = F.lead("_first").over(Window.partitionBy(*by).orderBy("_bucket"))
+    firsts = firsts.select(*by, "_bucket", following.alias("_following"))
+    inside = F.lead("_s").over(Window.partitionBy(*by, "_bucket").orderBy("_s"))
+    until = F.least(
+        F.coalesce("_next", "_following", F.col("_s") + lookback_s + 1) - 1, F.col("_s") + lookback_s
+    )
+    return (
+        samples.withColumn("_next", inside)
+        .join(firsts, [*by, "_bucket"])
+        .withColumn("_second", F.explode(F.sequence(F.col("_s"), until)))
+        .select("app_id", sc.epoch_s_to_ts(F.col("_second")).alias("timestamp"), *by[1:], "value_kb_or_ms")
+    )
+
+
 def clip_to_app(samples: DataFrame, apps: DataFrame, pad_s: int = 5) -> DataFrame:
     """Samples within the run time of their application, padded on both sides."""
     pad = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(pad_s))

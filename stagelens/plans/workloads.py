@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_id
 from ..operators import udfs
 from ..operators.aggregates import count_where, high_card_agg, sum_count_by
 from ..operators.caching import count_slices_cached
@@ -129,7 +130,7 @@ def skewed_self_join(star: Star) -> DataFrame:
 
 def high_cardinality(star: Star) -> DataFrame:
     """Groups that are nearly all unique, then totals over the group results."""
-    salted = star["sales_fact"].withColumn("tag", F.md5(F.col("transaction_id").cast("string")))
+    salted = star["sales_fact"].withColumn("tag", stable_id(F.col("transaction_id"), "tag"))
     groups = high_card_agg(salted, ["transaction_id", "tag"], "amount")
     return groups.agg(
         F.count(F.lit(1)).alias("n_groups"),

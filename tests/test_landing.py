@@ -184,6 +184,16 @@ def test_metrics(spark, landing):
     }
 
 
+def test_samples_stand_until_the_next(spark):
+    rows = [("a", "1", "m", t(s), v) for s, v in ((1, 1.0), (3, 3.0), (20, 20.0), (59, 59.0))]
+    df = spark.createDataFrame(rows, "app_id string, executor_id string, metric_name string, timestamp timestamp_ntz, value_kb_or_ms double")
+    want = {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 20: 20, 21: 20, 22: 20, 23: 20, 59: 59}
+    for bucket in (2, 10, 3600):
+        got = {r.timestamp: r.value_kb_or_ms for r in tel.fill_seconds(df, 3, bucket).collect()}
+        later = {dt.datetime(2024, 1, 1, 0, 1, s): 59 for s in range(3)}
+        assert got == {**{t(s): v for s, v in want.items()}, **later}
+
+
 def test_peaks_leave_nan_out(spark, landing):
     metrics = tel.build_telemetry(spark, str(landing))["fact_hardware_metrics"]
     assert {r.executor_id for r in tel.metric_peaks(metrics).collect()} == {"driver", "0", "1"}
