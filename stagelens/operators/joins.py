@@ -137,6 +137,10 @@ def skew_join(
     ``left``; a left join also matches the null key, as a lookup of per-key
     results needs.
 
+    The salt hashes the row and the input partition it came from: a row keeps its
+    salt when a task is run again, and exact copies still spread as far as their
+    input partitions do.
+
     counts   rows per key of ``left`` (key columns and ``n``) if already known
     salt_by  left columns that tell rows of one key apart (default: all others)
     """
@@ -161,7 +165,8 @@ def skew_join(
         drop = [f"_hot_{k}" for k in keys]
         return df.join(F.broadcast(hot), cond, "left").drop(*drop)
 
-    salt = F.pmod(F.xxhash64(*salt_by), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
+    spot = F.xxhash64(*salt_by, F.spark_partition_id())
+    salt = F.pmod(spot, F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
     salted_left = with_salts(left).withColumn("_salt", salt).drop("_salts")
     every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     salted_right = rename_shared(

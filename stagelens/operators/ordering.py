@@ -13,6 +13,15 @@ from ..sources.tables import read_table, write_table
 from .joins import skew_join
 
 
+def _tie(df: DataFrame) -> Column:
+    """Trailing sort key: a hash of the row and of the input partition it came from.
+
+    Cuts a value that fills much of the table into several ranges, exact copies
+    included, and stays the same when a task is run again.
+    """
+    return F.xxhash64(*df.columns, F.spark_partition_id())
+
+
 def _ranged(df: DataFrame, order: Sequence[Column | str], sort: bool = False) -> DataFrame:
     """Range-partitioned copy with its partition number fixed in ``_part``.
 
@@ -22,9 +31,12 @@ def _ranged(df: DataFrame, order: Sequence[Column | str], sort: bool = False) ->
     The number of ranges is left to AQE, which sizes them by bytes.
     """
     spark = df.sparkSession
-    out = df.repartitionByRange(*order)
     if sort:
-        out = out.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+        tied = df.withColumn("_tie", _tie(df))
+        out = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+        out = out.drop("_tie").withColumn("_id", F.monotonically_increasing_id())
+    else:
+        out = df.repartitionByRange(*order)
     path = scratch_path(spark, "ranged")
     write_table(out.withColumn("_part", F.spark_partition_id()), path)
     return read_table(spark, path)
@@ -112,11 +124,11 @@ def with_position(df: DataFrame, order: Sequence[Column | str], out: str = "posi
 def global_sort(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
     """Total order by value: range exchange plus sort, many partitions.
 
-    A hash of the row breaks ties, so a value that fills a third of the table
-    is cut into several ranges instead of one.
+    Ties are broken by a hash, so a value that fills a third of the table is
+    cut into several ranges instead of one.
     """
     key = F.col(col).asc() if ascending else F.col(col).desc()
-    return df.orderBy(key, F.xxhash64(*df.columns))
+    return df.withColumn("_tie", _tie(df)).orderBy(key, "_tie").drop("_tie")
 
 
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:

@@ -200,6 +200,22 @@ def test_global_sort_ranges_do_not_overlap(spark, sales):
     assert len(parts) > 4 and max(p.n for p in parts) < 5000 / 3
 
 
+def test_exact_copies_spread_over_ranges_and_salts(spark):
+    copies = spark.range(4000, numPartitions=16).select(F.lit(5).alias("k"), F.lit("same").alias("v"))
+    rest = spark.range(4000, numPartitions=8).select(F.col("id").cast("int").alias("k"), F.lit("other").alias("v"))
+    df = copies.unionByName(rest)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = od.global_sort(df, "k").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in parts) == 8000 and max(r["count"] for r in parts) < 2500
+    placed = od.with_position(df, ["k"])
+    assert sorted(r.position for r in placed.collect()) == list(range(1, 8001))
+    dim = spark.range(4000).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
+    assert rows(jn.skew_join(df, dim, "k")) == rows(df.join(dim, "k"))
+
+
 def test_top_per_group_drops_rows_before_the_shuffle(sales):
     top = od.top_per_group(sales, ["promotion_id"], [F.desc("amount"), F.col("transaction_id")], 2)
     assert "WindowGroupLimit" in plan_of(top)
