@@ -135,10 +135,6 @@ def split_ids(text: Column) -> Column:
     return F.transform(parts, lambda x: x.cast("int"))
 
 
-def none_if_empty(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Replace nulls (keys missing from the document) by a default per column."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

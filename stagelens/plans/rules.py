@@ -33,11 +33,11 @@ DEFAULT = Thresholds()
 
 
 def _text(col: Column) -> Column:
-    """Evidence value: plain digits, two decimals for fractions."""
     return col.cast("string")
 
 
 def _kb(name: str) -> Column:
+    """Evidence value in plain digits with two decimals."""
     return F.col(name).cast("decimal(38,2)").cast("string")
 
 

@@ -45,10 +45,6 @@ TABLES = {
 }
 
 
-def _names(table: str) -> list[str]:
-    return [part.split()[0] for part in TABLES[table].split(", ")]
-
-
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns by name, in contract order and type."""
     types = [part.split() for part in TABLES[table].split(", ")]
