@@ -121,22 +121,28 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     return mixed(total[keep] + length[keep].astype(np.uint64)), np.concatenate([[0], np.cumsum(counts)])
 
 
+def star_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n-1, the smallest node each one reaches over the links."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        np.minimum.at(new, root[left], low)
+        np.minimum.at(new, root[right], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each batch of links as stars around the smallest node of each of its components."""
     for batch in batches:
         a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        left, right = ends[: len(a)], ends[len(a) :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[left], root[right])
-            new = root.copy()
-            np.minimum.at(new, root[left], low)
-            np.minimum.at(new, root[right], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        root = star_roots(len(nodes), ends[: len(a)], ends[len(a) :])
         leaf = np.flatnonzero(root != np.arange(len(nodes)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
 

@@ -51,6 +51,33 @@ FROM placed
 """
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_join import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM embeddings v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = v.vec_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(op1_mix_sources, OP1_SQL),
+    "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
 }
