@@ -51,6 +51,37 @@ FROM placed
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_documents
+
+    return near_documents(_table(spark, sf_dir, "documents"), k=3, threshold=90)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), grams AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * common >= 90 * (na + nb - common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id
+FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = s.doc_id
+"""
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_join import near_vectors
 
@@ -79,5 +110,6 @@ FROM embeddings v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(op1_mix_sources, OP1_SQL),
+    "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
 }
