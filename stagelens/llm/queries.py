@@ -51,6 +51,14 @@ FROM placed
 """
 
 
+def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_count import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_documents
 
@@ -110,6 +118,7 @@ FROM embeddings v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(op1_mix_sources, OP1_SQL),
+    "op5_count_tokens": Query(op5_count_tokens),
     "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
 }
