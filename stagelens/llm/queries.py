@@ -96,6 +96,12 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import predicted_languages
+
+    return predicted_languages(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm
@@ -121,4 +127,5 @@ QUERIES: dict[str, Query] = {
     "op5_count_tokens": Query(op5_count_tokens),
     "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
+    "op9_identify_languages": Query(op9_identify_languages),
 }
