@@ -102,6 +102,12 @@ def op9_identify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm
@@ -128,4 +134,5 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
     "op9_identify_languages": Query(op9_identify_languages),
+    "op10_score_toxicity": Query(op10_score_toxicity),
 }
