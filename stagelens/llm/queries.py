@@ -51,6 +51,12 @@ FROM placed
 """
 
 
+def op4_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -130,6 +136,7 @@ FROM embeddings v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(op1_mix_sources, OP1_SQL),
+    "op4_extract_pages": Query(op4_extract_pages),
     "op5_count_tokens": Query(op5_count_tokens),
     "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
