@@ -51,6 +51,14 @@ FROM placed
 """
 
 
+def op2_store_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_shards import stored_tokens
+
+    return stored_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -136,6 +144,7 @@ FROM embeddings v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(op1_mix_sources, OP1_SQL),
+    "op2_store_tokens": Query(op2_store_tokens),
     "op4_extract_pages": Query(op4_extract_pages),
     "op5_count_tokens": Query(op5_count_tokens),
     "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
