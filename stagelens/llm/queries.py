@@ -73,6 +73,14 @@ def op5_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_encode_and_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_words import encode_and_decode
+
+    return encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_documents
 
@@ -147,6 +155,7 @@ QUERIES: dict[str, Query] = {
     "op2_store_tokens": Query(op2_store_tokens),
     "op4_extract_pages": Query(op4_extract_pages),
     "op5_count_tokens": Query(op5_count_tokens),
+    "op6_encode_and_decode": Query(op6_encode_and_decode),
     "op7_ngram_join": Query(op7_ngram_join, OP7_SQL),
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
     "op9_identify_languages": Query(op9_identify_languages),
