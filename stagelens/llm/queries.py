@@ -59,6 +59,12 @@ def op2_store_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .digest import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
@@ -153,6 +159,7 @@ FROM embeddings v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": Query(op1_mix_sources, OP1_SQL),
     "op2_store_tokens": Query(op2_store_tokens),
+    "op3_fingerprints": Query(op3_fingerprints),
     "op4_extract_pages": Query(op4_extract_pages),
     "op5_count_tokens": Query(op5_count_tokens),
     "op6_encode_and_decode": Query(op6_encode_and_decode),
