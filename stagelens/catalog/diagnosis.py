@@ -43,7 +43,7 @@ for _by in mp.BOTTLENECK_BY:
     QUERIES[f"diag_top_stages_{_by}"] = _top_stages(_by)
 
 _STAGE_PLANS = (
-    "select s.*, j.job_id, j.sql_id, coalesce(p.plan_text, '') as plan_text from fact_stages s left join "
+    "select s.*, j.job_id, j.sql_id, coalesce(p.plan_text, '') as plan_text, " + views.ran_plan_sql("coalesce(p.raw_plan, '')") + " as ran_plan from fact_stages s left join "
     "(select app_id, stage_id, min(job_id) as job_id, arg_min(coalesce(sql_id, -1), job_id) as sql_id from "
     "(select app_id, job_id, sql_id, cast(unnest(string_split(stage_ids, ',')) as int) as stage_id from map_jobs) "
     "group by app_id, stage_id) j using (app_id, stage_id) left join dim_sql_plans p using (app_id, sql_id)"
@@ -51,7 +51,10 @@ _STAGE_PLANS = (
 
 
 def _has(node: str) -> str:
-    return f"regexp_matches(plan_text, '\\b{node}\\b')"
+    return f"regexp_matches(ran_plan, '\\b{node}\\b')"
+
+
+_WINDOW = "regexp_matches(ran_plan, '(?m)^ +.- Window .*\\n +.- Exchange SinglePartition')"
 
 
 def _stage_to_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +67,7 @@ def _stage_to_plan(spark: SparkSession, sf: str) -> DataFrame:
         "job_id",
         F.coalesce("sql_id", F.lit(-1)).alias("sql_id"),
         F.coalesce("plan_text", F.lit("")).alias("plan_text"),
-        *pt.NODES,
+        *pt.FLAGS,
     )
 
 
@@ -73,7 +76,7 @@ QUERIES["diag_stage_to_plan"] = Query(
     with_views(
         "select app_id, stage_id, attempt_id, job_id, sql_id, plan_text, "
         + ", ".join(f"{_has(node)} as {flag}" for flag, node in pt.NODES.items())
-        + " from stage_plans",
+        + f", {_WINDOW} as has_unpartitioned_window from stage_plans",
         stage_plans=_STAGE_PLANS,
     ),
 )
@@ -121,7 +124,7 @@ _RULES: dict[str, tuple[Callable, str, str]] = {
         rules.unpartitioned_window,
         "executor_run_time_ms",
         "select app_id, 'high' as severity, stage_id, sql_id, cast(executor_run_time_ms as varchar) as shown "
-        f"from stage_plans where {_has('Window')} and {_has('SinglePartition')} and num_tasks = 1",
+        f"from stage_plans where {_WINDOW} and num_tasks = 1",
     ),
     "nested_loop_join": (
         rules.nested_loop_join,
@@ -144,14 +147,13 @@ _RULES: dict[str, tuple[Callable, str, str]] = {
         "rank",
         "select app_id, case when disk_spill_kb > 0 then 'medium' else 'low' end as severity, stage_id, -1 as sql_id, "
         "cast(rank as varchar) as shown from (select *, row_number() over (partition by app_id order by "
-        f"{_order_sql('spill')}) as rank from fact_stages where memory_spill_kb + disk_spill_kb > 0) "
-        f"where rank <= {TH.top_k}",
+        f"{_order_sql('spill')}) as rank from fact_stages where memory_spill_kb + disk_spill_kb > 0)",
     ),
     "python_memory": (
         rules.python_memory,
         "executor_id",
         "select app_id, 'high' as severity, -1 as stage_id, sql_id, executor_id as shown from peaks join "
-        f"(select app_id, min(sql_id) as sql_id from dim_sql_plans where {_has('BatchEvalPython')} "
+        f"(select app_id, min(sql_id) as sql_id from (select *, {views.ran_plan_sql('raw_plan')} as ran_plan from dim_sql_plans) where {_has('BatchEvalPython')} "
         f"or {_has('ArrowEvalPython')} group by app_id) using (app_id) "
         f"where metric_name = '{rules.RSS_METRIC}' and peak > mean * {TH.rss_ratio}",
     ),

@@ -228,7 +228,7 @@ QUERIES["tele_clean_plan"] = Query(
 
 def _plan_flags(spark: SparkSession, sf: str) -> DataFrame:
     plans = views.tables(spark, sf)["dim_sql_plans"]
-    text = F.col("plan_text")
+    text = F.col("raw_plan")
     return plans.select(
         "app_id", "sql_id", pt.plan_flags(text).alias("f"), pt.plan_node_count(text, "Exchange").alias("n_exchange")
     ).select("app_id", "sql_id", "f.*", F.col("n_exchange").cast("int"))
@@ -238,8 +238,10 @@ QUERIES["tele_plan_flags"] = Query(
     _plan_flags,
     with_views(
         "select app_id, sql_id, "
-        + ", ".join(f"regexp_matches(plan_text, '\\b{node}\\b') as {flag}" for flag, node in pt.NODES.items())
-        + ", cast(len(regexp_extract_all(plan_text, '\\bExchange\\b')) as int) as n_exchange from dim_sql_plans"
+        + ", ".join(f"regexp_matches(ran, '\\b{node}\\b') as {flag}" for flag, node in pt.NODES.items())
+        + ", regexp_matches(ran, '(?m)^ +.- Window .*\\n +.- Exchange SinglePartition') as has_unpartitioned_window, "
+        "cast(len(regexp_extract_all(raw_plan, '\\bExchange\\b')) as int) as n_exchange "
+        f"from (select *, {views.ran_plan_sql('raw_plan')} as ran from dim_sql_plans)"
     ),
 )
 

@@ -159,14 +159,22 @@ def plans(apps: DataFrame) -> DataFrame:
     )
 
 
+# more lines than the cleaner keeps, then a plan that never ran
+FILLER_LINE = "   :  +- Filter (x#3 > 1)"
+FILLER_LINES = 60
+FILLER = f"\n{FILLER_LINE}" * FILLER_LINES
+INITIAL = "\n== Initial Plan ==\n"
+
+
 def raw_plan(sql_id, node):
-    """Plan text with the noise the cleaner removes."""
+    """Plan text with the noise the cleaner removes, longer than it keeps, with an initial plan."""
     i = sql_id.cast("string")
     columns = [x for c in "abcdef" for x in (F.lit(f"{c}#"), i, F.lit(", "))]
     return F.concat(
         F.lit("== Physical Plan ==\n*("), i, F.lit(") Project ["), *columns,
         F.lit("g#"), i, F.lit("L] [codegen id : "), i, F.lit("]\n   +- "), node,
         F.lit(" [x#1]\n      +- Exchange SinglePartition\nplain words"),
+        F.lit(FILLER), F.lit(INITIAL), F.lit("      +- CartesianProduct\n\n(7) Sort\nInput: late"),
     )
 
 
@@ -174,7 +182,9 @@ RAW_PLAN_SQL = (
     "concat('== Physical Plan ==', chr(10), '*(', {i}, ') Project [', "
     + "".join(f"'{c}#', {{i}}, ', ', " for c in "abcdef")
     + "'g#', {i}, 'L] [codegen id : ', {i}, ']', chr(10), '   +- ', {node}, "
-    "' [x#1]', chr(10), '      +- Exchange SinglePartition', chr(10), 'plain words')"
+    "' [x#1]', chr(10), '      +- Exchange SinglePartition', chr(10), 'plain words', "
+    + f"repeat(chr(10) || '{FILLER_LINE}', {FILLER_LINES}), chr(10), '== Initial Plan ==', chr(10), "
+    "'      +- CartesianProduct', chr(10), chr(10), '(7) Sort', chr(10), 'Input: late')"
 )
 
 
@@ -221,6 +231,7 @@ def tables(spark: SparkSession, sf: str, t: DataFrame | None = None) -> dict[str
             "sql_id",
             F.concat(F.lit("query "), F.col("sql_id").cast("string")).alias("description"),
             tel.pt.clean_plan(F.col("raw_plan")).alias("plan_text"),
+            "raw_plan",
             (F.col("sql_id") * 1000).cast("bigint").alias("duration_ms"),
         ),
         "fact_hardware_metrics": metrics(spark, sf),
@@ -270,15 +281,25 @@ def keep_lines_sql(text: str) -> str:
     )
 
 
+# one list item holds no "]" and no ", "
+_ITEM = r"(?:[^,\]\n]|,+[^, \]\n])*,*"
+LONG_LIST = rf"\[({_ITEM}, {_ITEM}, {_ITEM})(?:, {_ITEM}){{2,}}, ({_ITEM})\]"
+
+
 def clean_plan_sql(text: str) -> str:
     masked = (
         f"regexp_replace(regexp_replace(coalesce({text}, ''), "
         r"'\[codegen id : \d+\]', '', 'g'), '#\d+', '#ID', 'g')"
     )
-    short = f"regexp_replace({masked}, '{tel.pt.LONG_LIST}', '[\\1, ..., \\2]', 'g')"
+    short = f"regexp_replace({masked}, '{LONG_LIST}', '[\\1, ..., \\2]', 'g')"
     return keep_lines_sql(short)
 
 
+def ran_plan_sql(text: str) -> str:
+    """Without initial plans, and without the one section of details no tree names."""
+    return f"regexp_replace(regexp_replace({text}, '(?s)== Initial Plan ==.*?(\\n\\n|$)', '\\1', 'g'), '\\n\\n\\(7\\)(?s:.*)$', '')"
+
+
 def median_sql(group: str, value: str, source: str) -> str:
     """Element floor(n / 2) of each sorted group."""
     return (
@@ -319,7 +340,7 @@ CTES = {
     "case when executor_id = '3' then 'lost' else 'N/A' end as exit_reason from v_tasks",
     "dim_sql_plans": "select app_id, i as sql_id, 'query ' || i as description, "
     + clean_plan_sql(RAW_PLAN_SQL.format(i="i", node="node"))
-    + " as plan_text, cast(i * 1000 as bigint) as duration_ms "
+    + " as plan_text, " + RAW_PLAN_SQL.format(i="i", node="node") + " as raw_plan, cast(i * 1000 as bigint) as duration_ms "
     f"from v_apps, (values {_PLAN_ROWS}) p(i, node)",
     "fact_hardware_metrics": f"select app_id, ts as timestamp, executor_id, metric_name, {METRIC_VALUE_SQL} "
     "as value_kb_or_ms from v_samples",

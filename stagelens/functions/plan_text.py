@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # A plan line is kept when it holds one of these marks.
 LINE_MARKS = ("+-", ":", "(", "*", "==")
+# for display only: rules read the uncut text
 MAX_LINES = 50
+MOST_ITEMS = 5
 
 # What counts as white space at the ends of a line.
 WHITESPACE = (
@@ -16,11 +18,6 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# One list item holds no "]" and no ", "; written without lookahead so that the
-# same pattern runs on any regex engine.
-_ITEM = r"(?:[^,\]\n]|,+[^, \]\n])*,*"
-LONG_LIST = rf"\[({_ITEM}, {_ITEM}, {_ITEM})(?:, {_ITEM}){{2,}}, ({_ITEM})\]"
-
 # flag name -> node name as it stands in a plan
 NODES = {
     "has_sort_merge_join": "SortMergeJoin",
@@ -50,9 +47,31 @@ def mask_expression_ids(text: Column) -> Column:
     return F.regexp_replace(text, r"#\d+", "#ID")
 
 
+def _short_list(items: Column) -> Column:
+    return F.concat(F.slice(items, 1, 3), F.array(F.lit("..."), F.element_at(items, -1)))
+
+
+def _short_lists_of_line(line: Column) -> Column:
+    """Cut at closing brackets; what stands after the first opening one of a piece is a list."""
+    pieces = F.split(line, "]", -1)
+
+    def piece(text: Column, at: Column) -> Column:
+        start = F.instr(text, "[")
+        items = F.split(F.substr(text, start + 1), ", ", -1)
+        short = F.concat(F.substr(text, F.lit(1), start), F.array_join(_short_list(items), ", "))
+        closed = at < F.size(pieces) - 1
+        return F.when(closed & (start > 0) & (F.size(items) > MOST_ITEMS), short).otherwise(text)
+
+    return F.array_join(F.transform(pieces, piece), "]")
+
+
 def shorten_lists(text: Column) -> Column:
-    """Bracketed lists of more than five items keep the first three and the last."""
-    return F.regexp_replace(text, LONG_LIST, "[$1, ..., $2]")
+    """Bracketed lists of more than five items keep the first three and the last.
+
+    Lists end on their line. Plain splits, so that lists and items of any
+    length cost one pass and no recursion.
+    """
+    return F.array_join(F.transform(F.split(text, "\n", -1), _short_lists_of_line), "\n")
 
 
 def keep_plan_lines(text: Column) -> Column:
@@ -75,12 +94,68 @@ def clean_plan(text: Column) -> Column:
     return keep_plan_lines(shorten_lists(mask_expression_ids(drop_codegen_ids(text))))
 
 
-def plan_flags(text: Column) -> Column:
-    """One boolean per plan operator the rules ask about."""
+_FINAL, _INITIAL = "== Final Plan ==", "== Initial Plan =="
+
+
+def ran_plan(text: Column) -> Column:
+    """The part of an uncut plan that ran: without initial plans and without details of nodes that only they have.
+
+    An initial plan goes to the next blank line. A section of details, "(12) Sort"
+    and what follows it up to a blank line, stays if a tree line ends in its number.
+    """
     text = F.coalesce(text, F.lit(""))
-    return F.struct(*[text.rlike(rf"\b{node}\b").alias(flag) for flag, node in NODES.items()])
+    parts = F.split(text, _INITIAL, -1)
+    after = F.transform(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda part: F.when(F.instr(part, "\n\n") > 0, F.substr(part, F.instr(part, "\n\n"))).otherwise(F.lit("")),
+    )
+    final = F.concat(F.element_at(parts, 1), F.array_join(after, ""))
+    sections = F.split(final, "\n\n", -1)
+    is_detail = lambda section: section.rlike(r"^\s*\(\d+\) ")
+    trees = F.array_join(F.filter(sections, lambda section: ~is_detail(section)), "\n\n")
+    ids = F.regexp_extract_all(trees, F.lit(r"(?m)\((\d+)\) *$"), 1)
+    number = lambda section: F.regexp_extract(section, r"^\s*\((\d+)\) ", 1)
+    kept = F.filter(sections, lambda section: ~is_detail(section) | F.array_contains(ids, number(section)))
+    return F.array_join(kept, "\n\n")
+
+
+# Nodes with one child that leave rows where they are, as they may stand between a window and its exchange.
+_PASSING = "Sort|Project|Filter|AQEShuffleRead|CustomShuffleReader|ShuffleQueryStage|InputAdapter|WholeStageCodegen|WindowGroupLimit|Window"
+
+
+def has_unpartitioned_window(ran: Column) -> Column:
+    """Does a window take its rows from an exchange into a single partition?
+
+    Told from the tree: each node between stands on the line below its parent.
+    The exchange names its partitioning on its own line, or in its details.
+    """
+    sections = F.filter(
+        F.split(ran, "\n\n", -1), lambda s: s.rlike(r"^\s*\(\d+\) Exchange") & F.contains(s, F.lit("Arguments: SinglePartition"))
+    )
+    singles = F.transform(sections, lambda s: F.regexp_extract(s, r"^\s*\((\d+)\) ", 1))
+
+    def mark(line: Column) -> Column:
+        name = F.regexp_extract(line, r"^[\s:+\-*()\d]*([A-Za-z]\w*)", 1)
+        number = F.regexp_extract(line, r"\((\d+)\) *$", 1)
+        single = (name == "Exchange") & (F.contains(line, F.lit("SinglePartition")) | F.array_contains(singles, number))
+        passing = F.lit(f"|{_PASSING}|").contains(F.concat(F.lit("|"), name, F.lit("|")))
+        return F.when(single, "x").when(name == "Window", "w").when(passing, "p").otherwise("-")
+
+    return F.array_join(F.transform(F.split(ran, "\n", -1), mark), "").rlike("w[wp]*x")
+
+
+def plan_flags(text: Column) -> Column:
+    """One boolean per plan operator the rules ask about, from the uncut text of a plan, as far as it ran."""
+    ran = ran_plan(text)
+    return F.struct(
+        *[ran.rlike(rf"\b{node}\b").alias(flag) for flag, node in NODES.items()],
+        has_unpartitioned_window(ran).alias("has_unpartitioned_window"),
+    )
 
 
 def plan_node_count(text: Column, node: str) -> Column:
     """How often a plan operator occurs."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"\b{node}\b"))
+
+
+FLAGS = (*NODES, "has_unpartitioned_window")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import plan_text as pt
@@ -21,9 +21,18 @@ BOTTLENECK_BY = {
 
 def top_stages(stages: DataFrame, k: int = 3, by: str = "duration") -> DataFrame:
     """The ``k`` worst stages of each application by spill, shuffle or duration."""
+    return top_per_group(stages, ["app_id"], _worst_first(by), k)
+
+
+def _worst_first(by: str) -> list[Column]:
     weight = sum((F.col(c) for c in BOTTLENECK_BY[by]), F.lit(0))
-    order = [weight.desc(), F.col("stage_id"), F.col("attempt_id")]
-    return top_per_group(stages, ["app_id"], order, k)
+    return [weight.desc(), F.col("stage_id"), F.col("attempt_id")]
+
+
+def rank_stages(stages: DataFrame, by: str = "duration") -> DataFrame:
+    """All stages with their place in their application, the worst first."""
+    place = F.row_number().over(Window.partitionBy("app_id").orderBy(*_worst_first(by)))
+    return stages.withColumn("rank", place)
 
 
 def stage_jobs(map_jobs: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def stage_to_plan(
     flags = plans.select(
         "app_id",
         "sql_id",
-        pt.plan_flags(F.col("plan_text")).alias("f"),
+        pt.plan_flags(F.col("raw_plan")).alias("f"),
         *(["plan_text"] if with_text else []),
     ).select("app_id", "sql_id", "f.*", *(["plan_text"] if with_text else []))
     # stages outside SQL match no plan; spread them instead of meeting at one null key
@@ -61,7 +70,7 @@ def stage_to_plan(
     key = F.coalesce("sql_id", spare).alias("_sql")
     linked = stages.join(stage_jobs(map_jobs), ["app_id", "stage_id"], "left").select("*", key)
     joined = linked.join(flags.withColumnRenamed("sql_id", "_sql"), ["app_id", "_sql"], "left")
-    return joined.drop("_sql").withColumns({f: F.coalesce(f, F.lit(False)) for f in pt.NODES})
+    return joined.drop("_sql").withColumns({f: F.coalesce(f, F.lit(False)) for f in pt.FLAGS})
 
 
 def _bucket(ts: Column, bucket_s: int) -> Column:

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mapping import MEMORY_METRIC, memory_headroom, stage_metrics, stage_to_plan, top_stages
+from ..functions import plan_text as pt
+from .mapping import MEMORY_METRIC, memory_headroom, rank_stages, stage_metrics, stage_to_plan, top_stages
 from .telemetry import metric_peaks
 
 FINDING = ["app_id", "rule_id", "severity", "stage_id", "sql_id", "evidence"]
@@ -25,7 +26,6 @@ class Thresholds:
     single_task_share: float = 0.5  # one-task stage over all stage time
     rss_ratio: float = 2.0  # Python memory peak over its mean
     shuffle_share: float = 0.01  # shuffle written over input read
-    top_k: int = 3  # stages listed per application
 
 
 Tables = Mapping[str, DataFrame]
@@ -117,7 +117,7 @@ def _stage_rules(th: Thresholds) -> dict[str, tuple[Column, Column, Column]]:
             ),
         ),
         "unpartitioned_window": (
-            F.col("has_window") & F.col("has_single_partition") & (F.col("num_tasks") == 1),
+            F.col("has_unpartitioned_window") & (F.col("num_tasks") == 1),
             F.lit("high"),
             _evidence(
                 attempt_id=attempt, executor_run_time_ms=_text(F.col("executor_run_time_ms"))
@@ -205,9 +205,9 @@ def single_task_stage(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
 
 
 def spill_ranking(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
-    """The stages that spilled most, ranked per application."""
+    """All stages that spilled, ranked per application by how much."""
     spilled = t["fact_stages"].filter(F.col("memory_spill_kb") + F.col("disk_spill_kb") > 0)
-    ranked = top_stages(spilled, th.top_k, "spill")
+    ranked = rank_stages(spilled, "spill")
     evidence = _evidence(
         rank=_text(F.col("rank")),
         attempt_id=_text(F.col("attempt_id")),
@@ -238,7 +238,8 @@ def python_memory(
     spikes = peaks.filter(
         (F.col("metric_name") == RSS_METRIC) & (F.col("peak") > F.col("mean") * th.rss_ratio)
     )
-    python = F.col("plan_text").rlike(r"\b(BatchEvalPython|ArrowEvalPython)\b")
+    flags = pt.plan_flags(F.col("raw_plan"))
+    python = flags["has_batch_python"] | flags["has_arrow_python"]
     users = t["dim_sql_plans"].filter(python).groupBy("app_id").agg(F.min("sql_id").alias("sql_id"))
     evidence = _evidence(executor_id=F.col("executor_id"), peak_kb=_kb("peak"), mean_kb=_kb("mean"))
     return _finding(

@@ -35,7 +35,7 @@ TABLES = {
         "max_memory_kb double, is_active boolean, exit_reason string"
     ),
     "dim_sql_plans": (
-        "app_id string, sql_id int, description string, plan_text string, duration_ms bigint"
+        "app_id string, sql_id int, description string, plan_text string, raw_plan string, duration_ms bigint"
     ),
     "fact_hardware_metrics": (
         "app_id string, timestamp timestamp_ntz, executor_id string, metric_name string, "
@@ -230,7 +230,7 @@ def _stages(stages: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def _sql_plans(sql: DataFrame, details: DataFrame) -> DataFrame:
     plan = pt.first_plan(F.col("planDescription"), F.col("physicalPlanDescription"))
-    cleaned = details.select("app_id", "sql_id", pt.clean_plan(plan).alias("plan_text"))
+    cleaned = details.select("app_id", "sql_id", pt.clean_plan(plan).alias("plan_text"), plan.alias("raw_plan"))
     return sql.select("app_id", F.col("id").alias("sql_id"), "description", "duration").join(
         cleaned, ["app_id", "sql_id"], "left"
     ).select(
@@ -238,6 +238,7 @@ def _sql_plans(sql: DataFrame, details: DataFrame) -> DataFrame:
         "sql_id",
         F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("plan_text", F.lit("")).alias("plan_text"),
+        F.coalesce("raw_plan", F.lit("")).alias("raw_plan"),
         F.coalesce("duration", F.lit(0)).alias("duration_ms"),
     )
 
@@ -476,6 +477,7 @@ def _log_sql_plans(events: DataFrame) -> DataFrame:
         "sql_id",
         F.coalesce("description", F.lit("")).alias("description"),
         pt.clean_plan(F.col("plan")).alias("plan_text"),
+        F.coalesce("plan", F.lit("")).alias("raw_plan"),
         F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)).alias("duration_ms"),
     )
 

@@ -173,7 +173,7 @@ def test_kinds_filter_before_parsing(spark, handmade):
 
 
 def test_flags_of_a_formatted_plan(logged, names):
-    plans = logged["dim_sql_plans"].select("app_id", pt.plan_flags(logged["dim_sql_plans"].plan_text).alias("f"))
+    plans = logged["dim_sql_plans"].select("app_id", pt.plan_flags(logged["dim_sql_plans"].raw_plan).alias("f"))
     flags = {names[r.app_id]: r.f for r in plans.collect() if names[r.app_id] != "failing"}
     assert flags["pairs"].has_cartesian and flags["sort_merge"].has_sort_merge_join
     assert flags["broadcast"].has_broadcast_hash_join and not flags["broadcast"].has_sort_merge_join

@@ -47,23 +47,77 @@ def test_clean_plan_keeps_fifty_lines(spark):
     assert cleaned == "\n".join(f": {i}" for i in range(50))
 
 
-def test_list_shortening_equals_plain_statement_of_the_rule(spark):
-    """Any list of more than five items keeps three and the last."""
-    import random
+LISTS = {
+    "[]": "[]",
+    "[a, b, c, d, e]": "[a, b, c, d, e]",
+    "[a, b, c, d, e, f]": "[a, b, c, ..., f]",
+    "x [a, b, c, d, e, f] y [1, 2] z": "x [a, b, c, ..., f] y [1, 2] z",
+    "[a, [b, c, d, e, f]": "[a, [b, c, ..., f]",
+    "[a, b, c,\nd, e, f, g]": "[a, b, c,\nd, e, f, g]",
+    "a, b, c, d, e, f, g": "a, b, c, d, e, f, g",
+    "[a, b, c, d, e, f": "[a, b, c, d, e, f",
+    "]] [a,b, c,d, e,f, g, h, , i]": "]] [a,b, c,d, e,f, ..., i]",
+    "[" + ", ".join(f"c{i}" for i in range(60)) + "]": "[c0, c1, c2, ..., c59]",
+    "[" + ", ".join(f"c{i}" for i in range(5000)) + "] +- [x]": "[c0, c1, c2, ..., c4999] +- [x]",
+    "[" + "y" * 100_000 + ", a, b, c, d, e]": "[" + "y" * 100_000 + ", a, b, ..., e]",
+    "[" * 30_000: "[" * 30_000,
+}
 
-    rnd = random.Random(5)
-    texts = ["".join(rnd.choice(["a", ",", " ", ", ", "[", "]", "\n", "b, "]) for _ in range(60)) for _ in range(400)]
 
-    def plain(text):
-        def short(m):
-            items = m.group(1).split(", ")
-            return m.group(0) if len(items) <= 5 else "[" + ", ".join([*items[:3], "...", items[-1]]) + "]"
+def test_list_shortening(spark):
+    df = spark.createDataFrame(list(enumerate(LISTS)), "i int, p string")
+    got = {r.i: r.c for r in df.select("i", pt.shorten_lists(F.col("p")).alias("c")).collect()}
+    assert [got[i] for i in range(len(LISTS))] == list(LISTS.values())
+
+
+FORMATTED = """== Physical Plan ==
+AdaptiveSparkPlan (9)
++- == Final Plan ==
+   * Project (5)
+   +- Window (4)
+      +- * Sort (3)
+         +- AQEShuffleRead (2)
+            +- ShuffleQueryStage (1), Statistics(sizeInBytes=1)
+               +- Exchange (6)
+                  +- BroadcastHashJoin Inner (10)
++- == Initial Plan ==
+   Project (7)
+   +- SortMergeJoin Inner (8)
+
+(6) Exchange
+Input [1]: [a#1]
+Arguments: {partitioning}, ENSURE_REQUIREMENTS
+
+(8) SortMergeJoin
+Left keys [1]: [a#1]
+
+(4) Window
+Arguments: [sum(a#1)]
+"""
+
+
+def test_flags_come_from_the_plan_that_ran(spark):
+    flags = one(spark, pt.plan_flags(F.lit(FORMATTED.format(partitioning="SinglePartition"))))[0]
+    assert flags.has_broadcast_hash_join and flags.has_unpartitioned_window and flags.has_single_partition
+    assert not flags.has_sort_merge_join
+    flags = one(spark, pt.plan_flags(F.lit(FORMATTED.format(partitioning="hashpartitioning(a#1, 200)"))))[0]
+    assert flags.has_window and not flags.has_unpartitioned_window and not flags.has_single_partition
+
+
+def test_window_with_a_key_under_a_global_aggregate(spark):
+    text = (
+        "== Physical Plan ==\nHashAggregate(keys=[])\n+- Exchange SinglePartition, ENSURE_REQUIREMENTS\n   +- Window [sum(a#1)]\n"
+        "      +- Sort [a#1]\n         +- Exchange hashpartitioning(a#1, 200)"
+    )
+    flags = one(spark, pt.plan_flags(F.lit(text)))[0]
+    assert flags.has_window and flags.has_single_partition and not flags.has_unpartitioned_window
 
-        return re.sub(r"\[([^\n]*?)\]", short, text)
 
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, p string")
-    got = {r.i: r.c for r in df.select("i", pt.shorten_lists(F.col("p")).alias("c")).collect()}
-    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+def test_window_over_a_long_plan(spark):
+    tree = [f"{' ' * 3 * i}+- Project [a#{i}]" for i in range(80)]
+    tree += [f"{' ' * 240}+- Window [row_number()]", f"{' ' * 243}+- *(2) Sort [a#1]", f"{' ' * 246}+- Exchange SinglePartition"]
+    flags = one(spark, pt.plan_flags(F.lit("\n".join(tree))))[0]
+    assert flags.has_unpartitioned_window
 
 
 def test_plan_flags_match_whole_node_names(spark):
