@@ -67,7 +67,8 @@ def _workload(name: str, body: str) -> Query:
 
 
 def _spread(spark: SparkSession, sf: str, name: str, by: str) -> DataFrame:
-    return tb.spread(table_of(spark, sf, name), by)
+    """Test tables come in one small file each; their work is dealt over the cores."""
+    return tb.spread(table_of(spark, sf, name), spark.sparkContext.defaultParallelism, by)
 
 
 _SUM = "cast(sum(cast(amount as decimal(18,2))) as double)"
@@ -224,6 +225,31 @@ QUERIES["join_skew_salted"] = Query(
 )
 
 
+def _join_skew_both(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales joined with the offers of their promotion; the hot promotion has most of both."""
+    sales = star(spark, sf)["sales_fact"].select("promotion_id", "transaction_id", "store_id")
+    offers = sales.filter(F.col("transaction_id") % 1000 == 0).select("promotion_id", F.col("transaction_id").alias("offer_id"))
+    joined = jn.skew_join(sales, offers, "promotion_id")
+    return joined.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("offer_id") % 7).cast("bigint").alias("sum_offers")
+    )
+
+
+QUERIES["join_skew_both"] = Query(
+    _join_skew_both,
+    STAR_CTE + "select store_id, cast(sum(n) as bigint) as n_rows, cast(sum(s) as bigint) as sum_offers from sales_fact join "
+    "(select promotion_id, count(*) as n, sum(transaction_id % 7) as s from sales_fact where transaction_id % 1000 = 0 "
+    "group by promotion_id) using (promotion_id) group by store_id",
+)
+
+QUERIES["random_ids"] = Query(
+    lambda spark, sf: table_of(spark, sf, "orders").select(sc.random_id().alias("id")).agg(
+        F.count("id").alias("n_rows"), F.countDistinct("id").alias("n_ids")
+    ),
+    "select count(*) as n_rows, count(*) as n_ids from orders",
+)
+
+
 def _join_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     left = table_of(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"))
     size = jn.join_cardinality(left, left, "k")
@@ -320,7 +346,7 @@ QUERIES["udf_two_columns_rewrite"] = Query(
 
 def _table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "table")
-    tb.write_table(tb.repartition_for_write(table_of(spark, sf, "orders"), 16), path)
+    tb.write_table(tb.repartition_for_write(table_of(spark, sf, "orders")), path)
     return tb.read_table(spark, path)
 
 

@@ -12,7 +12,6 @@ from ..plans import mapping as mp
 from ..plans import store as st
 from ..plans import telemetry as tel
 from ..session import scratch_path
-from ..sources.tables import spread
 from . import Query, landed, views
 from .views import with_views
 
@@ -200,7 +199,7 @@ QUERIES["tele_metric_peaks"] = Query(
 # --- plan text --------------------------------------------------------------------------
 
 QUERIES["tele_plan_lines"] = Query(
-    lambda spark, sf: spread(views.table_of(spark, sf, "documents"), "doc_id").select(
+    lambda spark, sf: views.table_of(spark, sf, "documents").select(
         "doc_id", pt.clean_plan(F.col("text")).alias("plan_text")
     ),
     f"select doc_id, {views.clean_plan_sql('text')} as plan_text from documents",
@@ -209,7 +208,7 @@ QUERIES["tele_plan_lines"] = Query(
 
 def _order_plans(spark: SparkSession, sf: str) -> DataFrame:
     """One generated plan per order; the node depends on the priority."""
-    orders = spread(views.table_of(spark, sf, "orders"), "o_orderkey")
+    orders = views.table_of(spark, sf, "orders")
     return orders.select(
         "o_orderkey", views.raw_plan(F.col("o_orderkey"), F.col("o_orderpriority")).alias("raw_plan")
     )
@@ -397,7 +396,7 @@ def _store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Load all applications, offer them again, read the store."""
     tables = views.tables(spark, sf)
     out = scratch_path(spark, "store")
-    st.load_tables(tables, out, 0)
+    st.load_tables(tables, out, "first")
     st.load_new(spark, tables, out)
     stored = st.read_store(spark, out)
     stages = stored["fact_stages"].groupBy("app_id").agg(

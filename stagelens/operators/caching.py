@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -21,14 +22,14 @@ def cached(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def count_slices_cached(df: DataFrame, slices: Mapping[str, Column]) -> DataFrame:
-    """Row count per named slice, each slice cached while it is counted.
-
-    Slices are released one by one, so at most one occupies memory.
-    """
-    rows = []
-    for name, predicate in slices.items():
-        with cached(df.filter(predicate)) as part:
-            rows.append((name, part.count()))
+    """Row count per named slice; the input is read once, kept, and each slice counted from it."""
+    with cached(df) as kept:
+        counts = [
+            kept.filter(predicate).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("slice"), "n_rows")
+            for name, predicate in slices.items()
+        ]
+        # one row for each slice
+        rows = reduce(DataFrame.unionByName, counts).collect()
     return df.sparkSession.createDataFrame(rows, "slice string, n_rows bigint")
 
 

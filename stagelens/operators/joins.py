@@ -51,11 +51,11 @@ def broadcast_join(
     """Equi inner join with a small dimension: no shuffle of the large side.
 
     The dimension is measured first; beyond ``max_rows`` (or a fixed number of
-    bytes) the join is left to the optimizer, which shuffles.
+    bytes) both sides move, hot keys split.
     """
     if fits_broadcast(small, max_rows):
         return left.join(F.broadcast(small), _keys(on))
-    return left.join(small, _keys(on))
+    return skew_join(left, small, on)
 
 
 def cross_join_totals(
@@ -120,6 +120,23 @@ def join_cardinality_by(left: DataFrame, right: DataFrame, on: str | Sequence[st
     return n_left.join(n_right, keys).withColumn("n_rows", size.cast("decimal(38,0)"))
 
 
+def _hot_keys(counts: DataFrame, keys: list[str], shares: int, tag: str) -> DataFrame:
+    """Keys with more than 1/``shares`` of the rows, and how many shares each one fills.
+
+    One pass: the grand total comes with the per-key counts, and of those only
+    the largest are looked at, as no more than ``shares`` keys can be hot.
+    """
+    level = F.grouping_id()
+    rolled = counts.rollup(*keys).agg(F.sum("n").alias("n"), level.alias("_level"))
+    whole = (1 << len(keys)) - 1
+    top = rolled.filter(F.col("_level").isin(0, whole)).orderBy(F.desc("_level"), F.desc("n")).limit(shares + 1).collect()
+    total = top[0]["n"] if top and top[0]["_level"] == whole else 0
+    hot = [tuple(r[k] for k in keys) + (-(-r["n"] * shares // total),) for r in top[1:] if r["n"] * shares > total]
+    types = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    schema = ", ".join([f"`_hot_{k}` {types[k]}" for k in keys] + [f"{tag} int"])
+    return counts.sparkSession.createDataFrame(hot, schema)
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -129,13 +146,14 @@ def skew_join(
     salt_by: Sequence[str] | None = None,
     shares: int = HOT_SHARES,
 ) -> DataFrame:
-    """Equi join whose left side may hold most of its rows under a few keys.
+    """Equi join whose sides may hold most of their rows under a few keys.
 
-    Rows of a hot key are spread over as many salts as the key has shares of
-    the table; the right rows of that key are repeated once per salt. Other
-    keys keep one salt, so nothing else is repeated. ``how`` is ``inner`` or
-    ``left``; a left join also matches the null key, as a lookup of per-key
-    results needs.
+    Rows of a key that is hot on a side are spread over as many salts as the key
+    has shares of that side; the other side's rows of that key are repeated once
+    per salt. A key hot on both sides makes a grid of both salts, each left row
+    meeting each right row in one cell. Other keys keep one salt, so nothing
+    else is repeated. ``how`` is ``inner`` or ``left``; a left join also matches
+    the null key, as a lookup of per-key results needs, and splits the left side only.
 
     The salt hashes the row and the input partition it came from: a row keeps its
     salt when a task is run again, and exact copies still spread as far as their
@@ -147,36 +165,31 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     keys = _keys(on)
-    salt_by = list(salt_by or [c for c in left.columns if c not in keys])
-    if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        total = left.count()
-    else:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.filter(F.col("n") * shares > F.lit(total)).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        F.ceil(F.col("n") * shares / F.lit(max(total, 1))).cast("int").alias("_salts"),
-    )
-
-    def with_salts(df: DataFrame) -> DataFrame:
-        cond = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-        )
-        drop = [f"_hot_{k}" for k in keys]
-        return df.join(F.broadcast(hot), cond, "left").drop(*drop)
-
-    spot = F.xxhash64(*salt_by, F.spark_partition_id())
-    salt = F.pmod(spot, F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
-    salted_left = with_salts(left).withColumn("_salt", salt).drop("_salts")
-    every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    salted_right = rename_shared(
-        with_salts(right).withColumn("_salt", every_salt).drop("_salts"), "__r"
-    )
-    cond = F.col("_salt") == F.col("_salt__r")
+    one = F.lit(1).cast("bigint").alias("n")
+    hot_left = _hot_keys(left.select(*keys, one) if counts is None else counts, keys, shares, "_left")
+    hot_right = _hot_keys(right.select(*keys, one), keys, shares, "_right") if how == "inner" else None
+
+    def with_salts(df: DataFrame, hot: DataFrame | None, out: str) -> DataFrame:
+        if hot is None:
+            return df.withColumn(out, F.lit(1))
+        cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+        # at most ``shares`` rows
+        found = df.join(F.broadcast(hot), cond, "left").drop(*[f"_hot_{k}" for k in keys])
+        return found.withColumn(out, F.coalesce(out, F.lit(1)))
+
+    def spread(df: DataFrame, by: Sequence[str], own: str, other: str) -> DataFrame:
+        salted = with_salts(with_salts(df, hot_left, "_left"), hot_right, "_right")
+        place = F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return salted.withColumn(f"{own}_salt", place).withColumn(f"{other}_salt", every).drop("_left", "_right")
+
+    spread_left = spread(left, list(salt_by or [c for c in left.columns if c not in keys] or keys), "_left", "_right")
+    spread_right = rename_shared(spread(right, [c for c in right.columns if c not in keys] or keys, "_right", "_left"), "__r")
+    cond = (F.col("_left_salt") == F.col("_left_salt__r")) & (F.col("_right_salt") == F.col("_right_salt__r"))
     for k in keys:
         r = F.col(f"{k}__r")
         cond = cond & (F.col(k).eqNullSafe(r) if how == "left" else F.col(k) == r)
-    joined = salted_left.join(salted_right, cond, how)
+    joined = spread_left.join(spread_right, cond, how)
     payload = [c for c in right.columns if c not in keys]
     return joined.select(
         *[F.col(c) for c in left.columns], *[F.col(f"{c}__r").alias(c) for c in payload]

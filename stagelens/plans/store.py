@@ -1,10 +1,13 @@
 """The telemetry store: columnar tables loaded one set of applications at a time.
 
-Layout: ``<out>/<table>/load_id=<n>/…`` and ``<out>/loads/load_id=<n>/…``, which
-lists the applications of complete loads. The list of a load is written last
-and readers join it, so they see whole applications or nothing, and loading an
-application again replaces it in one step. A load that died is repeated under
-its number and overwrites its folders.
+Layout: ``<out>/<table>/load_id=<name>/…`` and ``<out>/loads/load_id=<name>/…``,
+which lists the applications of complete loads and when they were loaded. The
+list of a load is written last and readers join it, so they see whole
+applications or nothing, and loading an application again replaces it in one
+step: the latest load counts. Every writer names its loads for itself, a batch
+load by a random name, a stream by its own id and the batch number, so no
+writer ever touches another one's folders; a load that is repeated under its
+name overwrites its own.
 
 Files follow the size of the data, not the number of applications: rows are
 clustered by application inside a load, so a filter on ``app_id`` skips row
@@ -13,6 +16,8 @@ groups by their bounds.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +29,7 @@ from .telemetry import TABLES, conform
 LOADS = "loads"
 
 
-def _write(df: DataFrame, out: str, name: str, load_id: int) -> None:
+def _write(df: DataFrame, out: str, name: str, load_id: str) -> None:
     # rebalance keeps an application together and lets AQE split one that is
     # far larger than the others
     (
@@ -35,27 +40,31 @@ def _write(df: DataFrame, out: str, name: str, load_id: int) -> None:
     )
 
 
-def load_tables(tables: Mapping[str, DataFrame], out: str, load_id: int) -> None:
+def load_tables(tables: Mapping[str, DataFrame], out: str, load_id: str) -> None:
     """Write the six tables of some applications, then list them as loaded."""
     for name in TABLES:
         _write(tables[name], out, name, load_id)
-    _write(tables["dim_applications"].select("app_id"), out, LOADS, load_id)
+    listed = tables["dim_applications"].select("app_id", F.lit(time.time_ns()).alias("loaded_ns"))
+    _write(listed, out, LOADS, load_id)
 
 
-def loads(spark: SparkSession, out: str) -> DataFrame:
-    """Latest complete load of each application."""
-    schema = "app_id string, load_id bigint"
+def _all_loads(spark: SparkSession, out: str) -> DataFrame:
+    schema = "app_id string, loaded_ns bigint, load_id string"
     path = f"{out}/{LOADS}"
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).groupBy("app_id").agg(
-        F.max("load_id").alias("load_id")
-    )
+    return spark.read.schema(schema).parquet(path)
+
+
+def loads(spark: SparkSession, out: str) -> DataFrame:
+    """Latest complete load of each application."""
+    latest = F.max(F.struct("loaded_ns", "load_id"))["load_id"]
+    return _all_loads(spark, out).groupBy("app_id").agg(latest.alias("load_id"))
 
 
-def next_load_id(spark: SparkSession, out: str) -> int:
-    last = loads(spark, out).agg(F.max("load_id")).first()[0]
-    return 0 if last is None else last + 1
+def other_loads(spark: SparkSession, out: str, load_id: str) -> DataFrame:
+    """Applications in the store by other loads than this one, which may be a repetition."""
+    return _all_loads(spark, out).filter(F.col("load_id") != load_id).select("app_id").distinct()
 
 
 def read_store(spark: SparkSession, out: str) -> dict[str, DataFrame]:
@@ -67,7 +76,7 @@ def read_store(spark: SparkSession, out: str) -> dict[str, DataFrame]:
         if not path_exists(spark, path):
             tables[name] = spark.createDataFrame([], schema)
             continue
-        stored = spark.read.schema(f"{schema}, load_id bigint").parquet(path)
+        stored = spark.read.schema(f"{schema}, load_id string").parquet(path)
         kept = stored.join(current, ["app_id", "load_id"], "left_semi")
         tables[name] = conform(kept, name)
     return tables
@@ -78,8 +87,8 @@ def new_apps(landed: DataFrame, loaded: DataFrame) -> DataFrame:
     return landed.join(loaded.select("app_id"), "app_id", "left_anti")
 
 
-def load_new(spark: SparkSession, tables: Mapping[str, DataFrame], out: str, load_id: int | None = None) -> None:
-    """Load only applications the store does not hold yet."""
-    load_id = next_load_id(spark, out) if load_id is None else load_id
-    earlier = loads(spark, out).filter(F.col("load_id") != load_id)
+def load_new(spark: SparkSession, tables: Mapping[str, DataFrame], out: str, load_id: str | None = None) -> None:
+    """Load only applications the store does not hold yet, under a name of its own."""
+    load_id = load_id or uuid.uuid4().hex
+    earlier = other_loads(spark, out, load_id)
     load_tables({n: new_apps(df, earlier) for n, df in tables.items()}, out, load_id)

@@ -564,11 +564,14 @@ def tables_from_events(events: DataFrame) -> dict[str, DataFrame]:
     return {name: conform(df, name) for name, df in {"dim_applications": apps, **done}.items()}
 
 
-def build_from_event_log(spark: SparkSession, path: str, staged: bool = True) -> dict[str, DataFrame]:
-    """Six tables from a folder of event logs.
+def build_from_event_log(
+    spark: SparkSession, path: str, staged: bool = True, known: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Six tables from a folder of event logs, the last attempt of each application.
 
     ``staged`` parses the text once into a columnar table in the shared folder;
     without it every table scans the text again, which suits small folders.
+    ``known`` (``app_id``, such as ``store.loads``) names applications whose logs are not read.
     """
-    events = el.stage_event_log(spark, path) if staged else el.read_event_log(spark, path)
+    events = el.stage_event_log(spark, path, known=known) if staged else el.read_event_log(spark, path, known)
     return tables_from_events(events)

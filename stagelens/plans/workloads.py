@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id
@@ -24,17 +24,11 @@ from ..operators.joins import (
     shuffle_join,
 )
 from ..operators.ordering import running_sum, shuffle_key, with_position
-from ..sources.tables import read_table, spread
 
 Star = Mapping[str, DataFrame]
 _MONEY = "decimal(18,2)"
 
 
-def open_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Star schema stored under one folder."""
-    return {n: read_table(spark, f"{path}/{n}") for n in ("sales_fact", "customer_dim", "store_dim")}
-
-
 def _sales(star: Star) -> DataFrame:
     return star["sales_fact"].withColumn("amount", F.col("amount").cast(_MONEY))
 
@@ -67,8 +61,8 @@ def broadcast_hash_join(star: Star) -> DataFrame:
 
 
 def python_function(star: Star) -> DataFrame:
-    """Row-at-a-time Python function whose result is used."""
-    out = spread(star["customer_dim"], "customer_id").withColumn("marked", udfs.mark_text("customer_name"))
+    """Arrow-batched Python function of one column whose result is used."""
+    out = star["customer_dim"].withColumn("marked", udfs.mark_text("customer_name"))
     return out.agg(
         F.count("marked").alias("n_rows"),
         F.sum(F.length("marked").cast("bigint")).alias("n_chars"),
@@ -77,7 +71,7 @@ def python_function(star: Star) -> DataFrame:
 
 
 def cached_slices(star: Star) -> DataFrame:
-    """Two complementary slices, each cached while counted."""
+    """Two complementary slices, counted from one cached input."""
     hot = F.col("promotion_id") == 1
     return count_slices_cached(
         star["sales_fact"], {"hot": hot, "other": F.col("promotion_id") != 1}
@@ -99,7 +93,7 @@ def cross_join(star: Star) -> DataFrame:
 
 def explode_rows(star: Star) -> DataFrame:
     """Every sale fanned out two hundred times, summed per store."""
-    wide = udfs.explode_range(spread(star["sales_fact"], "transaction_id").select("store_id"), 200)
+    wide = udfs.explode_range(star["sales_fact"].select("store_id"), 200)
     return wide.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("exploded").cast("bigint")).alias("sum_exploded")
     )
@@ -147,7 +141,7 @@ def cartesian_size(star: Star) -> DataFrame:
 
 def python_two_columns(star: Star) -> DataFrame:
     """Arrow-batched Python function of two columns whose result is used."""
-    out = spread(_sales(star), "transaction_id").withColumn("text", udfs.pair_text("transaction_id", "amount"))
+    out = _sales(star).withColumn("text", udfs.pair_text("transaction_id", "amount"))
     return out.groupBy("store_id").agg(
         F.sum(F.length("text").cast("bigint")).alias("n_chars"), F.max("text").alias("last_text")
     )

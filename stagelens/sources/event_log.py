@@ -89,23 +89,45 @@ def app_id_of_path(path: Column) -> Column:
     )
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed events: ``app_id``, ``kind``, ``e`` (the fields used) and ``place``.
+def app_and_attempt(log: Column) -> tuple[Column, Column]:
+    """Application id and attempt of a log's name; a log without an attempt number is attempt 1."""
+    numbered = r"^(application_\d+_\d+|[^_]+)_(\d+)$"
+    app = F.nullif(F.regexp_extract(log, numbered, 1), F.lit(""))
+    attempt = F.nullif(F.regexp_extract(log, numbered, 2), F.lit("")).cast("int")
+    return F.coalesce(app, log), F.coalesce(attempt, F.lit(1))
 
-    ``place`` orders the events of one application as they stand in its log:
-    number of the rolled file, file, start of the file split, row inside it.
-    The kind is cut from the head of a line, so lines of other kinds are
-    dropped before any JSON is parsed, and each line is parsed once.
+
+def logs_to_read(spark: SparkSession, path: str, known: DataFrame | None = None) -> list[str]:
+    """Files of the last attempt of each application, without those of ``known`` applications.
+
+    Told from the names, before any text is read; the driver holds the names
+    of the files to read, as any scan's does.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    app, attempt = app_and_attempt(app_id_of_path(F.col("path")))
+    named = files.select("path", app.alias("app_id"), attempt.alias("attempt"))
+    last = named.groupBy("app_id").agg(F.max("attempt").alias("attempt"))
+    if known is not None:
+        last = last.join(known.select("app_id"), "app_id", "left_anti")
+    return [r["path"] for r in named.join(last, ["app_id", "attempt"], "left_semi").collect()]
+
+
+def read_event_log(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """Parsed events: ``app_id``, ``attempt``, ``kind``, ``e`` (the fields used) and ``place``.
+
+    The last attempt of each application is read; ``known`` (``app_id``) names
+    applications to leave out. ``place`` orders the events of one application as
+    they stand in its log: number of the rolled file, file, start of the file
+    split, row inside it. The kind is cut from the head of a line, so lines of
+    other kinds are dropped before any JSON is parsed, and each line is parsed once.
+    """
+    paths = logs_to_read(spark, path, known)
+    if paths:
+        raw = spark.read.text(paths).select(
+            "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
         )
-    )
+    else:
+        raw = spark.createDataFrame([], "value string, path string, block bigint")
     roll = F.regexp_extract("path", r"/events_(\d+)_[^/]*$", 1)
     place = F.struct(
         F.coalesce(F.nullif(roll, F.lit("")).cast("int"), F.lit(0)).alias("roll"),
@@ -113,12 +135,14 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
         F.col("block"),
         F.monotonically_increasing_id().alias("row"),
     )
+    app, attempt = app_and_attempt(app_id_of_path(F.col("path")))
     return (
         raw.withColumn("place", place)
         .withColumn("kind", _event_kind(F.col("value")))
         .filter(F.col("kind").isNotNull())
         .select(
-            app_id_of_path(F.col("path")).alias("app_id"),
+            app.alias("app_id"),
+            attempt.alias("attempt"),
             "kind",
             _family(F.col("kind")).alias("family"),
             F.from_json("value", EVENT).alias("e"),
@@ -132,7 +156,9 @@ def _family(kind: Column) -> Column:
     return F.when(kind == "task_end", "tasks").otherwise("rest")
 
 
-def stage_event_log(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+def stage_event_log(
+    spark: SparkSession, path: str, out: str | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """Events parsed once into a columnar table.
 
     The six tables read different kinds and fields; over the staged table each
@@ -141,7 +167,7 @@ def stage_event_log(spark: SparkSession, path: str, out: str | None = None) -> D
     files per task of this job.
     """
     out = out or scratch_path(spark, "events")
-    read_event_log(spark, path).write.mode("overwrite").partitionBy("family").parquet(out)
+    read_event_log(spark, path, known).write.mode("overwrite").partitionBy("family").parquet(out)
     return read_table(spark, out)
 
 

@@ -47,20 +47,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
         df.write.mode("overwrite").parquet(path)
 
 
-def spread(scan: DataFrame, *by: str) -> DataFrame:
-    """Scan spread over all cores when its files give fewer tasks than there are cores.
-
-    For scans ahead of costly per-row work; ``by`` should be close to unique.
-    Large tables come in more splits than the cluster has cores and pass
-    through unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *by) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """Scan dealt over a stated number of tasks ahead of costly per-row work; ``by`` should be close to unique."""
+    return scan.repartition(tasks, *by)
 
 
-def repartition_for_write(df: DataFrame, n: int = 16) -> DataFrame:
-    """Evenly sized output files whatever the key distribution."""
-    return df.repartition(n)
+def repartition_for_write(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Evenly sized output files whatever the key distribution: ``n`` of them, or as many as the data's size asks for."""
+    return df.repartition(n) if n else df.hint("rebalance")
 
 
 def materialize(df: DataFrame) -> None:

@@ -7,24 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.caching import cached
-from ..plans.store import load_tables, loads, new_apps
+from ..plans.store import load_tables, new_apps, other_loads
 from ..plans.telemetry import build_telemetry, completed_only, first_attempt
 from ..sources.landing import APPS
 
 
-def _load_batch(batch: DataFrame, batch_id: int, landing: str, out: str, layout: str) -> None:
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a stream keeps in its checkpoint: another one for a fresh checkpoint, whatever its path."""
+    text = spark.read.text(f"{checkpoint}/metadata", wholetext=True)
+    return text.select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def _load_batch(batch: DataFrame, batch_id: int, landing: str, out: str, checkpoint: str, layout: str) -> None:
     spark = batch.sparkSession
+    load_id = f"{_stream_id(spark, checkpoint)}-{batch_id}"
     if layout == "response":
         docs = batch.select(F.explode(F.from_json("value", f"array<struct<{APPS}>>")).alias("d"))
         batch = docs.select("d.*")
     # a batch that is run again must not see its own earlier attempt as loaded
-    earlier = loads(spark, out).filter(F.col("load_id") != batch_id)
+    earlier = other_loads(spark, out, load_id)
     done = completed_only(first_attempt(batch)).dropDuplicates(["id"])
     fresh = new_apps(done.withColumn("app_id", F.col("id")), earlier)
     with cached(fresh.select("id", "name", "attempts")) as todo:
         if not todo.isEmpty():
             tables = build_telemetry(spark, landing, layout, app_documents=todo)
-            load_tables(tables, out, batch_id)
+            load_tables(tables, out, load_id)
 
 
 def stream_load(
@@ -37,8 +44,9 @@ def stream_load(
 ) -> StreamingQuery:
     """Start the job. An application document must land after its other documents.
 
-    The batch number is the load number, so a repeated batch overwrites its own
-    folders and each application is in the store exactly once.
+    A load is named after the stream's id and the batch number, so a repeated
+    batch overwrites its own folders, no other writer's, and each application is
+    in the store exactly once.
     """
     apps = f"{landing}/apps"
     if layout == "response":
@@ -46,7 +54,7 @@ def stream_load(
     else:
         stream = spark.readStream.schema(APPS).json(apps)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: _load_batch(batch, batch_id, landing, out, layout)
+        lambda batch, batch_id: _load_batch(batch, batch_id, landing, out, checkpoint, layout)
     )
     if available_now:
         return writer.trigger(availableNow=True).start()

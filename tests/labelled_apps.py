@@ -10,8 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from pyspark.sql import SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.types import StringType  # noqa: E402
 
-from stagelens.operators import udfs  # noqa: E402
 from stagelens.sources import generators as gen  # noqa: E402
 from stagelens.sources import tables as tb  # noqa: E402
 
@@ -55,9 +55,14 @@ def single(spark, data):
     tb.materialize(sales.repartition(8).repartition(1).select(work(F.col("transaction_id"))))
 
 
+@F.udf(StringType())
+def row_at_a_time(value):
+    return f"{value}X"
+
+
 def python(spark, data):
     customers = tb.read_table(spark, f"{data}/customers")
-    customers.select(F.length(udfs.mark_text("customer_name")).alias("n")).agg(F.sum("n")).collect()
+    customers.select(F.length(row_at_a_time("customer_name")).alias("n")).agg(F.sum("n")).collect()
 
 
 def failing(spark, data):

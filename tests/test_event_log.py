@@ -177,3 +177,37 @@ def test_flags_of_a_formatted_plan(logged, names):
     flags = {names[r.app_id]: r.f for r in plans.collect() if names[r.app_id] != "failing"}
     assert flags["pairs"].has_cartesian and flags["sort_merge"].has_sort_merge_join
     assert flags["broadcast"].has_broadcast_hash_join and not flags["broadcast"].has_sort_merge_join
+
+
+def attempt_log(folder, name, app, number, stages):
+    lines = [{"Event": "SparkListenerApplicationStart", "App Name": "job", "App ID": app, "App Attempt ID": str(number), "Timestamp": 1000}]
+    for stage in range(stages):
+        info = {"Stage ID": stage, "Stage Attempt ID": 0, "Number of Tasks": 1, "Submission Time": 1000, "Completion Time": 2000}
+        lines.append({"Event": "SparkListenerStageCompleted", "Stage Info": info})
+    lines.append({"Event": "SparkListenerApplicationEnd", "Timestamp": 5000})
+    (folder / name).write_text("\n".join(json.dumps(x) for x in lines))
+
+
+def test_the_last_attempt_of_an_application_counts(spark, tmp_path):
+    attempt_log(tmp_path, "application_17_0001_1", "application_17_0001", 1, 1)
+    attempt_log(tmp_path, "application_17_0001_2", "application_17_0001", 2, 3)
+    attempt_log(tmp_path, "application_17_0002", "application_17_0002", 1, 2)
+    (tmp_path / "eventlog_v2_application_17_0003_1").mkdir()
+    attempt_log(tmp_path / "eventlog_v2_application_17_0003_1", "events_1_application_17_0003_1", "application_17_0003", 1, 1)
+    events = el.read_event_log(spark, str(tmp_path))
+    seen = {(r.app_id, r.attempt) for r in events.select("app_id", "attempt").distinct().collect()}
+    assert seen == {("application_17_0001", 2), ("application_17_0002", 1), ("application_17_0003", 1)}
+    tables = tel.build_from_event_log(spark, str(tmp_path))
+    counts = {r.app_id: r["count"] for r in tables["fact_stages"].groupBy("app_id").count().collect()}
+    assert counts == {"application_17_0001": 3, "application_17_0002": 2, "application_17_0003": 1}
+
+
+def test_logs_of_known_applications_are_not_read(spark, tmp_path):
+    for i in range(3):
+        attempt_log(tmp_path, f"application_17_000{i}", f"application_17_000{i}", 1, 1)
+    known = spark.createDataFrame([("application_17_0000",), ("application_17_0002",)], "app_id string")
+    assert [p.rsplit("/", 1)[1] for p in el.logs_to_read(spark, str(tmp_path), known)] == ["application_17_0001"]
+    tables = tel.build_from_event_log(spark, str(tmp_path), known=known)
+    assert [r.app_id for r in tables["dim_applications"].collect()] == ["application_17_0001"]
+    every = known.unionByName(spark.createDataFrame([("application_17_0001",)], "app_id string"))
+    assert tel.build_from_event_log(spark, str(tmp_path), staged=False, known=every)["fact_stages"].collect() == []
