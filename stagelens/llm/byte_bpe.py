@@ -8,12 +8,13 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import pre_tokenizers
 
-from .common import pieces_array
+from .common import SLICE_BYTES, binary_slices, pieces_array, text_buffer
 
 #: Distinct words a worker remembers before it starts its memory anew.
-REMEMBERED = 400_000
+REMEMBERED = 1 << 21
 
 # White space of Unicode, and the endings that the cut keeps with their apostrophe.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -74,6 +75,8 @@ def cut_words(raw: np.ndarray, at: np.ndarray, marks: tuple[bytes, ...] = ()) ->
     space, whose last character goes to what follows if it is a space and
     stands alone if not. ``marks`` (strings of added tokens) are words.
     """
+    if not len(raw):
+        return np.zeros(1, np.int64), np.zeros(len(at), np.int64)
     edges = at
     spans = [(a, b) for a, b in _marks(raw, marks) if np.searchsorted(at, a, "right") == np.searchsorted(at, b - 1, "right")] if marks else []
     if spans:
@@ -122,28 +125,77 @@ def cut_words(raw: np.ndarray, at: np.ndarray, marks: tuple[bytes, ...] = ()) ->
     return starts, np.searchsorted(starts, at)
 
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+def _one_by_one(words: list[str], made) -> list[np.ndarray]:
+    return [np.array(e.ids, "<u4") for e in made.encode_batch_fast(words, add_special_tokens=False)]
+
 
+def word_ids(words: pa.Array, path: str) -> pa.Array:
+    """Ids of distinct words, each as little-endian unsigned 32-bit integers, in one call of the library.
 
-def word_ids(words: pa.Array, path: str) -> list[bytes]:
-    """Ids of distinct words, each as little-endian unsigned 32-bit integers; a worker asks for each new word once."""
-    known = _KNOWN.setdefault(path, {})
-    names = words.to_pylist()
-    new = [w for w in names if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = names
-    if new:
-        made, _ = tokenizer(path)
-        for word, coded in zip(new, made.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
-    return [known[w] for w in names]
+    Words go in as the lines of one text: a line break is a word and an id of
+    its own between words. White space, which would run into the break, is
+    encoded by itself.
+    """
+    made = tokenizer(path)[0]
+    (line,) = _one_by_one(["\n"], made)
+    alone = pc.or_(pc.utf8_is_space(words), pc.match_substring(words, "\n")).to_numpy(zero_copy_only=False)
+    lines = words.filter(pa.array(~alone))
+    parts: list[np.ndarray] = []
+    if len(lines):
+        raw, at = text_buffer(lines)
+        spread = np.full(len(raw) + len(lines), ord("\n"), np.uint8)
+        spread[np.arange(len(raw)) + np.repeat(np.arange(len(lines)), np.diff(at))] = raw
+        ids = _one_by_one([spread.tobytes().decode("utf-8")], made)[0]
+        breaks = np.flatnonzero(ids == line[0]) if len(line) == 1 else []
+        if len(breaks) != len(lines):
+            raise ValueError("a vocabulary in which a line break is not an id of its own")
+        parts = [ids[ids != line[0]]]
+        sizes_of_lines = np.diff(np.append(-1, breaks)) - 1
+    single = _one_by_one(words.filter(pa.array(alone)).to_pylist(), made)
+    sizes = np.zeros(len(words), np.int64)
+    sizes[alone] = [len(x) for x in single]
+    if len(lines):
+        sizes[~alone] = sizes_of_lines
+    # lines first, then the others: put each word's ids where the word stands
+    order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+    data = np.concatenate([*parts, *single, np.zeros(0, "<u4")]).astype("<u4")
+    ends = np.concatenate([[0], np.cumsum(sizes[order])]) * 4
+    found = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    back = np.empty(len(words), np.int64)
+    back[order] = np.arange(len(words))
+    return found.take(pa.array(back))
+
+
+_MEMORY: dict[str, tuple[pa.Array, pa.Array]] = {}
+
+
+def remembered_ids(words: pa.Array, path: str) -> pa.Array:
+    """``word_ids`` of distinct words; a worker asks the library for those it has not met, and keeps a bounded number."""
+    nothing = (pa.array([], pa.large_string()), pa.array([], pa.large_binary()))
+    known, ids = _MEMORY.get(path, nothing)
+    at = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
+    new = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(words), bool)
+    if new.any():
+        fresh = words.filter(pa.array(new))
+        known, ids = pa.concat_arrays([known, fresh]), pa.concat_arrays([ids, word_ids(fresh, path)])
+        at[new] = np.arange(len(known) - int(new.sum()), len(known))
+    found = ids.take(pa.array(at.astype(np.int64)))
+    _MEMORY[path] = (known, ids) if len(known) <= REMEMBERED else (words, found)
+    return found
 
 
 def coded_words(raw: np.ndarray, at: np.ndarray, path: str) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words of texts as a dictionary array, and each text's first word."""
-    starts, first = cut_words(raw, at, tokenizer(path)[1])
-    return pieces_array(raw, starts).dictionary_encode(), first
+    """All words of texts as a dictionary array, and each text's first word; texts are cut in bounded runs."""
+    marks, starts, first, i, count = tokenizer(path)[1], [], [], 0, 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, "right")) - 1)
+        cuts, firsts = cut_words(raw[at[i] : at[j]], at[i : j + 1] - at[i], marks)
+        starts.append(cuts[:-1] + at[i])
+        first.append(firsts[:-1] + count)
+        count += len(cuts) - 1
+        i = j
+    whole = np.concatenate([*starts, [len(raw)]]).astype(np.int64)
+    return pieces_array(raw, whole).dictionary_encode(), np.concatenate([*first, [count]]).astype(np.int64)
 
 
 def encoded_texts(raw: np.ndarray, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,10 +203,8 @@ def encoded_texts(raw: np.ndarray, at: np.ndarray, path: str) -> tuple[np.ndarra
     if not len(raw):
         return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
     words, first = coded_words(raw, at, path)
-    ids = pa.array(word_ids(words.dictionary, path), pa.large_binary()).take(words.indices)
-    _, offsets, data = ids.buffers()
-    ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1] // 4
-    return np.frombuffer(data, "<u4"), ends[first]
+    data, ends = binary_slices(remembered_ids(words.dictionary, path).take(words.indices))
+    return np.frombuffer(data, "<u4"), ends[first] // 4
 
 
 @functools.lru_cache(2)

@@ -18,7 +18,9 @@ from .common import text_buffer, text_or_empty, text_slices
 END_ID = 0
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 20
-ROUNDS = 6
+#: Text whose distinct words are encoded together.
+ENCODED_BYTES = 12 << 20
+ROUNDS = 4
 #: Most pairs a round replaces, and the fewest places a pair must have.
 PAIRS = 2048
 FEWEST = 12
@@ -40,32 +42,39 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np
     frequency. Rules only use earlier symbols.
     """
     terminals = int(ids.max()) + 1 if len(ids) else 1
-    symbols, rules = ids.astype(np.int64), np.zeros((0, 2), np.int64)
+    symbols, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
     for _ in range(rounds):
         if len(symbols) < 2 * FEWEST:
             break
-        key = (symbols[:-1] << 32) | symbols[1:]
-        spread = (key * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - COUNT_BITS)
-        bins = np.bincount(spread.view(np.int64), minlength=1 << COUNT_BITS)
+        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        bin_of = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+        bins = np.bincount(bin_of, minlength=1 << COUNT_BITS)
         least = max(FEWEST, int(np.partition(bins, -PAIRS)[-PAIRS]))
-        at = np.flatnonzero(bins[spread] >= least)
-        pairs, place, counts = np.unique(key[at], return_inverse=True, return_counts=True)
-        rank_of = np.full(len(pairs), len(pairs), np.int64)
-        best = np.argsort(-counts, kind="stable")[:PAIRS]
-        best = best[counts[best] >= FEWEST]
+        at = np.flatnonzero((bins >= least)[bin_of])
+        # one pair stands for each bin; others in it wait for a later round
+        mine, pair = bin_of[at], key[at]
+        stands = np.zeros(1 << COUNT_BITS, np.uint64)
+        stands[mine] = pair
+        at, mine = at[pair == stands[mine]], mine[pair == stands[mine]]
+        counts = np.bincount(mine, minlength=1 << COUNT_BITS)
+        best = np.flatnonzero(counts >= FEWEST)
+        best = best[np.argsort(-counts[best], kind="stable")][:PAIRS]
+        rank_of = np.full(1 << COUNT_BITS, len(best), np.int32)
         rank_of[best] = np.arange(len(best))
-        rank = np.full(len(key) + 2, len(pairs), np.int64)
-        rank[at + 1] = rank_of[place]
-        mine = rank[1:-1]
-        chosen = np.flatnonzero((mine < len(best)) & (mine < rank[:-2]) & (mine <= rank[2:]))
-        used, number = np.unique(mine[chosen], return_inverse=True)
+        rank = np.full(len(key) + 2, len(best), np.int32)
+        rank[at + 1] = rank_of[mine]
+        own = rank[1:-1]
+        chosen = np.flatnonzero((own < len(best)) & (own < rank[:-2]) & (own <= rank[2:]))
+        uses = np.bincount(own[chosen], minlength=len(best))
+        used = np.flatnonzero(uses)
         if not len(used):
             break
-        symbols[chosen] = terminals + len(rules) + number
+        number = np.cumsum(uses > 0) - 1
+        symbols[chosen] = terminals + len(rules) + number[own[chosen]]
         kept = np.ones(len(symbols), bool)
         kept[chosen + 1] = False
-        new = pairs[best[used]]
-        rules = np.concatenate([rules, np.stack([new >> 32, new & 0xFFFFFFFF], 1)])
+        new = stands[best[used]]
+        rules = np.concatenate([rules, np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)])
         symbols = symbols[kept]
     return terminals, rules, symbols
 
@@ -80,16 +89,18 @@ def expansion_lengths(terminals: int, rules: np.ndarray) -> np.ndarray:
 
 def expand(symbols: np.ndarray, terminals: int, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for."""
-    symbols = symbols.astype(np.int64)
+    symbols, rules = symbols.astype(np.uint32), rules.astype(np.uint32)
     while True:
-        pair = symbols >= terminals
-        if not pair.any():
-            return symbols.astype(np.uint32)
-        at = np.arange(len(symbols)) + np.cumsum(pair) - pair
-        out = np.empty(len(symbols) + int(pair.sum()), np.int64)
-        out[at] = symbols
-        rule = rules[symbols[pair] - terminals]
-        out[at[pair]], out[at[pair] + 1] = rule[:, 0], rule[:, 1]
+        pairs = np.flatnonzero(symbols >= terminals)
+        if not len(pairs):
+            return symbols
+        rule = rules[symbols[pairs] - np.uint32(terminals)]
+        # every nonterminal becomes two places, its left symbol in the first
+        width = np.ones(len(symbols), np.uint8)
+        width[pairs] = 2
+        symbols[pairs] = rule[:, 0]
+        out = np.repeat(symbols, width)
+        out[pairs + np.arange(1, len(pairs) + 1)] = rule[:, 1]
         symbols = out
 
 
@@ -138,7 +149,7 @@ def _write_blocks(path: str, end: int):
         tail = np.array([end], np.uint32)
         for batch in batches:
             kind = kind or _schema(batch.schema.field("doc_id").type)
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", ENCODED_BYTES):
                 ids, at = encoded_texts(*text_buffer(part.column("text")), path)
                 for i, name in enumerate(part.column("doc_id").to_pylist()):
                     one = np.concatenate([ids[at[i] : at[i + 1]], tail])
