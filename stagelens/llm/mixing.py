@@ -105,11 +105,12 @@ def mixed_documents(
 ) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; all columns are kept.
 
-    Rows that share an id share that id's copies one by one, so the mix is
+    Rows that share an id share its copies evenly, rounded up, so the mix is
     exact where ids are unique. A null id is an id like any other.
     """
     plan = mix_plan(docs, text, source, doc_id, **options)
-    copies = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    joined = docs.join(copies.filter("_copies > 0"), docs[doc_id].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*[docs[c] for c in docs.columns])
+    copies = plan.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    taken = copies.select(F.col("doc_id").alias("_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("_times"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    joined = whole.join(taken, F.col("_row")[doc_id].eqNullSafe(F.col("_id")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
