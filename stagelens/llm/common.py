@@ -14,6 +14,7 @@ from ..session import scratch_path
 from ..sources.tables import read_table, write_table
 
 SLICE_BYTES = 2 << 20
+LINKS_A_TASK = 1 << 19
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -114,7 +115,7 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     factors = mixed(np.arange(1, k + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
     total = np.zeros(len(words), np.uint64)
     length = np.minimum(np.repeat(at[1:], n) - np.arange(len(words)), k)
-    for j in range(k):
+    for j in range(min(k, len(words))):
         total[: len(words) - j] += np.where(length[: len(words) - j] > j, words[j:] * factors[j], np.uint64(0))
     keep = (length == k) | ((np.repeat(n, n) < k) & (np.arange(len(words)) == np.repeat(at[:-1], n)))
     counts = np.where(n >= k, n - k + 1, np.minimum(n, 1))
@@ -138,39 +139,53 @@ def star_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch of links as stars around the smallest node of each of its components."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = star_roots(len(nodes), ends[: len(a)], ends[len(a) :])
-        leaf = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
+    """A task's links as stars around the smallest node of each of its components."""
+    links = [[batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)] for batch in batches]
+    if not links:
+        return
+    a, b = (np.concatenate(side) for side in zip(*links, strict=True))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = star_roots(len(nodes), ends[: len(a)], ends[len(a) :])
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
+
+
+def _with_low(links: DataFrame, low: DataFrame, salts: int = 8) -> DataFrame:
+    """Links with the minimum of their first end; a node with very many links is dealt over ``salts`` keys."""
+    low = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = links.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    return salted.join(low, (salted.u == low.c) & (salted._salt == low._salt)).select("u", "v", "m")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (two long columns); component is the smallest node reached.
 
-    Links are first contracted inside each Arrow batch, then large-star and
-    small-star rounds run until the links are stars. Minima combine in the map
-    tasks and no neighbour list is gathered. Every round is a written table, so
-    lost executors cost one round at most. Null ends and loops are left out.
+    Links are dealt evenly over tasks of about ``LINKS_A_TASK``, and each task
+    contracts its own to stars. What one task has seen whole is done; otherwise
+    large-star and small-star rounds run until all links are stars. Minima
+    combine in the map tasks and no neighbour list is gathered. Every round is a
+    written table, so lost executors cost one round at most. Null ends and
+    loops are left out.
     """
     a, b = links.columns
-    ends = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    now = stored(ends.mapInArrow(_contract, "u long, v long").distinct(), "links")
+    ends = stored(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v"), "links")
+    tasks = -(-ends.count() // LINKS_A_TASK)
+    now = stored(ends.repartition(max(tasks, 1)).mapInArrow(_contract, "u long, v long"), "links")
     mark = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if tasks > 1 else 0):
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if new == mark or not new[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+        if new == mark:
+            break
         mark = new
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"))
-        large = both.join(low, both.u == low.c).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_low(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-        small = large.join(low, large.u == low.c).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = _with_low(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
         now = stored(small, "links")
-    raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+    else:
+        if tasks > 1:
+            raise RuntimeError(f"links did not settle in {max_rounds} rounds")
+    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -13,8 +13,10 @@ from .common import components, mixed, shingle_hashes, stored, text_buffer, text
 
 #: Size of the table of n-gram counts that orders n-grams from rare to frequent.
 COUNT_BITS = 18
-#: A set's n-grams are counted in eight hash ranges for the suffix filter, each count modulo 256.
-RANGES = 8
+#: A set's n-grams are dealt into so many hash ranges for the suffix filter, which has one bit for each.
+RANGES = 512
+#: Size of the bit table that keeps texts without a candidate pair out of verification.
+FILTER_BITS = 22
 
 
 def _bucket(grams: np.ndarray, bits: int) -> np.ndarray:
@@ -45,74 +47,108 @@ def _sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 
 def _signatures(k: int, threshold: int, bits: int, order):
-    """Per document: set size, two sums that name the set, prefix in rare-first order, packed range counts."""
+    """Per document: set size, two sums that name the set, odd or even in each hash range, prefix in rare-first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = order.value
         for batch in batches:
             for part in text_slices(batch, "text"):
-                n, names, packed, prefixes = [], [], [], []
+                n, names, odd, prefixes = [], [], [], []
                 for grams in _sets(part, k):
                     size = len(grams)
                     n.append(size)
                     names.append((int(grams.sum().view(np.int64)), int(mixed(grams).sum().view(np.int64))) if size else (0, 0))
-                    ranges = np.bincount((grams >> np.uint64(61)).astype(np.int64), minlength=RANGES)[:RANGES] & 255
-                    packed.append(int(ranges.astype(np.uint8).view(np.int64)[0]))
+                    ranges = (grams & np.uint64(RANGES - 1)).astype(np.int64)
+                    odd.append(np.packbits(np.bincount(ranges, minlength=RANGES) & 1).view(np.int64))
                     length = size - -(-threshold * size // 100) + 1 if size else 0
                     rank = frequency[_bucket(grams, bits)]
                     prefixes.append(grams[np.lexsort((grams, rank))[:length]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int32()), pa.array([a for a, _ in names], pa.int64()),
-                     pa.array([b for _, b in names], pa.int64()), pa.array(packed, pa.int64()),
+                     pa.array([b for _, b in names], pa.int64()), pa.array(odd, pa.list_(pa.int64())),
                      pa.array(prefixes, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "name_a", "name_b", "ranges", "prefix"],
+                    names=["doc_id", "n", "name_a", "name_b", "odd", "prefix"],
                 )
 
     return run
 
 
-def _gram_sets(k: int):
+def _wanted(table):
+    """Rows whose slot is set in the bit table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(table.value).astype(bool)
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                sets = [s.view(np.int64) for s in _sets(part, k)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+            yield batch.filter(pa.array(wanted[batch.column("slot").to_numpy()])).select(["node", "text"])
+
+    return run
+
+
+def _similar(k: int, threshold: int):
+    """Pairs of texts whose whole n-gram sets reach the threshold."""
+
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        coded = texts.dictionary_encode()
+        distinct = list(_sets(pa.RecordBatch.from_arrays([coded.dictionary], names=["text"]), k))
+        return [distinct[i] for i in coded.indices.to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text_a"):
+                keep = []
+                for x, y in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * common >= threshold * (len(x) + len(y) - common))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _least_apart(a: Column, b: Column) -> Column:
-    """A lower bound on how many n-grams two sets do not share, from their packed range counts."""
-    total = F.lit(0)
-    for r in range(RANGES):
-        apart = F.abs(F.shiftright(a, 8 * r).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * r).bitwiseAND(F.lit(255)))
-        total = total + F.least(apart, F.lit(256) - apart)
-    return total
+    """A lower bound on how many n-grams two sets do not share: each one changes one range from odd to even or back."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(RANGES // 64)), F.lit(0))
+
+
+def _need(nx: Column, ny: Column, threshold: int) -> Column:
+    """N-grams that two sets of these sizes must share: t / (100 + t) of both together."""
+    return F.ceil((nx + ny) * F.lit(threshold) / F.lit(100 + threshold) - F.lit(1e-9))
 
 
 def _may_link(x: str, y: str, threshold: int) -> Column:
-    """Length, positional and suffix filters on two prefix rows that share an n-gram."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    nx, ny = c(x, "n"), c(y, "n")
-    shortest, longest = F.least(nx, ny), F.greatest(nx, ny)
-    # |x & y| >= t / (100 + t) * (|x| + |y|)
-    need = F.ceil((nx + ny) * F.lit(threshold) / F.lit(100 + threshold) - F.lit(1e-9))
-    most = F.least(nx - c(x, "pos"), ny - c(y, "pos"))
-    return (
-        (shortest * 100 >= longest * threshold)
-        & (most >= need)
-        & (_least_apart(c(x, "ranges"), c(y, "ranges")) <= nx + ny - 2 * need)
-    )
+    """Length and positional filters on two prefix rows that share an n-gram."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
+    long_enough = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * threshold
+    return long_enough & (most >= _need(nx, ny, threshold))
+
 
+def _suffix_filtered(pairs: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose sets cannot be told too far apart by their ranges."""
+    left = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    right = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    room = F.col("n_a") + F.col("n_b") - 2 * _need(F.col("n_a"), F.col("n_b"), threshold)
+    near = pairs.join(left, "a").join(right, "b").filter(_least_apart(F.col("odd_a"), F.col("odd_b")) <= room)
+    return near.select("a", "b")
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-    both = F.size(F.array_intersect("grams_a", "grams_b"))
-    together = F.size("grams_a") + F.size("grams_b") - F.col("_both")
-    joined = pairs.join(left, "a").join(right, "b").withColumn("_both", both)
-    return joined.filter(F.col("_both") * 100 >= together * threshold).select("a", "b")
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold.
+
+    Only texts of pairs move. A bit table of fixed size keeps most others from
+    moving; the joins decide.
+    """
+    spark = pairs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - filter_bits).cast("int").alias("slot")
+    wanted = np.zeros(1 << filter_bits, bool)
+    wanted[ids.select(slot("node")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    table = spark.sparkContext.broadcast(np.packbits(wanted))
+    some = texts.select(F.col("doc_id").alias("node"), "text", slot("doc_id")).mapInArrow(_wanted(table), "node long, text string")
+    some = stored(some, "pair-texts")
+    left = some.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_similar(k, threshold), "a long, b long")
 
 
 def near_documents(
@@ -154,7 +190,7 @@ def near_documents(
     signed = stored(
         texts.mapInArrow(
             _signatures(k, threshold, bits, order),
-            "doc_id long, n int, name_a long, name_b long, ranges long, prefix array<long>",
+            "doc_id long, n int, name_a long, name_b long, odd array<long>, prefix array<long>",
         ),
         "signatures",
     )
@@ -163,35 +199,33 @@ def near_documents(
     classes = linkable.groupBy(*name).agg(F.min("doc_id").alias("node"))
     same_set = linkable.join(classes, name).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    # a prefix alone in having its n-grams never meets another one
+    # only n-grams that several prefixes have can link; they are found by n-gram
+    # alone, counted in the map tasks, before wider rows move
     nodes = linkable.join(classes.select(*name, F.col("node").alias("doc_id")), [*name, "doc_id"], "left_semi")
-    prefixes = nodes.select(F.col("doc_id").alias("node"), "n", "ranges", F.posexplode("prefix").alias("pos", "gram"))
-    first = F.struct("pos", "node", "n", "ranges")
-    hubs = prefixes.groupBy("gram").agg(F.min(first).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    hubs = hubs.select("gram", "hub.*")
-    shared = stored(prefixes.join(hubs.select("gram", F.struct("node", "n", "pos", "ranges").alias("hub")), "gram"), "shared-grams")
+    nodes = nodes.withColumnRenamed("doc_id", "node")
+    grams = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    several = stored(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("gram"), "several")
+    shared = stored(grams.join(several, "gram"), "shared-grams")
+    sizes = nodes.select("node", "n", "odd")
 
-    candidates = shared.select("node").distinct().withColumnRenamed("node", "doc_id")
-    sets = stored(texts.join(candidates, "doc_id", "left_semi").mapInArrow(_gram_sets(k), "node long, grams array<long>"), "gram-sets")
+    def links_of(pairs: DataFrame, label: str) -> DataFrame:
+        return stored(_verified(stored(_suffix_filtered(pairs.distinct(), sizes, threshold), label), texts, k, threshold), f"{label}-links")
 
-    to_hub = shared.select(F.struct("node", "n", "pos", "ranges").alias("x"), F.col("hub").alias("y"))
+    hubs = shared.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("y"))
+    to_hub = shared.select("gram", F.struct("pos", "node", "n").alias("x")).join(hubs, "gram")
     to_hub = to_hub.filter((F.col("x.node") != F.col("y.node")) & _may_link("x", "y", threshold))
-    to_hub = to_hub.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    hub_links = stored(_verified(to_hub, sets, threshold), "hub-links")
+    hub_links = links_of(to_hub.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), "hub-pairs")
     groups = components(hub_links)
 
-    labelled = (
-        shared.select("gram", "node", "n", "pos", "ranges")
-        .join(groups, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
+    labelled = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_grams = labelled.groupBy("gram").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     mixed_grams = mixed_grams.filter("_low <> _high").select("gram")
     open_rows = stored(labelled.join(mixed_grams, "gram"), "open-grams")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component"))
-    rest = x.join(y, apart & _may_link("x", "y", threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = hub_links.unionByName(_verified(rest, sets, threshold)).unionByName(same_set)
+    rest = x.join(y, apart & _may_link("x", "y", threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rest_links = links_of(rest, "rest-pairs")
+    links = hub_links.unionByName(rest_links).unionByName(same_set)
     final = components(links).withColumnRenamed("node", "_node")
     sized = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     return sized.join(final, sized.doc_id == F.col("_node"), "left").select(
@@ -205,4 +239,4 @@ def distinct_documents(docs: DataFrame, k: int = 5, threshold: int = 80, text: s
     Rows with a null id stay. Rows that share an id stand and fall together.
     """
     dropped = near_documents(docs, k, threshold, text, doc_id).filter("component_id < doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(dropped, docs[doc_id] == F.col("_drop"), "left_anti")
+    return docs.join(dropped, docs[doc_id] == dropped["_drop"], "left_anti")
