@@ -196,7 +196,8 @@ def near_documents(
     )
     name = ["n", "name_a", "name_b"]
     linkable = signed.filter("n > 0 and doc_id is not null")
-    classes = linkable.groupBy(*name).agg(F.min("doc_id").alias("node"))
+    # stored, so that a set that very many documents share meets its class in a join that can be split
+    classes = stored(linkable.groupBy(*name).agg(F.min("doc_id").alias("node")), "set-classes")
     same_set = linkable.join(classes, name).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     # only n-grams that several prefixes have can link; they are found by n-gram
