@@ -12,44 +12,56 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import coded_words, piece_bytes, tokenizer
+from .byte_bpe import coded_words, piece_bytes, word_ids
 from .common import binary_slices, text_buffer, text_or_empty, text_slices
 
 #: Text of a block, unless one document alone has more.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 32 << 20
 #: Words whose ids a task holds before it sends them on.
 HELD = 1 << 18
 _ANSWER, _SEQUENCE = 0, 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[bytes, pa.RecordBatch, pa.DictionaryArray, np.ndarray]]:
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed 32-bit integers, all lowest bytes first, then the next ones."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _framed(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, pa.RecordBatch, pa.DictionaryArray, np.ndarray]]:
     """Runs of a task's rows: block name, ids of its documents, its words, and each document's first word.
 
     A block is named after its content, so that a second reading of the same
     rows gives the same blocks, and one of other rows shows. Blocks of the same
     name are the same.
     """
-    names, parts, first, held, digest = [], [], [0], 0, hashlib.blake2b(digest_size=16)
+    held: list[pa.RecordBatch] = []
 
     def made():
-        words = pa.chunked_array([p.dictionary_decode() for p in parts], pa.large_string()).combine_chunks()
-        words = words if isinstance(words, pa.Array) else pa.concat_arrays(words.chunks)
-        return digest.hexdigest(), pa.Table.from_batches(names).combine_chunks().to_batches()[0], words.dictionary_encode(), np.array(first)
+        block = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        raw, at = text_buffer(block.column("text"))
+        digest = hashlib.blake2b(repr((block.column("doc_id").to_pylist(), at.tolist())).encode(), digest_size=8)
+        digest.update(raw.tobytes())
+        return int.from_bytes(digest.digest(), "little", signed=True), block.select(["doc_id"]), *coded_words(raw, at, path)
 
+    size = 0
     for batch in batches:
         for part in text_slices(batch, "text"):
-            raw, at = text_buffer(part.column("text"))
-            if names and held + len(raw) > BLOCK_BYTES:
+            own = len(text_buffer(part.column("text"))[0])
+            if held and size + own > BLOCK_BYTES:
                 yield made()
-                names, parts, first, held, digest = [], [], [0], 0, hashlib.blake2b(digest_size=16)
-            digest.update(repr((part.column("doc_id").to_pylist(), at.tolist())).encode())
-            digest.update(raw.tobytes())
-            words, starts = coded_words(raw, at, path)
-            names.append(part.select(["doc_id"]))
-            parts.append(words)
-            first += (starts[1:] + first[-1]).tolist()
-            held += len(raw)
-    if names:
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
         yield made()
 
 
@@ -62,7 +74,7 @@ def _word_rows(path: str):
             for i in range(0, len(distinct), 1 << 16):
                 some = distinct.slice(i, 1 << 16)
                 yield pa.RecordBatch.from_arrays(
-                    [some, pa.array([name] * len(some)), pa.array(np.arange(i, i + len(some), dtype=np.int32))], names=["word", "block", "place"]
+                    [some, pa.array(np.full(len(some), name, np.int64)), pa.array(np.arange(i, i + len(some), dtype=np.int32))], names=["word", "block", "place"]
                 )
 
     return run
@@ -76,11 +88,9 @@ def _sequence_rows(path: str):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, doc_ids.schema) as writer:
                 writer.write_batch(doc_ids)
-            counts = np.diff(first).astype("<u4").tobytes()
-            order = words.indices.to_numpy().astype("<u4").tobytes()
-            payload = b"".join(len(x).to_bytes(8, "little") + x for x in (sink.getvalue().to_pybytes(), counts, order))
+            payload = _framed(zstandard.compress(sink.getvalue().to_pybytes(), 3), _packed(np.diff(first)), _packed(words.indices.to_numpy()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([_SEQUENCE], pa.int32()), pa.array([zstandard.compress(payload, 3)], pa.binary())],
+                [pa.array([name], pa.int64()), pa.array([_SEQUENCE], pa.int32()), pa.array([payload], pa.binary())],
                 names=["block", "kind", "payload"],
             )
 
@@ -94,33 +104,33 @@ def _answer_rows(path: str):
         block = np.concatenate([b for b, _, _ in held])
         place = np.concatenate([p for _, p, _ in held])
         ids = pa.concat_arrays([i for _, _, i in held])
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((place, block))
         cuts = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
         names, payloads = [], []
         for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
             mine = order[a:b]
             data, at = binary_slices(ids.take(pa.array(mine)))
-            body = [place[mine].astype("<u4").tobytes(), (np.diff(at) // 4).astype("<u4").tobytes(), bytes(data[at[0] : at[-1]])]
+            steps = np.diff(place[mine], prepend=0)
             names.append(block[order[a]])
-            payloads.append(zstandard.compress(b"".join(len(x).to_bytes(8, "little") + x for x in body), 3))
+            payloads.append(_framed(_packed(steps), _packed(np.diff(at) // 4), _packed(np.frombuffer(data[at[0] : at[-1]], "<u4"))))
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([_ANSWER] * len(names), pa.int32()), pa.array(payloads, pa.binary())],
+            [pa.array(names, pa.int64()), pa.array([_ANSWER] * len(names), pa.int32()), pa.array(payloads, pa.binary())],
             names=["block", "kind", "payload"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held, count, last = tokenizer(path)[0], [], 0, None
+        held, count, last = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             words = batch.column("word").dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            ids = [np.array(e.ids, "<u4").tobytes() for e in made.encode_batch_fast([w for w in distinct if not last or w != last[0]], add_special_tokens=False)]
-            if last and last[0] in distinct:
-                ids.insert(distinct.index(last[0]), last[1])
-            coded = pa.array(ids, pa.large_binary()).take(words.indices)
+            ids = word_ids(words.dictionary.filter(pc.not_equal(words.dictionary, last[0])) if last else words.dictionary, path)
+            if last and words.dictionary[0].as_py() == last[0]:
+                # the last word of the batch before goes on
+                ids = pa.concat_arrays([pa.array([last[1]], pa.large_binary()), ids])
+            coded = ids.take(words.indices)
             last = (batch.column("word")[-1].as_py(), coded[-1].as_py())
-            held.append((np.array(batch.column("block").to_pylist(), object), batch.column("place").to_numpy(), coded))
+            held.append((batch.column("block").to_numpy(), batch.column("place").to_numpy(), coded))
             count += batch.num_rows
             if count >= HELD:
                 yield packed(held)
@@ -132,7 +142,7 @@ def _answer_rows(path: str):
 
 
 def _opened(payload: bytes) -> list[bytes]:
-    data, out, at = zstandard.decompress(payload), [], 0
+    data, out, at = bytes(payload), [], 0
     while at < len(data):
         size = int.from_bytes(data[at : at + 8], "little")
         out.append(data[at + 8 : at + 8 + size])
@@ -142,14 +152,15 @@ def _opened(payload: bytes) -> list[bytes]:
 
 def _joined(answers: list[list[bytes]], sequence: list[bytes]) -> tuple[pa.RecordBatch, np.ndarray, pa.Array, np.ndarray]:
     """Ids of the documents, each one's first word (and the end), the ids of each distinct word, each position's word."""
-    doc_ids = pa.ipc.open_stream(sequence[0]).read_all().combine_chunks().to_batches()
-    first = np.concatenate([[0], np.cumsum(np.frombuffer(sequence[1], "<u4").astype(np.int64))])
-    order = np.frombuffer(sequence[2], "<u4")
-    place = np.concatenate([np.frombuffer(a[0], "<u4") for a in answers] or [np.zeros(0, np.uint32)])
-    sizes = np.concatenate([np.frombuffer(a[1], "<u4") for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
-    data = b"".join(a[2] for a in answers)
+    doc_ids = pa.ipc.open_stream(zstandard.decompress(sequence[0])).read_all().combine_chunks().to_batches()
+    first = np.concatenate([[0], np.cumsum(_unpacked(sequence[1]).astype(np.int64))])
+    order = _unpacked(sequence[2])
+    none = [np.zeros(0, np.uint32)]
+    place = np.concatenate([np.cumsum(_unpacked(a[0]).astype(np.int64)) for a in answers] + none).astype(np.int64)
+    sizes = np.concatenate([_unpacked(a[1]) for a in answers] + none).astype(np.int64)
+    data = np.concatenate([_unpacked(a[2]) for a in answers] + none).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(data, "<u4")))
+    ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(data))
     wanted = int(order.max()) + 1 if len(order) else 0
     back = np.full(wanted, -1, np.int64)
     back[place] = np.arange(len(place))
@@ -230,9 +241,9 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text", doc_
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    words = rows.mapInArrow(_word_rows(vocabulary), "word string, block string, place int")
+    words = rows.mapInArrow(_word_rows(vocabulary), "word string, block long, place int")
     by_word = words.repartition("word").sortWithinPartitions("word")
-    answers = by_word.mapInArrow(_answer_rows(vocabulary), "block string, kind int, payload binary")
-    sequences = rows.mapInArrow(_sequence_rows(vocabulary), "block string, kind int, payload binary")
+    answers = by_word.mapInArrow(_answer_rows(vocabulary), "block long, kind int, payload binary")
+    sequences = rows.mapInArrow(_sequence_rows(vocabulary), "block long, kind int, payload binary")
     blocks = answers.unionByName(sequences).repartition("block").sortWithinPartitions("block", "kind")
     return blocks.mapInArrow(_digests(vocabulary), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
