@@ -76,13 +76,13 @@ def _costs(text: memoryview, compressors) -> list[int]:
     return [sum(len(usual(p)) for p in parts) for usual, _ in compressors]
 
 
-def _predict(model):
+def _predict(model, column: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, contents = model.value
         compressors = _compressors(contents)
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                letters, at = letters_only(*text_buffer(part.column("text")))
+            for part in text_slices(batch, column):
+                letters, at = letters_only(*text_buffer(part.column(column)))
                 view, said, scores = memoryview(letters), [], []
                 for i in range(part.num_rows):
                     text = view[at[i] : at[i + 1]]
@@ -152,9 +152,11 @@ def identify_languages(docs: DataFrame, model, text: str = "text", keep: tuple[s
     languages gives ``und`` and 0.
     """
     bound = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_or_empty(text).alias("text"))
+    # a text that is kept anyway goes to the workers once
+    column = text if text in keep else "text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, text_or_empty(text).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_predict(bound), f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(bound, column), f"{kinds}, lang_pred string, score double")
 
 
 def predicted_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -167,7 +169,7 @@ def predicted_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
 def documents_in_a_language(docs: DataFrame, least: float = 0.3, folds: int = 5, text: str = "text") -> DataFrame:
     """``docs`` without the documents in no language: no letters, or a margin too narrow to tell (score below ``least``)."""
     model = fit_languages(docs.filter(fold(F.col("doc_id"), folds) != 0), text)
-    whole = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], text_or_empty(text).alias("text"))
-    found = identify_languages(whole, model, keep=tuple(f"_{i}" for i in range(len(docs.columns))))
+    whole = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    found = identify_languages(whole, model, f"_{docs.columns.index(text)}", tuple(whole.columns))
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

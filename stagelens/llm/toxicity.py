@@ -153,14 +153,14 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield from rows.group_by(["bag", "toxic", "word"]).aggregate([]).select(["bag", "toxic", "word"]).to_batches()
 
 
-def document_features(model):
-    """Largest decision value and number of words above zero of each document."""
+def document_features(model, column: str = "text"):
+    """Largest decision value and number of words above zero of each document; other columns than ``text`` stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
         for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                letters, starts, text = words_of(*text_buffer(part.column("text")))
+            for part in text_slices(batch, column):
+                letters, starts, text = words_of(*text_buffer(part.column(column)))
                 most, hits = np.full(part.num_rows, -10.0), np.zeros(part.num_rows, np.int64)
                 if len(text):
                     words = _coded(letters, starts).dictionary_encode()
@@ -302,12 +302,14 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", kee
     text. A null or empty text scores as a text without words; without a model
     every score is 0.
     """
-    rows = docs.select(*keep, text_or_empty(text).alias("text"))
+    # a text that is kept anyway goes to the workers once
+    column = text if text in keep else "text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, text_or_empty(text).alias("text"))
     if model is None:
         return rows.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     machine = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    found = rows.mapInArrow(document_features(machine), f"{kinds}, most double, hits long")
+    found = rows.mapInArrow(document_features(machine, column), f"{kinds}, most double, hits long")
     found = found.withColumn("score", _score(model))
     return found.select(*keep, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
@@ -324,6 +326,6 @@ def clean_documents(docs: DataFrame, known: DataFrame, labels: DataFrame, folds:
     """``docs`` without the documents predicted toxic, all columns kept; learned from ``known`` and ``labels`` outside a fold."""
     outside = lambda df: df.filter(fold(F.col("doc_id"), folds) != held)
     model = fit_toxicity(outside(known), outside(labels))
-    whole = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)], text_or_empty(text).alias("text"))
-    kept = score_toxicity(whole, model, keep=tuple(f"_{i}" for i in range(len(docs.columns)))).filter("predicted = 0")
+    whole = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    kept = score_toxicity(whole, model, f"_{docs.columns.index(text)}", tuple(whole.columns)).filter("predicted = 0")
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
