@@ -16,7 +16,7 @@ from .byte_bpe import coded_words, piece_bytes, word_ids
 from .common import binary_slices, text_buffer, text_or_empty, text_slices
 
 #: Text of a block, unless one document alone has more.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Words whose ids a task holds before it sends them on.
 HELD = 1 << 18
 _ANSWER, _SEQUENCE = 0, 1
