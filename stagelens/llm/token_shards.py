@@ -13,18 +13,15 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .byte_bpe import encoded_texts, tokenizer
-from .common import text_buffer, text_or_empty, text_slices
+from .common import mixed, text_buffer, text_or_empty, text_slices
 
 END_ID = 0
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 20
 #: Text whose distinct words are encoded together.
 ENCODED_BYTES = 12 << 20
-ROUNDS = 4
-#: Most pairs a round replaces, and the fewest places a pair must have.
-PAIRS = 2048
-FEWEST = 12
-COUNT_BITS = 18
+#: A pair with so many places is replaced; rounds go on until no pair has them.
+FEWEST = 2
 #: Every so many symbols of a block, the position of the next id is stored.
 ANCHOR = 256
 
@@ -34,49 +31,90 @@ FORMAT = (
 )
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """Terminals, rules (one pair a nonterminal) and the symbols left.
+def _pairs_in_order(symbols: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, ``bits`` a symbol, of the pairs that start at ``at``, and where each one starts."""
+    key = (symbols[at].astype(np.uint64) << np.uint64(bits)) | symbols[at + 1]
+    low = len(symbols).bit_length()
+    if 2 * bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return key[order], at[order]
+    # sorted with their places in the low bits, which is faster than sorting places
+    key = (key << np.uint64(low)) | at.astype(np.uint64)
+    key.sort()
+    return key >> np.uint64(low), (key & np.uint64((1 << low) - 1)).astype(np.int64)
 
-    A round counts all adjacent pairs, takes the most frequent ones, and
-    replaces each where it comes before both pairs it overlaps in order of
-    frequency. Rules only use earlier symbols.
+
+def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np.ndarray]:
+    """Terminals, rules (one pair a nonterminal) and the symbols left, where no pair has ``fewest`` places that do not overlap.
+
+    A round counts all adjacent pairs exactly and replaces each pair with enough
+    places where it comes before both pairs it overlaps in order of frequency, so
+    the most frequent one goes everywhere and rounds end. A pair has one rule:
+    places it lost to others and still has in a later round take the same
+    nonterminal. Rules only use earlier symbols.
     """
-    terminals = int(ids.max()) + 1 if len(ids) else 1
-    symbols, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2 * FEWEST:
+    terminals = top = int(ids.max()) + 1 if len(ids) else 1
+    symbols, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.int64)]
+    known, named = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # pairs with a rule, in order, and their nonterminals
+    # where a pair starts that can still be replaced: only pairs with a symbol written in the last round ever get more places
+    live = np.ones(len(symbols), bool)
+    while True:
+        live[-1:] = False
+        at = np.flatnonzero(live)
+        same = np.flatnonzero(symbols[at] == symbols[at + 1])
+        if len(same):
+            # in a run of one symbol every other place overlaps the one before
+            run = at[same]
+            starts = np.where(np.diff(run, prepend=-2) > 1, np.arange(len(run)), 0)
+            at = np.delete(at, same[(run - run[np.maximum.accumulate(starts)]) % 2 == 1])
+        if len(at) < fewest:
             break
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        bin_of = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
-        bins = np.bincount(bin_of, minlength=1 << COUNT_BITS)
-        least = max(FEWEST, int(np.partition(bins, -PAIRS)[-PAIRS]))
-        at = np.flatnonzero((bins >= least)[bin_of])
-        # one pair stands for each bin; others in it wait for a later round
-        mine, pair = bin_of[at], key[at]
-        stands = np.zeros(1 << COUNT_BITS, np.uint64)
-        stands[mine] = pair
-        at, mine = at[pair == stands[mine]], mine[pair == stands[mine]]
-        counts = np.bincount(mine, minlength=1 << COUNT_BITS)
-        best = np.flatnonzero(counts >= FEWEST)
-        best = best[np.argsort(-counts[best], kind="stable")][:PAIRS]
-        rank_of = np.full(1 << COUNT_BITS, len(best), np.int32)
-        rank_of[best] = np.arange(len(best))
-        rank = np.full(len(key) + 2, len(best), np.int32)
-        rank[at + 1] = rank_of[mine]
-        own = rank[1:-1]
-        chosen = np.flatnonzero((own < len(best)) & (own < rank[:-2]) & (own <= rank[2:]))
-        uses = np.bincount(own[chosen], minlength=len(best))
-        used = np.flatnonzero(uses)
-        if not len(used):
+        bits = (top - 1).bit_length()
+        key, place = _pairs_in_order(symbols, at, bits)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        counts = np.diff(first, append=len(key))
+        pairs = key[first]
+        pairs = ((pairs >> np.uint64(bits)) << np.uint64(32)) | (pairs & np.uint64((1 << bits) - 1))
+        slot = np.searchsorted(known, pairs)
+        has_rule = np.append(known, np.uint64(0))[slot] == pairs if len(known) else np.zeros(len(pairs), bool)
+        often = (counts >= fewest) | has_rule
+        if not often.any():
             break
-        number = np.cumsum(uses > 0) - 1
-        symbols[chosen] = terminals + len(rules) + number[own[chosen]]
+        live[place[np.repeat(~often, counts)]] = False
+        place = place[np.repeat(often, counts)]
+        pairs, counts, slot, has_rule = pairs[often], counts[often], slot[often], has_rule[often]
+        # ties in order of a hash, so that a long passage is halved in a few rounds
+        order = np.argsort((mixed(pairs) >> np.uint64(32)).astype(np.int64) - (counts << 32))
+        rank_of = np.empty(len(pairs), np.int32)
+        rank_of[order] = np.arange(len(pairs))
+        own = np.repeat(rank_of, counts)
+        rank = np.full(len(symbols) + 1, len(pairs), np.int32)
+        rank[place + 1] = own
+        ahead = (own < rank[place]) & (own < rank[place + 2])
+        place, own = place[ahead], own[ahead]
+        uses = np.bincount(own, minlength=len(pairs))
+        used = uses >= np.where(has_rule[order], 1, fewest)
+        place, own = place[used[own]], own[used[own]]
+        again, fresh = used & has_rule[order], used & ~has_rule[order]
+        name = top + np.cumsum(fresh) - 1
+        name[again] = named[slot[order[again]]]
+        symbols[place] = name[own]
+        new = pairs[order[fresh]]
+        rules.append(np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
+        touched = place
+        if again.any():
+            written = np.zeros(top + len(new), bool)
+            written[name[again]] = True
+            touched = np.concatenate([place, np.flatnonzero(written[symbols])])
+        live[touched] = live[np.maximum(touched - 1, 0)] = True
+        top += len(new)
+        by_pair = np.argsort(new)
+        at = np.searchsorted(known, new[by_pair])
+        known, named = np.insert(known, at, new[by_pair]), np.insert(named, at, name[fresh][by_pair])
         kept = np.ones(len(symbols), bool)
-        kept[chosen + 1] = False
-        new = stands[best[used]]
-        rules = np.concatenate([rules, np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)])
-        symbols = symbols[kept]
-    return terminals, rules, symbols
+        kept[place + 1] = False
+        symbols, live = symbols[kept], live[kept]
+    return terminals, np.concatenate(rules), symbols
 
 
 def expansion_lengths(terminals: int, rules: np.ndarray) -> np.ndarray:
@@ -87,21 +125,28 @@ def expansion_lengths(terminals: int, rules: np.ndarray) -> np.ndarray:
     return np.array(size[terminals:], np.int64)
 
 
-def expand(symbols: np.ndarray, terminals: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    symbols, rules = symbols.astype(np.uint32), rules.astype(np.uint32)
-    while True:
-        pairs = np.flatnonzero(symbols >= terminals)
-        if not len(pairs):
-            return symbols
-        rule = rules[symbols[pairs] - np.uint32(terminals)]
-        # every nonterminal becomes two places, its left symbol in the first
-        width = np.ones(len(symbols), np.uint8)
-        width[pairs] = 2
-        symbols[pairs] = rule[:, 0]
-        out = np.repeat(symbols, width)
-        out[pairs + np.arange(1, len(pairs) + 1)] = rule[:, 1]
-        symbols = out
+def expand(symbols: np.ndarray, terminals: int, rules: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; ``sizes`` are the expansion lengths, where they are known."""
+    sizes = expansion_lengths(terminals, rules) if sizes is None else sizes
+    symbols, rules = symbols.astype(np.int64), rules.astype(np.uint32)
+    width = np.ones(len(symbols), np.int64)
+    held = np.flatnonzero(symbols >= terminals)
+    width[held] = sizes[symbols[held] - terminals]
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.uint32)
+    out[at] = symbols
+    open_, at = symbols[held] - terminals, at[held]
+    while len(open_):
+        # every nonterminal writes its two symbols where their ids start
+        left, right = rules[open_, 0], rules[open_, 1]
+        again = left >= terminals
+        step = np.ones(len(left), np.int64)
+        step[again] = sizes[left[again] - np.uint32(terminals)]
+        out[at], out[at + step] = left, right
+        more = right >= terminals
+        open_ = np.concatenate([left[again], right[more]]).astype(np.int64) - terminals
+        at = np.concatenate([at[again], (at + step)[more]])
+    return out
 
 
 def _numbers(data: bytes) -> np.ndarray:
@@ -120,7 +165,7 @@ def read_range(block: dict, start: int, stop: int) -> np.ndarray:
     ends = (anchors[first] if len(anchors) else 0) + np.cumsum(widths)
     held = (ends > start) & (ends - widths < stop)
     begin = int((ends - widths)[held][0]) if held.any() else start
-    return expand(some[held], terminals, rules)[start - begin : stop - begin]
+    return expand(some[held], terminals, rules, sizes)[start - begin : stop - begin]
 
 
 def _block(shard: int, number: int, doc_ids: list, parts: list[np.ndarray]) -> dict:
@@ -189,8 +234,9 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            one = {name: row.column(name)[0].as_py() for name in ("terminals", "rules", "symbols", "lengths", "_start")}
-            ids = expand(np.frombuffer(one["symbols"], "<u4"), one["terminals"], _numbers(one["rules"]).reshape(-1, 2)).astype("<u4")
+            one = {name: row.column(name)[0].as_py() for name in ("terminals", "rules", "expansion", "symbols", "lengths", "_start")}
+            rules, sizes = _numbers(one["rules"]).reshape(-1, 2), _numbers(one["expansion"])
+            ids = expand(np.frombuffer(one["symbols"], "<u4"), one["terminals"], rules, sizes).astype("<u4")
             ends = np.cumsum(one["lengths"])
             starts = ends - one["lengths"]
             view = memoryview(ids.tobytes())
@@ -215,7 +261,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     starts = sizes.withColumn("_inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(shards, "shard")
     starts = starts.select("shard", "block", (F.col("_inside") + F.col("_shard")).alias("_start"))
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    needed = blocks.select("shard", "block", "doc_ids", "lengths", "terminals", "rules", "symbols").join(F.broadcast(starts), ["shard", "block"])
+    needed = blocks.select("shard", "block", "doc_ids", "lengths", "terminals", "rules", "expansion", "symbols").join(F.broadcast(starts), ["shard", "block"])
     return needed.mapInArrow(_read_blocks, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -96,6 +96,24 @@ def test_grammar_round_trip():
             assert (read_range(block, a, b) == ids[a:b]).all()
 
 
+def test_grammar_leaves_no_pair_twice():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 50000, 5000).astype(np.uint32)
+    assert len(compress(np.tile(passage, 2))[2]) == 2
+    for ids in (
+        np.tile(passage, 3), rng.integers(0, 40, 20000).astype(np.uint32), rng.zipf(1.3, 20000).clip(0, 50000).astype(np.uint32),
+        rng.integers(0, 2, 3000).astype(np.uint32), np.repeat(rng.integers(0, 9, 500), rng.integers(1, 9, 500)).astype(np.uint32),
+    ):
+        terminals, rules, symbols = compress(ids)
+        assert (expand(symbols, terminals, rules) == ids).all()
+        last, places = {}, {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+            if last.get(pair, -2) < i - 1:
+                last[pair], places[pair] = i, places.get(pair, 0) + 1
+        assert max(places.values(), default=0) < 2
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
 def expected_shards(library, rows):
     at, out = 0, {}
     for doc_id, text in rows:
