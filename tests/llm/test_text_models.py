@@ -147,6 +147,32 @@ def test_languages_of_odd_rows(spark):
     assert identify_languages(docs, ((), ())).count() == docs.count()
 
 
+def invented(languages):
+    """For each language, a maker of texts from words of its own."""
+    rng = np.random.default_rng(11)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(150)] for _ in range(languages)]
+    return [lambda n, own=own: " ".join(rng.choice(own, n)) for own in words]
+
+
+def test_documents_in_no_language_are_rejected(spark):
+    for languages in (3, 12):
+        *learned, foreign = invented(languages + 1)
+        rows = [(i, make(120), f"l{k}") for k, make in enumerate(learned) for i in range(40 * k, 40 * k + 40)]
+        odd = [learned[0](100) + " " + learned[1](100), foreign(200), foreign(60), "zq xj kv wq " * 30]
+        rows += [(10000 + i, text, None) for i, text in enumerate(odd)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        kept = {r["doc_id"] for r in documents_in_a_language(docs).collect()}
+        assert kept == set(range(40 * languages))
+
+
+def test_margin_is_that_to_the_second_language(spark):
+    docs = spark.createDataFrame([(0, "abcde fghij " * 50)], "doc_id long, text string")
+    same = b"abcde fghij klmno " * 20
+    tie = identify_languages(docs, (("a", "b", "c"), (same, same, b"zzzz yyyy " * 20))).first()
+    assert tie["margin"] == 0.0 and tie["score"] >= 0.3
+    assert identify_languages(docs, (("a",), (same,))).first()["margin"] == math.inf
+
+
 def spelled(texts):
     letters, starts, text = words_of(*text_buffer(pa.array(texts)))
     words = ["".join(chr(c + 97) for c in letters[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
