@@ -26,6 +26,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas audio video map select option datalist button textarea".split())
+#: Of these, only elements opened inside are closed before their own end tag.
+SEALED = frozenset("script style noscript template svg math iframe object select textarea".split())
 APART = frozenset("nav aside footer form dialog menu fieldset label legend".split())
 OWN = frozenset("article main".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 dt".split())
@@ -89,6 +91,10 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.hidden and tag not in HIDDEN and tag != "body":
+            if tag not in VOID:
+                self.count += 1
+                self.open.append((tag, self.count, False))
+                self.own += tag in OWN
             return
         if tag in BLOCKS:
             if tag == "body":
@@ -131,6 +137,18 @@ class _Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
+        if self.hidden:
+            first = next(i for i, (name, _, _) in enumerate(self.open) if name in HIDDEN)
+            last = next((name for name, _, _ in reversed(self.open[first:]) if name == tag), None)
+            if last or self.open[first][0] in SEALED:
+                # neither the end of a hidden element's child nor a stray one reaches what stands around it
+                if last:
+                    if tag in HIDDEN:
+                        self.tags += 1
+                        if tag in BLOCKS:
+                            self.cut()
+                    self._leave(tag)
+                return
         self.tags += 1
         if tag in BLOCKS:
             self.cut()

@@ -95,6 +95,17 @@ def test_main_text(page, text):
     assert main_text(page or "") == text
 
 
+@pytest.mark.parametrize("tag", ["noscript", "template", "button", "object", "video"])
+def test_hidden_elements_close_only_their_own_children(tag):
+    hidden = f"<{tag}><div>x<div>y</div></div><p>z</{tag}>"
+    page = f"<div id=page><article><p>One line of it.</p>{hidden}<p>Another line of it.</p></article></div><p>Not the article.</p>"
+    assert main_text(page) == "One line of it.\nAnother line of it."
+    advert = f"<article><p>One line of it.</p></article><div class=ad><div>{hidden}Buy this now, it is cheap</div>and that</div>"
+    assert main_text(advert) == "One line of it."
+    assert main_text("<article><noscript></div></article><p>x</noscript><p>Text</p></article>") == "Text"
+    assert main_text("<article><div><button>x</div><p>Text</p></article>") == "Text"
+
+
 def test_pages(spark, sf):
     rows = [(i if i % 4 else None, None if i % 3 == 0 else "u", page, "t", 5) for i, (page, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
