@@ -17,6 +17,8 @@ from .common import text_or_empty, text_slices
 SIGMA = 1.0
 #: A line is dense when its smoothed ratio is above this part of the page's standard deviation.
 CUT = 0.5
+#: An element told by name only is the page's content if so much of the dense text, but for other such elements, is in it.
+WHOLE = 0.9
 
 # Elements of the HTML standard.
 BLOCKS = frozenset(
@@ -60,15 +62,20 @@ class _Lines(HTMLParser):
         self.hidden = 0
         self.apart = 0
         self.own = 0
+        self.named: set[int] = set()
+        self.mains: set[int] = set()
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []  # text, tags, containers, apart, depth of article
+        # text, tags, containers, apart, articles around, elements around that a name tells apart
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...], tuple[int, ...]]] = []
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
             around = tuple(n for name, n, _ in self.open if name in BLOCKS and name not in CLOSED_BY_BLOCK and name != "li")
-            self.lines.append((text, self.tags, around, self.apart > 0, self.own))
+            own = tuple(n for name, n, _ in self.open if name in OWN) if self.own else ()
+            named = tuple(n for _, n, _ in self.open if n in self.named) if self.named else ()
+            self.lines.append((text, self.tags, around, self.apart > 0, own, named))
         self.text, self.tags = [], 0
 
     def _is_apart(self, tag: str, attrs) -> bool:
@@ -81,14 +88,16 @@ class _Lines(HTMLParser):
                 return True
             if key in ("hidden",) or (key == "aria-hidden" and value == "true"):
                 return True
-            if key in ("class", "id") and value:
-                words = {w.lower() for w in _NAME.findall(value)}
-                if NAMES & words or ("header" in words and not self.own and not TITLES & words):
-                    return True
             if key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
         return False
 
+    def _is_named(self, tag: str, attrs) -> bool:
+        if tag in OWN or tag in ("html", "body"):
+            return False
+        words = {w.lower() for key, value in attrs if key in ("class", "id") and value for w in _NAME.findall(value)}
+        return bool(NAMES & words or ("header" in words and not self.own and not TITLES & words))
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.hidden and tag not in HIDDEN and tag != "body":
             if tag not in VOID:
@@ -111,6 +120,10 @@ class _Lines(HTMLParser):
             return
         self.count += 1
         apart = self._is_apart(tag, attrs)
+        if self._is_named(tag, attrs):
+            self.named.add(self.count)
+        if tag == "main":
+            self.mains.add(self.count)
         self.open.append((tag, self.count, apart))
         self.hidden += tag in HIDDEN
         self.apart += apart
@@ -172,6 +185,49 @@ def text_ratios(lines) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), bell / bell.sum(), "valid")
 
 
+def _overruled(lines, mains: set[int], usable: list[bool], dense: np.ndarray) -> set[int]:
+    """Elements whose name would drop the page's content with them.
+
+    A named element that holds the page's main element is overruled; while no
+    article has lines outside all named elements, the named one with the most
+    text of articles inside it; and any one with most of the dense text and nearly
+    all of what names leave in doubt, unless an article beside it has lines.
+    Elements inside an overruled one are then judged by the same rule.
+    """
+    over: set[int] = set()
+    while True:
+        total, free, beside = 0, 0, []
+        weight: dict[int, int] = {}
+        holds: dict[int, int] = {}
+        around: dict[int, set[int]] = {}
+        new: set[int] = set()
+        for (text, _, _, _, own, named), good, thick in zip(lines, usable, dense, strict=True):
+            if not good:
+                continue
+            size = len(text) if thick else 0
+            total += size
+            n = next((n for n in named if n not in over), None)
+            if n is None:
+                free += size
+                if own:
+                    beside.append(own)
+                continue
+            weight[n] = weight.get(n, 0) + size
+            around[n] = {o for o in own if o < n}
+            if own and own[-1] > n:
+                holds[n] = holds.get(n, 0) + len(text)
+                if any(o > n and o in mains for o in own):
+                    new.add(n)
+        if not new and holds and not beside:
+            new = {max(holds, key=holds.get)}
+        if not new:
+            most = [n for n, w in weight.items() if 2 * w > total and w > WHOLE * (w + free)]
+            new = {n for n in most if all(around[n].intersection(own) for own in beside)}
+        if not new:
+            return over
+        over |= new
+
+
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by newlines; empty where there is none.
 
@@ -179,18 +235,26 @@ def main_text(html: str) -> str:
     Content regions are the containers of dense lines, or the page's own article
     element where dense lines stand in one. Every line of a region, or of an element in one, is
     kept, short ones too, but for those inside menus, forms, notices, adverts,
-    comments and the like, told by element, role, class or id.
+    comments and the like, told by element or role, or by class or id where
+    that does not drop the page's content.
     """
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
     lines = parser.lines
-    usable = [bool(text) and not apart for text, _, _, apart, _ in lines]
+    usable = [bool(text) and not apart for text, _, _, apart, *_ in lines]
     if not any(usable):
         return ""
     smooth = text_ratios(lines)
-    dense = smooth >= min(CUT * smooth.std(), max(s for s, u in zip(smooth, usable, strict=True) if u))
+    enough = lambda: smooth >= min(CUT * smooth.std(), max(s for s, u in zip(smooth, usable, strict=True) if u))
+    dense = enough()
+    if parser.named:
+        over = _overruled(lines, parser.mains, usable, dense)
+        usable = [u and over.issuperset(line[5]) for u, line in zip(usable, lines, strict=True)]
+        if not any(usable):
+            return ""
+        dense = enough()
     chosen = [i for i, u in enumerate(usable) if u and dense[i]]
     if not chosen:
         return ""

@@ -106,6 +106,29 @@ def test_hidden_elements_close_only_their_own_children(tag):
     assert main_text("<article><div><button>x</div><p>Text</p></article>") == "Text"
 
 
+ARTICLE = "<h1>Head</h1><p>The first of two lines of the article, long enough to be dense.</p><p>The second one is as long as the first one.</p>"
+LINES = "Head\nThe first of two lines of the article, long enough to be dense.\nThe second one is as long as the first one."
+COMMENTS = "<div id=comments><article class=comment><p>" + "I disagree with all of this, at length. " * 20 + "</p></article></div>"
+RELATED = "<div class=related-posts><article><h3>Other</h3><p>Teaser of another article.</p></article></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content-sidebar-wrap"><main>{ARTICLE}</main></div>',
+    f'<div class="content-sidebar-wrap"><main>{ARTICLE}</main><div class=sidebar><p>Something else to read on this site.</p></div></div>',
+    f"<div id=page class=has-sidebar><article>{ARTICLE}</article></div>",
+    f'<div class="search-engines">{ARTICLE}</div>',
+    f'<div class="site-share"><div class="no-sidebar"><div>{ARTICLE}</div><div class=share>Send it to a friend</div></div></div>',
+    f"<main><div class=discussion-topic>{ARTICLE}</div></main>",
+    f"<section><article class=teaser></article></section><div class=has-sidebar><main><p></p><div>{ARTICLE}</div></main></div>",
+    f"<div id=page class=has-sidebar><article>{ARTICLE}</article>{COMMENTS}{RELATED}</div>",
+    f"<article>{ARTICLE}</article>{COMMENTS}{RELATED}",
+    f"<article>{ARTICLE}</article><div class=comments><p>" + "I disagree with all of this, at length. " * 200 + "</p></div>",
+    f"<div class=page>{ARTICLE}</div><div class=sidebar><p>Something else to read on this site, at some length.</p></div>",
+])
+def test_names_do_not_drop_the_content(page):
+    assert main_text(f"<html><body class=social><nav><a>Menu</a></nav>{page}<footer>foot</footer></body></html>") == LINES
+
+
 def test_pages(spark, sf):
     rows = [(i if i % 4 else None, None if i % 3 == 0 else "u", page, "t", 5) for i, (page, _) in enumerate(PAGES)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
