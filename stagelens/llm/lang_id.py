@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .common import text_buffer, text_or_empty, text_slices
 
 UNKNOWN = "und"
-#: The model is fitted on this many documents a language, so many characters of each, for so many languages.
+#: The model is fitted on this many documents a language, so many characters of each; with more languages than these, all
+#: of them share the characters that these would have, and no dictionary has fewer than the last number.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 2000
-MOST_LANGUAGES = 64
+FULL_LANGUAGES = 64
+FEWEST_CHARS = 1024
 CHUNK = 1024
 #: Texts up to this many bytes are compressed in a finer way.
 SHORT = 600
@@ -115,29 +117,38 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def fit_languages(
     docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-    sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, most: int = MOST_LANGUAGES,
+    sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, full: int = FULL_LANGUAGES,
 ) -> tuple[tuple[str, ...], tuple[bytes, ...]]:
     """Languages, the most frequent first, and a dictionary of text for each.
 
     A dictionary is the first ``chars`` characters of the ``sample`` documents of
-    that language with the smallest hashes, so the model has a fixed bound
-    whatever the corpus; rows without language or letters teach nothing.
+    that language with the smallest hashes; fewer where there are more than
+    ``full`` languages that have enough documents for their smaller shares, so the model has a fixed bound whatever the
+    corpus. Rows without language or letters teach nothing. Raises ValueError with
+    so many languages that their dictionaries would be too small to tell them.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
     keys = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("key"))
-    top = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    most = full * max(sample * chars // FEWEST_CHARS, 1)
+    names = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} languages")
+    share = sample * chars * full // max(len(names), full)
     order = Window.partitionBy("lang").orderBy("key")
-    chosen = keys.filter(F.col("lang").isin(top)).distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample)
+    chosen = keys.distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample)
+    each = F.floor(F.lit(share) / F.count("key").over(Window.partitionBy("lang")))
+    chosen = chosen.withColumn("_chars", F.least(F.lit(chars), F.greatest(F.lit(1), each)).cast("int"))
     texts = rows.withColumns({"_lang": F.col(lang), "_key": F.xxhash64(doc_id, text)}).select(
         "_lang", "_key", F.substring(text, 1, chars).alias("_text")
     )
-    # at most ``sample`` keys for each of ``most`` languages
+    # at most ``sample`` keys a language
     same = (F.col("_lang") == F.col("lang")) & (F.col("_key") == F.col("key"))
-    found = texts.join(F.broadcast(chosen.select("lang", "key")), same).dropDuplicates(["_lang", "_key"])
-    content: dict[str, list[str]] = {name: [] for name in top}
-    for row in found.select("_lang", "_text").orderBy("_lang", "_key").collect():
+    found = texts.join(F.broadcast(chosen.select("lang", "key", "_chars")), same).dropDuplicates(["_lang", "_key"])
+    content: dict[str, list[str]] = {name: [] for name in names}
+    cut = F.col("_text").substr(F.lit(1), F.col("_chars")).alias("_text")
+    for row in found.select("_lang", "_key", cut).orderBy("_lang", "_key").collect():
         content[row["_lang"]].append(row["_text"])
-    names = tuple(name for name in top if content[name])
+    names = tuple(name for name in names if content[name])
     return names, tuple(_dictionary(content[name]) for name in names)
 
 

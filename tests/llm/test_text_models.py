@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stagelens.llm.common import text_buffer
 from stagelens.llm.digest import LEVELS, STEP, WINDOW, digests, fingerprints, likeness, parsed, window_levels, written
 from stagelens.llm.html_text import main_text, extract_pages
-from stagelens.llm.lang_id import documents_in_a_language, identify_languages, letters_only, predicted_languages
+from stagelens.llm.lang_id import documents_in_a_language, fit_languages, identify_languages, letters_only, predicted_languages
 from stagelens.llm.queries import QUERIES
 from stagelens.llm.toxicity import DECAY, SPAN, clean_documents, decision, fit_toxicity, kernel_features, score_toxicity, toxicity_scores, words_of
 
@@ -199,6 +199,19 @@ def test_documents_in_no_language_are_rejected(spark):
         assert kept == set(range(40 * languages))
 
 
+def test_every_language_is_learned(spark):
+    makers = invented(70)
+    rows = [(100 * k + i, make(60), f"l{k:02d}") for k, make in enumerate(makers) for i in range(5 if k else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, contents = fit_languages(docs, chars=200, full=10)
+    assert set(names) == {f"l{k:02d}" for k in range(70)} and names[-1] == "l00"
+    assert sum(map(len, contents)) <= 10 * 64 * 200
+    found = identify_languages(docs, fit_languages(docs), keep=("lang",))
+    assert found.filter("lang <> lang_pred").count() == 0
+    with pytest.raises(ValueError):
+        fit_languages(docs, sample=1, chars=1024, full=69)
+
+
 def test_margin_is_that_to_the_second_language(spark):
     docs = spark.createDataFrame([(0, "abcde fghij " * 50)], "doc_id long, text string")
     same = b"abcde fghij klmno " * 20
