@@ -166,18 +166,15 @@ def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.nda
 
 
 def _level_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entropy steps of the windows that tile the texts, counted over a task."""
+    """Entropy steps of all windows of the texts, counted over a task."""
     total = np.zeros(LEVELS, np.int64)
     for batch in batches:
         for part in text_slices(batch, "text"):
             raw, at = text_buffer(part.column("text"))
-            tiles = np.diff(at) // WINDOW
-            if not tiles.sum():
-                continue
-            begin = np.repeat(at[:-1], tiles) + WINDOW * (np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles))
-            window = raw[begin[:, None] + np.arange(WINDOW)].astype(np.int64) + 256 * np.arange(len(begin))[:, None]
-            counts = np.bincount(window.ravel(), minlength=256 * len(begin)).reshape(-1, 256)
-            total += np.bincount(_LOG[counts].sum(1) >> STEP, minlength=LEVELS)
+            levels = window_levels(raw)
+            # windows that reach into the next text are none
+            inside = np.arange(WINDOW, WINDOW + len(levels)) <= np.repeat(at[1:], np.diff(at))[: len(levels)]
+            total += np.bincount(levels[inside], minlength=LEVELS)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS, dtype=np.int32)), pa.array(total)], names=["level", "n"])
 
 

@@ -8,7 +8,7 @@ from helpers import by_id, no_documents, odd_documents
 from pyspark.sql import functions as F
 
 from stagelens.llm.common import text_buffer
-from stagelens.llm.digest import LEVELS, STEP, WINDOW, digests, fingerprints, likeness, parsed, window_levels, written
+from stagelens.llm.digest import LEVELS, STEP, WINDOW, digests, fingerprints, likeness, parsed, rarity_table, window_levels, written
 from stagelens.llm.html_text import main_text, extract_pages
 from stagelens.llm.lang_id import documents_in_a_language, fit_languages, identify_languages, letters_only, predicted_languages
 from stagelens.llm.queries import QUERIES
@@ -26,6 +26,17 @@ def test_entropy_steps_by_brute_force():
         assert window_levels(raw).tolist() == want
 
 
+def test_rarity_counts_every_window(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(chr(c) for c in rng.integers(97, 97 + k, n)) for k, n in ((4, 0), (9, 63), (3, 64), (12, 65), (5, 127), (20, 700))]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = sum(np.bincount(window_levels(np.frombuffer(t.encode(), np.uint8)), minlength=LEVELS) for t in texts)
+    want = np.empty(LEVELS, np.uint8)
+    want[np.lexsort((np.arange(LEVELS), counts))] = np.arange(LEVELS)
+    for parts in (1, 3):
+        assert (rarity_table(docs.repartition(parts)) == want).all()
+
+
 def test_digest_of_a_text_is_its_own_whatever_stands_around():
     rng = np.random.default_rng(1)
     texts = ["".join(chr(c) for c in rng.integers(97, 110, n)) for n in (0, 1, 10, 63, 64, 65, 127, 128, 500, 5000, 20000)]
