@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..catalog import Query
 
@@ -136,6 +137,32 @@ def op10_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_drop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import kept_lines
+
+    kept = kept_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS place FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), repeated AS (
+  SELECT k, max(doc_id) AS owner FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT d.doc_id, d.line, d.place, coalesce(d.doc_id <> r.owner, false) AS gone FROM keyed d LEFT JOIN repeated r ON d.k = r.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 OP8_SQL = """
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm
@@ -167,4 +194,5 @@ QUERIES: dict[str, Query] = {
     "op8_near_vectors": Query(op8_near_vectors, OP8_SQL),
     "op9_identify_languages": Query(op9_identify_languages),
     "op10_score_toxicity": Query(op10_score_toxicity),
+    "op13_drop_lines": Query(op13_drop_lines, OP13_SQL),
 }
