@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 LINE_MARKS = ("+-", ":", "(", "*", "==")
 # for display only: rules read the uncut text
 MAX_LINES = 50
-MOST_ITEMS = 5
 
 # What counts as white space at the ends of a line.
 WHITESPACE = (
@@ -47,29 +46,28 @@ def mask_expression_ids(text: Column) -> Column:
     return F.regexp_replace(text, r"#\d+", "#ID")
 
 
-def _short_list(items: Column) -> Column:
-    return F.concat(F.slice(items, 1, 3), F.array(F.lit("..."), F.element_at(items, -1)))
+# from the first opening bracket of a piece: three items, then at least two more, then the last one
+_LONG_LIST = r"(?s)^([^\[]*+\[.*?, .*?, .*?), .*?, .*, (.*)$"
 
 
 def _short_lists_of_line(line: Column) -> Column:
-    """Cut at closing brackets; what stands after the first opening one of a piece is a list."""
-    pieces = F.split(line, "]", -1)
+    """Cut at closing brackets; what stands after the first opening one of a piece is a list. The last piece is not closed."""
 
-    def piece(text: Column, at: Column) -> Column:
-        start = F.instr(text, "[")
-        items = F.split(F.substr(text, start + 1), ", ", -1)
-        short = F.concat(F.substr(text, F.lit(1), start), F.array_join(_short_list(items), ", "))
-        closed = at < F.size(pieces) - 1
-        return F.when(closed & (start > 0) & (F.size(items) > MOST_ITEMS), short).otherwise(text)
+    def of(pieces: Column) -> Column:
+        closed = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        short = F.transform(closed, lambda piece: F.regexp_replace(piece, _LONG_LIST, "$1, ..., $2"))
+        return F.array_join(F.concat(short, F.slice(pieces, -1, 1)), "]")
 
-    return F.array_join(F.transform(pieces, piece), "]")
+    # the array of one binds the pieces, so that a line is split once
+    short = F.element_at(F.transform(F.array(F.split(line, "]", -1)), of), 1)
+    return F.when(F.contains(line, F.lit("]")), short).otherwise(line)
 
 
 def shorten_lists(text: Column) -> Column:
     """Bracketed lists of more than five items keep the first three and the last.
 
-    Lists end on their line. Plain splits, so that lists and items of any
-    length cost one pass and no recursion.
+    Lists end on their line. Each piece of a line is matched once from its start,
+    so the work grows with the text, and no pattern repeats a group.
     """
     return F.array_join(F.transform(F.split(text, "\n", -1), _short_lists_of_line), "\n")
 

@@ -61,6 +61,10 @@ LISTS = {
     "[" + ", ".join(f"c{i}" for i in range(5000)) + "] +- [x]": "[c0, c1, c2, ..., c4999] +- [x]",
     "[" + "y" * 100_000 + ", a, b, c, d, e]": "[" + "y" * 100_000 + ", a, b, ..., e]",
     "[" * 30_000: "[" * 30_000,
+    "[a, b] " * 16_000: "[a, b] " * 16_000,
+    "[a, b, c, d, e, f, g] " * 16_000: "[a, b, c, ..., g] " * 16_000,
+    "[a, b, c, d, e, f " * 4_000: "[a, b, c, d, e, f " * 4_000,
+    "[" * 16_000 + "]" * 16_000: "[" * 16_000 + "]" * 16_000,
 }
 
 
