@@ -226,19 +226,18 @@ QUERIES["join_skew_salted"] = Query(
 
 
 def _join_skew_both(spark: SparkSession, sf: str) -> DataFrame:
-    """Sales joined with the offers of their promotion; the hot promotion has most of both."""
-    sales = star(spark, sf)["sales_fact"].select("promotion_id", "transaction_id", "store_id")
-    offers = sales.filter(F.col("transaction_id") % 1000 == 0).select("promotion_id", F.col("transaction_id").alias("offer_id"))
-    joined = jn.skew_join(sales, offers, "promotion_id")
-    return joined.groupBy("store_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("offer_id") % 7).cast("bigint").alias("sum_offers")
-    )
+    """Sales joined with the months their promotion sold in, of all sales; the hot promotion has most of both."""
+    sales = star(spark, sf)["sales_fact"].select("promotion_id", "store_id", "transaction_time")
+    month = F.date_trunc("month", "transaction_time").alias("month")
+    months = sales.groupBy("promotion_id", month).agg(F.count(F.lit(1)).alias("sold"))
+    joined = jn.skew_join(sales, months, "promotion_id")
+    return joined.groupBy("store_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sold").cast("bigint").alias("sum_sold"))
 
 
 QUERIES["join_skew_both"] = Query(
     _join_skew_both,
-    STAR_CTE + "select store_id, cast(sum(n) as bigint) as n_rows, cast(sum(s) as bigint) as sum_offers from sales_fact join "
-    "(select promotion_id, count(*) as n, sum(transaction_id % 7) as s from sales_fact where transaction_id % 1000 = 0 "
+    STAR_CTE + "select store_id, cast(sum(n) as bigint) as n_rows, cast(sum(s) as bigint) as sum_sold from sales_fact join "
+    "(select promotion_id, count(distinct date_trunc('month', transaction_time)) as n, count(*) as s from sales_fact "
     "group by promotion_id) using (promotion_id) group by store_id",
 )
 

@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width of the coarse value buckets used to find an order statistic.
-COARSE_WIDTH = 4096
+from ..session import scratch_path
+from ..sources.tables import read_table, write_table
+
+# Bits of a digit of the radix selection: the sums of a group that one level puts in order are at most 2 ** DIGIT_BITS.
+DIGIT_BITS = 12
 
 
 def count_where(df: DataFrame, predicate: Column) -> DataFrame:
@@ -110,61 +113,60 @@ def skew_profile(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows per group and integer value, ``n``; null values are left out. Written once, combined in the map tasks."""
+    spark = df.sparkSession
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "value-counts")
+    write_table(counted, path)
+    return read_table(spark, path)
+
+
+def select_rank(counts: DataFrame, keys: Sequence[str], rank: Column, digit: int = DIGIT_BITS) -> DataFrame:
+    """For each group its smallest and largest value and the one at a 0-based rank: keys, ``lo, mid, hi``.
+
+    ``counts`` is what ``value_counts`` returns, ``rank`` an expression of the
+    group's row count ``_n``. Radix selection: values are read as digits of
+    ``digit`` bits, from the highest one in which the table's values differ. A
+    level sums the counts per prefix, keeps the prefixes below the one chosen
+    before and picks the one that holds the rank. So a level joins and orders at
+    most ``2 ** digit`` sums of a group, whatever the group's size, how far
+    its values reach or how many of them lie close together.
+    """
+    keys = list(keys)
+    low, high = counts.agg(F.min("_v"), F.max("_v")).first()
+    levels = 0
+    while low is not None and digit * levels < 64 and low >> (digit * levels) != high >> (digit * levels):
+        levels += 1
+    chosen = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    chosen = chosen.select(*keys, "lo", "hi", rank.cast("bigint").alias("_rank"), F.lit(low).cast("bigint").alias("_prefix"))
+    for level in reversed(range(levels)):
+        sums = counts.groupBy(*keys, F.shiftright("_v", digit * level).alias("_p")).agg(F.sum("n").alias("_pn"))
+        # groups may share a null key, so keys compare null-safely
+        parent = chosen.withColumnsRenamed({k: f"_t_{k}" for k in keys})
+        # above the first level all values have the same digits
+        same = F.lit(True) if level == levels - 1 else F.shiftright("_p", digit) == F.col("_prefix")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+        inside = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        children = sums.join(parent, same).withColumn("_upto", F.sum("_pn").over(inside))
+        before = F.col("_upto") - F.col("_pn")
+        chosen = children.filter((F.col("_upto") > F.col("_rank")) & (before <= F.col("_rank"))).select(
+            *keys, "lo", "hi", (F.col("_rank") - before).alias("_rank"), F.col("_p").alias("_prefix")
+        )
+    return chosen.select(*keys, "lo", F.col("_prefix").alias("mid"), "hi")
+
+
 def order_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Minimum, upper median and maximum of integer values per group: ``lo, mid, hi``.
 
     The median is exact: element ``floor(n / 2)`` of the group's sorted values.
-    No group is ever gathered. A first pass counts coarse buckets of
-    ``COARSE_WIDTH`` values, combined in the map tasks, and finds the bucket
-    that holds the wanted rank; a second pass counts single values of those
-    buckets only. Each window runs over the buckets of one group or over the
-    values of one bucket, whatever share of the rows the group holds.
+    ``df`` is read once, for the counts of its values; the median comes from
+    these by radix selection, so no group is gathered and no row is joined.
     """
-    keys = list(keys)
-    v = F.col(value)
-    rows = df.filter(v.isNotNull()).select(
-        *keys, v, F.floor(v / F.lit(float(COARSE_WIDTH))).cast("bigint").alias("_coarse")
-    )
-    buckets = rows.groupBy(*keys, "_coarse").agg(
-        F.count(F.lit(1)).alias("_bn"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
-    )
-    ordered = Window.partitionBy(*keys).orderBy("_coarse")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.floor(F.col("_n") / F.lit(2)).cast("bigint")
-    before = F.col("_upto") - F.col("_bn")
-    target = (
-        buckets.withColumns(
-            {
-                "_n": F.sum("_bn").over(whole),
-                "_upto": F.sum("_bn").over(so_far),
-                "lo": F.min("_lo").over(whole),
-                "hi": F.max("_hi").over(whole),
-            }
-        )
-        .filter((F.col("_upto") > rank) & (before <= rank))
-        .select(*keys, "_coarse", (rank - before).alias("_rank"), "lo", "hi")
-    )
-    # groups may share a null key, so keys compare null-safely
-    wanted = target.withColumnsRenamed({k: f"_t_{k}" for k in [*keys, "_coarse"]})
-    same = F.col("_coarse") == F.col("_t__coarse")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    counted = (
-        rows.join(wanted, same)
-        .groupBy(*keys, value)
-        .agg(
-            F.count(F.lit(1)).alias("_vn"),
-            *[F.first(c).alias(c) for c in ("_rank", "lo", "hi")],
-        )
-    )
-    inside = Window.partitionBy(*keys).orderBy(value)
-    seen = F.sum("_vn").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        counted.withColumn("_seen", seen)
-        .filter((F.col("_seen") > F.col("_rank")) & (F.col("_seen") - F.col("_vn") <= F.col("_rank")))
-        .select(*keys, "lo", v.alias("mid"), "hi")
-    )
+    kind = df.schema[value].dataType
+    found = select_rank(value_counts(df, keys, value), keys, F.floor(F.col("_n") / F.lit(2)))
+    return found.select(*keys, *[F.col(c).cast(kind).alias(c) for c in ("lo", "mid", "hi")])
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

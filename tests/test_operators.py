@@ -139,6 +139,36 @@ def test_upper_median(spark):
     assert dict(rows(got)) == want
 
 
+def test_order_stats_over_any_range(spark):
+    import random
+
+    rnd = random.Random(9)
+    near = [("near", 2**62 + rnd.randrange(50)) for _ in range(3001)]  # all in one bucket of a level
+    far = [("far", rnd.choice([-(2**63), 2**63 - 1, 0, -1, rnd.randrange(-(2**60), 2**60)])) for _ in range(2000)]
+    wide = [(None, v * 2**40) for v in range(-300, 301)]
+    data = near + far + wide + [("one", 2**63 - 1), ("gap", None)]
+    groups = defaultdict(list)
+    for k, v in data:
+        if v is not None:
+            groups[k].append(v)
+    want = {k: (min(v), sorted(v)[len(v) // 2], max(v)) for k, v in groups.items()}
+    df = spark.createDataFrame(data, "k string, v bigint")
+    assert {r.k: (r.lo, r.mid, r.hi) for r in ag.order_stats(df, ["k"], "v").collect()} == want
+    same = spark.createDataFrame([("a", 7)] * 5 + [("b", 7)], "k string, v int")
+    assert rows(ag.order_stats(same, ["k"], "v")) == [("a", 7, 7, 7), ("b", 7, 7, 7)]
+    assert ag.order_stats(same, ["k"], "v").dtypes == [("k", "string"), ("lo", "int"), ("mid", "int"), ("hi", "int")]
+    assert ag.order_stats(same.limit(0), ["k"], "v").collect() == []
+
+
+def test_order_stats_reads_rows_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 3 as k", "id * id as v").write.parquet(str(tmp_path / "t"))
+    plan = plan_of(ag.order_stats(spark.read.parquet(str(tmp_path / "t")), ["k"], "v"))
+    assert str(tmp_path / "t") not in plan  # everything after the counts reads the counts
+    ranks = ag.value_counts(spark.range(1000).selectExpr("id % 2 as k", "id as v"), ["k"], "v")
+    ninth = ag.select_rank(ranks, ["k"], F.floor(F.col("_n") * 0.9), digit=3)
+    assert rows(ninth) == [(0, 0, 900, 998), (1, 1, 901, 999)]
+
+
 def test_skew_profile(spark):
     df = spark.createDataFrame([(k,) for k in [1] * 8 + [2] * 2 + [3] * 2 + [4]], "k int")
     r = ag.skew_profile(df, "k").first()
