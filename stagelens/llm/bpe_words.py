@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import coded_words, piece_bytes, word_ids
-from .common import binary_slices, text_buffer, text_or_empty, text_slices
+from .common import giving_back, binary_slices, text_buffer, text_or_empty, text_slices
 
 #: Text of a block, unless one document alone has more.
 BLOCK_BYTES = 16 << 20
@@ -241,9 +241,9 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text", doc_
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    words = rows.mapInArrow(_word_rows(vocabulary), "word string, block long, place int")
+    words = rows.mapInArrow(giving_back(_word_rows(vocabulary)), "word string, block long, place int")
     by_word = words.repartition("word").sortWithinPartitions("word")
-    answers = by_word.mapInArrow(_answer_rows(vocabulary), "block long, kind int, payload binary")
-    sequences = rows.mapInArrow(_sequence_rows(vocabulary), "block long, kind int, payload binary")
+    answers = by_word.mapInArrow(giving_back(_answer_rows(vocabulary)), "block long, kind int, payload binary")
+    sequences = rows.mapInArrow(giving_back(_sequence_rows(vocabulary)), "block long, kind int, payload binary")
     blocks = answers.unionByName(sequences).repartition("block").sortWithinPartitions("block", "kind")
-    return blocks.mapInArrow(_digests(vocabulary), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return blocks.mapInArrow(giving_back(_digests(vocabulary)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -98,6 +98,11 @@ class _Lines(HTMLParser):
         words = {w.lower() for key, value in attrs if key in ("class", "id") and value for w in _NAME.findall(value)}
         return bool(NAMES & words or ("header" in words and not self.own and not TITLES & words))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section such as ``<![foo[`` is no HTML: a comment up to the next ``>``, or to the end of the page."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.hidden and tag not in HIDDEN and tag != "body":
             if tag not in VOID:

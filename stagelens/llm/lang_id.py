@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_buffer, text_or_empty, text_slices
+from .common import giving_back, text_buffer, text_or_empty, text_slices
 
 UNKNOWN = "und"
 #: The model is fitted on this many documents a language, so many characters of each; with more languages than these, all
@@ -175,7 +175,7 @@ def identify_languages(docs: DataFrame, model, text: str = "text", keep: tuple[s
     column = text if text in keep else "text"
     rows = docs.select(*keep) if text in keep else docs.select(*keep, text_or_empty(text).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_predict(bound, column), f"{kinds}, lang_pred string, score double, margin double")
+    return rows.mapInArrow(giving_back(_predict(bound, column)), f"{kinds}, lang_pred string, score double, margin double")
 
 
 def predicted_languages(docs: DataFrame, folds: int = 5) -> DataFrame:

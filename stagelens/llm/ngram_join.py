@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mixed, shingle_hashes, stored, text_buffer, text_or_empty, text_slices, word_hashes
+from .common import giving_back, components, mixed, shingle_hashes, stored, text_buffer, text_or_empty, text_slices, word_hashes
 
 #: Size of the table of n-gram counts that orders n-grams from rare to frequent.
 COUNT_BITS = 18
@@ -143,12 +143,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int, filter
     wanted = np.zeros(1 << filter_bits, bool)
     wanted[ids.select(slot("node")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
     table = spark.sparkContext.broadcast(np.packbits(wanted))
-    some = texts.select(F.col("doc_id").alias("node"), "text", slot("doc_id")).mapInArrow(_wanted(table), "node long, text string")
+    some = texts.select(F.col("doc_id").alias("node"), "text", slot("doc_id")).mapInArrow(giving_back(_wanted(table)), "node long, text string")
     some = stored(some, "pair-texts")
     left = some.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similar(k, threshold), "a long, b long")
+    return both.mapInArrow(giving_back(_similar(k, threshold)), "a long, b long")
 
 
 def near_documents(
@@ -181,7 +181,7 @@ def near_documents(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    counted = texts.select("text").mapInArrow(_counts(k, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(giving_back(_counts(k, bits)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = np.zeros(1 << bits, np.int64)
     table = counted.toPandas()  # 2 ** bits rows at most
     frequency[table["bucket"].to_numpy()] = table["n"].to_numpy()

@@ -26,7 +26,7 @@ FEWEST = 2
 ANCHOR = 256
 
 FORMAT = (
-    "shard int, block int, n_ids long, doc_ids array<{doc_id}>, lengths array<int>, terminals int, "
+    "shard int, block int, before long, n_ids long, doc_ids array<{doc_id}>, lengths array<int>, terminals int, "
     "rules binary, expansion binary, symbols binary, anchors binary"
 )
 
@@ -168,14 +168,14 @@ def read_range(block: dict, start: int, stop: int) -> np.ndarray:
     return expand(some[held], terminals, rules, sizes)[start - begin : stop - begin]
 
 
-def _block(shard: int, number: int, doc_ids: list, parts: list[np.ndarray]) -> dict:
+def _block(shard: int, number: int, before: int, doc_ids: list, parts: list[np.ndarray]) -> dict:
     ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     terminals, rules, symbols = compress(ids)
     sizes = expansion_lengths(terminals, rules)
     widths = np.concatenate([np.ones(terminals, np.int64), sizes])[symbols]
     anchors = (np.cumsum(widths) - widths)[::ANCHOR]
     return {
-        "shard": shard, "block": number, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(p) for p in parts], "terminals": terminals,
+        "shard": shard, "block": number, "before": before, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(p) for p in parts], "terminals": terminals,
         "rules": rules.astype("<u4").tobytes(), "expansion": sizes.astype("<u4").tobytes(),
         "symbols": symbols.astype("<u4").tobytes(), "anchors": anchors.astype("<u4").tobytes(),
     }
@@ -183,14 +183,14 @@ def _block(shard: int, number: int, doc_ids: list, parts: list[np.ndarray]) -> d
 
 def _schema(doc_id: pa.DataType) -> pa.Schema:
     return pa.schema(
-        [("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(doc_id)), ("lengths", pa.list_(pa.int32())),
+        [("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(doc_id)), ("lengths", pa.list_(pa.int32())),
          ("terminals", pa.int32()), ("rules", pa.binary()), ("expansion", pa.binary()), ("symbols", pa.binary()), ("anchors", pa.binary())]
     )
 
 
 def _write_blocks(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, number, held, doc_ids, parts, kind = TaskContext.get().partitionId(), 0, 0, [], [], None
+        shard, number, before, held, doc_ids, parts, kind = TaskContext.get().partitionId(), 0, 0, 0, [], [], None
         tail = np.array([end], np.uint32)
         for batch in batches:
             kind = kind or _schema(batch.schema.field("doc_id").type)
@@ -199,13 +199,13 @@ def _write_blocks(path: str, end: int):
                 for i, name in enumerate(part.column("doc_id").to_pylist()):
                     one = np.concatenate([ids[at[i] : at[i + 1]], tail])
                     if parts and held + len(one) > BLOCK_IDS:
-                        yield pa.RecordBatch.from_pylist([_block(shard, number, doc_ids, parts)], kind)
-                        number, held, doc_ids, parts = number + 1, 0, [], []
+                        yield pa.RecordBatch.from_pylist([_block(shard, number, before, doc_ids, parts)], kind)
+                        number, before, held, doc_ids, parts = number + 1, before + held, 0, [], []
                     doc_ids.append(name)
                     parts.append(one)
                     held += len(one)
         if parts:
-            yield pa.RecordBatch.from_pylist([_block(shard, number, doc_ids, parts)], kind)
+            yield pa.RecordBatch.from_pylist([_block(shard, number, before, doc_ids, parts)], kind)
 
     return run
 
@@ -250,18 +250,18 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the ids read back out of the files.
 
-    ``start`` counts the ids of all documents before: block sizes, summed inside a
-    shard and, one row a shard, over shards.
+    ``start`` counts the ids of all documents before: those before the block in its
+    shard, which the block knows, and those of earlier shards.
     """
     blocks = spark.read.parquet(path)
-    sizes = blocks.select("shard", "block", "n_ids")
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("_n")).withColumn("_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    starts = sizes.withColumn("_inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(shards, "shard")
-    starts = starts.select("shard", "block", (F.col("_inside") + F.col("_shard")).alias("_start"))
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
+    shards = shards.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shard"))
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    needed = blocks.select("shard", "block", "doc_ids", "lengths", "terminals", "rules", "expansion", "symbols").join(F.broadcast(starts), ["shard", "block"])
+    # one row a shard, and a shard is a task of the writer
+    needed = blocks.join(F.broadcast(shards), "shard").select(
+        "doc_ids", "lengths", "terminals", "rules", "expansion", "symbols", (F.col("before") + F.col("_shard")).alias("_start")
+    )
     return needed.mapInArrow(_read_blocks, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_array, stored, text_buffer, text_or_empty, text_slices
+from .common import giving_back, pieces_array, stored, text_buffer, text_or_empty, text_slices
 from .lang_id import fold
 
 #: Letters are mapped to this many symbols: a-z, and the rest dealt over what is left.
@@ -247,7 +247,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
         texts.join(F.broadcast(chosen), F.col("_id") == F.col("bag")).drop("_id").dropDuplicates(["text"]).repartition("bag"), "toxic-sample"
     )
     kind = sample.schema["bag"].dataType.simpleString()
-    bags = stored(sample.mapInArrow(_document_words, f"bag {kind}, toxic int, word string"), "toxic-words")
+    bags = stored(sample.mapInArrow(giving_back(_document_words), f"bag {kind}, toxic int, word string"), "toxic-words")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
@@ -277,11 +277,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
         weights, bias = (whiten @ w[:-1]) @ landmarks, float(w[-1])
         if step < ROUNDS:
             machine = spark.sparkContext.broadcast((weights, bias))
-            hard = others.mapInArrow(_word_values(machine), "word string, f double").orderBy(F.desc("f"), "word").limit(MINED)
+            hard = others.mapInArrow(giving_back(_word_values(machine)), "word string, f double").orderBy(F.desc("f"), "word").limit(MINED)
             mined = sorted({*mined, *(r["word"] for r in hard.collect())})
 
     machine = spark.sparkContext.broadcast((weights, bias))
-    seen = sample.mapInArrow(document_features(machine), f"bag {kind}, toxic int, most double, hits long").toPandas()
+    seen = sample.mapInArrow(giving_back(document_features(machine)), f"bag {kind}, toxic int, most double, hits long").toPandas()
     y = seen["toxic"].to_numpy(float)
     total = sum(counts.values())
     share = np.where(y == 1, counts[1] / total / max(y.sum(), 1), counts[0] / total / max((1 - y).sum(), 1)) * len(y)
@@ -309,7 +309,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", kee
         return rows.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     machine = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    found = rows.mapInArrow(document_features(machine, column), f"{kinds}, most double, hits long")
+    found = rows.mapInArrow(giving_back(document_features(machine, column)), f"{kinds}, most double, hits long")
     found = found.withColumn("score", _score(model))
     return found.select(*keep, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 

@@ -312,3 +312,12 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity_scores(no_documents(spark), labels).collect() == []
     odd_labels = labels.unionByName(spark.createDataFrame([(None, 1), (3, None), (5, 7)], "doc_id long, toxic int"))
     assert toxicity_scores(odd, odd_labels).count() == odd.count()
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<p>a</p><![foo[x]]>", "<p>a</p><![", "<p>a</p><![CDATA[x]]>", "<p>a</p><!", "<p>a</p><!DOCTYPE [", "<p>a</p><?", "<p>a</p><![if IE]>",
+     "<p>a</p><![endif]", "<p>a</p></", "<p>a</p><!--", "<p>a</p><![[[", "<![foo[x]]><p>a</p>"],
+)
+def test_malformed_declarations_end_no_page(html):
+    assert main_text(html).split("\n")[0] == "a"
