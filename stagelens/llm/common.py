@@ -22,9 +22,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     write_table(df, path)
+    release_memory()
     return read_table(df.sparkSession, path)
 
 
+def release_memory() -> None:
+    """Memory that was freed goes back to the system instead of staying with the allocators of this process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run`` for mapInArrow, with freed memory handed back to the system when its task ends.
 
@@ -35,10 +44,7 @@ def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            release_memory()
 
     return task
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import giving_back, pieces_array, stored, text_buffer, text_or_empty, text_slices
+from .common import giving_back, release_memory, pieces_array, stored, text_buffer, text_or_empty, text_slices
 from .lang_id import fold
 
 #: Letters are mapped to this many symbols: a-z, and the rest dealt over what is left.
@@ -275,6 +275,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
         weight = np.concatenate([support / support.sum() * len(mined), np.ones(len(mined))])
         w = _machine(np.column_stack([z, np.ones(len(z))]), y, weight)
         weights, bias = (whiten @ w[:-1]) @ landmarks, float(w[-1])
+        del z
+        release_memory()
         if step < ROUNDS:
             machine = spark.sparkContext.broadcast((weights, bias))
             hard = others.mapInArrow(giving_back(_word_values(machine)), "word string, f double").orderBy(F.desc("f"), "word").limit(MINED)

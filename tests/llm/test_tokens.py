@@ -91,7 +91,7 @@ def test_grammar_round_trip():
         terminals, rules, symbols = compress(ids)
         assert (expand(symbols, terminals, rules) == ids).all()
         assert len(ids) < 1000 or len(symbols) < len(ids)
-        block = _block(0, 0, [1], [ids])
+        block = _block(0, 0, 0, [1], [ids])
         for a, b in ((0, min(10, len(ids))), (len(ids) // 3, len(ids) // 2), (max(len(ids) - 5, 0), len(ids)), (0, len(ids))):
             assert (read_range(block, a, b) == ids[a:b]).all()
 
