@@ -51,6 +51,13 @@ def stage_jobs(map_jobs: DataFrame) -> DataFrame:
     )
 
 
+def flags_of_plans(plans: DataFrame) -> DataFrame:
+    """``app_id, sql_id`` and the plan flags; plans that have their flags already are taken as they are."""
+    if set(pt.FLAGS) <= set(plans.columns):
+        return plans.select("app_id", "sql_id", *pt.FLAGS)
+    return plans.select("app_id", "sql_id", pt.plan_flags(F.col("raw_plan")).alias("f")).select("app_id", "sql_id", "f.*")
+
+
 def stage_to_plan(
     stages: DataFrame, map_jobs: DataFrame, plans: DataFrame, with_text: bool = False
 ) -> DataFrame:
@@ -59,12 +66,10 @@ def stage_to_plan(
     Flags are taken from the plans before the join, so that the long texts stay
     out of the shuffles unless asked for.
     """
-    flags = plans.select(
-        "app_id",
-        "sql_id",
-        pt.plan_flags(F.col("raw_plan")).alias("f"),
-        *(["plan_text"] if with_text else []),
-    ).select("app_id", "sql_id", "f.*", *(["plan_text"] if with_text else []))
+    flags = flags_of_plans(plans)
+    if with_text:
+        flags = plans.select("app_id", "sql_id", "plan_text", pt.plan_flags(F.col("raw_plan")).alias("f"))
+        flags = flags.select("app_id", "sql_id", "f.*", "plan_text")
     # stages outside SQL match no plan; spread them instead of meeting at one null key
     spare = -1 - F.pmod(F.hash("stage_id"), F.lit(1024))
     key = F.coalesce("sql_id", spare).alias("_sql")

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from ..sources.tables import read_table, write_table
 from . import rules
+from .mapping import flags_of_plans
 from .rules import DEFAULT, Tables, Thresholds
 
 SEVERITIES = ("high", "medium", "low", "info")
@@ -70,10 +73,23 @@ RULE_TEXT = {
 }
 
 
+def _step(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    write_table(df, path)
+    return read_table(df.sparkSession, path)
+
+
 def all_findings(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
-    """Rows of all rules. Stage links and metric peaks are built once and shared."""
-    stage_plans = rules.plans_of_stages(t)
-    peaks = rules.rule_peaks(t)
+    """Rows of all rules.
+
+    Plans, stages and metric samples are read once each: into plan flags, stages
+    with the flags of their query, and peaks of the metrics the rules ask for.
+    These narrow tables are written, and the rules read them.
+    """
+    t = {**t, "dim_sql_plans": _step(flags_of_plans(t["dim_sql_plans"]), "plan-flags")}
+    stage_plans = _step(rules.plans_of_stages(t), "stage-plans")
+    peaks = _step(rules.rule_peaks(t), "rule-peaks")
+    t = {**t, "fact_stages": stage_plans}
     parts = [
         rules.stage_findings(stage_plans, th),
         rules.nested_loop_join(t, th, stage_plans),

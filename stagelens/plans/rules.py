@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import plan_text as pt
-from .mapping import MEMORY_METRIC, memory_headroom, rank_stages, stage_metrics, stage_to_plan, top_stages
+from .mapping import MEMORY_METRIC, flags_of_plans, memory_headroom, rank_stages, stage_metrics, stage_to_plan, top_stages
 from .telemetry import metric_peaks
 
 FINDING = ["app_id", "rule_id", "severity", "stage_id", "sql_id", "evidence"]
@@ -238,9 +237,8 @@ def python_memory(
     spikes = peaks.filter(
         (F.col("metric_name") == RSS_METRIC) & (F.col("peak") > F.col("mean") * th.rss_ratio)
     )
-    flags = pt.plan_flags(F.col("raw_plan"))
-    python = flags["has_batch_python"] | flags["has_arrow_python"]
-    users = t["dim_sql_plans"].filter(python).groupBy("app_id").agg(F.min("sql_id").alias("sql_id"))
+    python = F.col("has_batch_python") | F.col("has_arrow_python")
+    users = flags_of_plans(t["dim_sql_plans"]).filter(python).groupBy("app_id").agg(F.min("sql_id").alias("sql_id"))
     evidence = _evidence(executor_id=F.col("executor_id"), peak_kb=_kb("peak"), mean_kb=_kb("mean"))
     return _finding(
         spikes.join(users, "app_id"), "python_memory", "high", evidence, F.col("sql_id")

@@ -51,3 +51,28 @@ def test_no_query_crosses_tables(spark, sf):
         # operators start a plan line; the names also occur inside the rules' own expressions
         nodes = re.findall(r"^[\s:+\-*()\d]*([A-Z]\w+)", plan, re.MULTILINE)
         assert len(nodes) > 3 and not {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(nodes), name
+
+
+def test_report_reads_each_fact_table_once(spark, sf, tmp_path, monkeypatch):
+    from conftest import plan_of
+
+    from stagelens.catalog import views
+    from stagelens.plans import report
+
+    tables = {}
+    for name, df in views.tables(spark, sf).items():
+        df.write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    plans, step = [], report._step
+    monkeypatch.setattr(report, "_step", lambda df, label: (plans.append(plan_of(df)), step(df, label))[1])
+    monkeypatch.setattr(report, "scratch_path", lambda spark, label: str(tmp_path / "steps" / label))
+    length = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        found = report.report(tables)
+        plans.append(plan_of(found))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", length)
+    for name in ("fact_stages", "fact_hardware_metrics", "dim_sql_plans", "map_jobs"):
+        assert sum(plan.count(f"/{name}]") for plan in plans) == 1, name
+    assert found.count() > 0
