@@ -317,8 +317,10 @@ def build_telemetry(
 ) -> dict[str, DataFrame]:
     """Six tables from landed documents of completed applications.
 
-    ``app_documents`` narrows the load to some application documents. With
-    ``as_of`` unfinished applications are kept and end at that time.
+    ``app_documents`` narrows the load to some application documents, as many as
+    one load should hold: their ids come to the driver, and only the folders of
+    these applications are listed and read. With ``as_of`` unfinished
+    applications are kept and end at that time.
     """
     found = ld.read_apps(spark, landing, layout) if app_documents is None else app_documents
     # an application may be listed by several responses
@@ -328,23 +330,24 @@ def build_telemetry(
     else:
         apps = _applications(found, F.lit(as_of).cast("timestamp_ntz"))
     ids = apps.select("app_id")
+    only = None if app_documents is None else [r["app_id"] for r in ids.distinct().collect()]
 
     def of_done(df: DataFrame) -> DataFrame:
         return df.join(ids, "app_id", "left_semi")
 
-    sql = of_done(ld.read_sql_list(spark, landing, layout))
-    details = ld.read_sql_details(spark, landing, layout)
-    series = filter_target_metrics(ld.read_metric_matrix(spark, landing, layout))
+    sql = of_done(ld.read_sql_list(spark, landing, layout, only))
+    details = ld.read_sql_details(spark, landing, layout, only)
+    series = filter_target_metrics(ld.read_metric_matrix(spark, landing, layout, only))
     tables = {
         "dim_applications": apps,
         "fact_stages": _stages(
-            of_done(ld.read_stages(spark, landing, layout)),
-            ld.read_task_summaries(spark, landing, layout),
+            of_done(ld.read_stages(spark, landing, layout, only)),
+            ld.read_task_summaries(spark, landing, layout, only),
         ),
-        "fact_executors": _executors(of_done(ld.read_executors(spark, landing, layout))),
+        "fact_executors": _executors(of_done(ld.read_executors(spark, landing, layout, only))),
         "dim_sql_plans": _sql_plans(sql, details),
         "fact_hardware_metrics": clip_to_app(explode_samples(series), apps),
-        "map_jobs": _job_map(of_done(ld.read_jobs(spark, landing, layout)), sql, details),
+        "map_jobs": _job_map(of_done(ld.read_jobs(spark, landing, layout, only)), sql, details),
     }
     return {name: conform(df, name) for name, df in tables.items()}
 

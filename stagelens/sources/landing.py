@@ -17,6 +17,8 @@ later, whatever the other documents hold.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,24 +52,39 @@ METRICS = (
 LAYOUTS = ("response", "lines")
 
 
+def app_folders(spark: SparkSession, path: str, apps: Sequence[str]) -> dict[str, str]:
+    """Application id -> its folder below ``path``, for those that have one; asks for these folders only."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = {app: f"{path}/app_id={escape(app)}" for app in apps}
+    return {app: folder for app, folder in folders.items() if path_exists(spark, folder)}
+
+
 def _documents(
-    spark: SparkSession, landing: str, kind: str, schema: str, ids: str, layout: str
+    spark: SparkSession, landing: str, kind: str, schema: str, ids: str, layout: str, apps: Sequence[str] | None = None
 ) -> DataFrame:
     """Records of one kind: id columns, document fields, ``position`` in the response.
 
     ``position`` is null in the lines layout, where records have no list order.
+    With ``apps`` only the folders of these applications are listed and read.
+    Records outside such folders (``lines`` only) are found by reading all.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
     path = f"{landing}/{kind}"
-    if not path_exists(spark, path):
+    paths, reader = [path], spark.read
+    if apps is not None:
+        folders = app_folders(spark, path, apps)
+        if layout == "response" or len(folders) == len(set(apps)):
+            paths, reader = list(folders.values()), spark.read.option("basePath", path)
+    if not paths or not path_exists(spark, path):
         # nothing of this kind was answered: no rows, same columns
         return spark.createDataFrame([], f"{ids + ', ' if ids else ''}{schema}, position int")
     names = [part.split()[0] for part in ids.split(",")] if ids else []
     if layout == "lines":
         full = f"{ids}, {schema}" if ids else schema
-        return spark.read.schema(full).json(path).withColumn("position", F.lit(None).cast("int"))
-    raw = spark.read.schema(f"value string{', ' + ids if ids else ''}").text(path, wholetext=True)
+        found = reader.schema(full).json(paths).withColumn("position", F.lit(None).cast("int"))
+        return found if apps is None else found.filter(F.col("app_id").isin(list(apps)))
+    raw = reader.schema(f"value string{', ' + ids if ids else ''}").text(paths, wholetext=True)
     records = F.from_json("value", f"array<struct<{schema}>>")
     return raw.select(*names, F.posexplode(records).alias("position", "doc")).select(
         *names, "doc.*", "position"
@@ -78,34 +95,34 @@ def read_apps(spark: SparkSession, landing: str, layout: str = "response") -> Da
     return _documents(spark, landing, "apps", APPS, "", layout)
 
 
-def read_stages(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
-    return _documents(spark, landing, "stages", STAGES, "app_id string", layout)
+def read_stages(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
+    return _documents(spark, landing, "stages", STAGES, "app_id string", layout, apps)
 
 
-def read_task_summaries(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
+def read_task_summaries(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
     ids = "app_id string, stage_id int, attempt_id int"
-    return _documents(spark, landing, "task_summary", TASK_SUMMARY, ids, layout)
+    return _documents(spark, landing, "task_summary", TASK_SUMMARY, ids, layout, apps)
 
 
-def read_jobs(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
-    return _documents(spark, landing, "jobs", JOBS, "app_id string", layout)
+def read_jobs(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
+    return _documents(spark, landing, "jobs", JOBS, "app_id string", layout, apps)
 
 
-def read_sql_list(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
-    return _documents(spark, landing, "sql", SQL, "app_id string", layout)
+def read_sql_list(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
+    return _documents(spark, landing, "sql", SQL, "app_id string", layout, apps)
 
 
-def read_sql_details(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
-    return _documents(spark, landing, "sql_detail", SQL_DETAIL, "app_id string, sql_id int", layout)
+def read_sql_details(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
+    return _documents(spark, landing, "sql_detail", SQL_DETAIL, "app_id string, sql_id int", layout, apps)
 
 
-def read_executors(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
-    return _documents(spark, landing, "executors", EXECUTORS, "app_id string", layout)
+def read_executors(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
+    return _documents(spark, landing, "executors", EXECUTORS, "app_id string", layout, apps)
 
 
-def read_metric_matrix(spark: SparkSession, landing: str, layout: str = "response") -> DataFrame:
+def read_metric_matrix(spark: SparkSession, landing: str, layout: str = "response", apps: Sequence[str] | None = None) -> DataFrame:
     """One row per series: ``app_id``, ``series`` name, ``values`` as [epoch, value] texts."""
-    docs = _documents(spark, landing, "metrics", METRICS, "app_id string", layout)
+    docs = _documents(spark, landing, "metrics", METRICS, "app_id string", layout, apps)
     return docs.select("app_id", F.explode("data.result").alias("r")).select(
         "app_id", F.element_at("r.metric", "__name__").alias("series"), F.col("r.values").alias("values")
     )

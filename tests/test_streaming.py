@@ -2,9 +2,12 @@ import json
 
 from test_landing import A, B, DOCS_A, DOCS_B, apps, contents, put, write_app
 
+from pyspark.sql import functions as F
+
 from stagelens.plans import store as st
 from stagelens.plans import telemetry as tel
-from stagelens.streaming.loads import stream_load
+from stagelens.sources import landing as ld
+from stagelens.streaming.loads import load_landed, stream_load
 from stagelens.streaming.metrics import stream_metrics
 
 
@@ -62,6 +65,34 @@ def test_stream_load_adds_each_application_once(spark, tmp_path):
     assert contents(st.read_store(spark, out)) == contents(tel.build_telemetry(spark, str(again)))
 
 
+def test_a_load_reads_the_folders_of_its_applications_only(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "store")
+    landing.mkdir()
+    for app, docs in ((A, DOCS_A), (B, DOCS_B)):
+        write_app(landing, app, docs)
+    put(landing, "apps", apps(A, B))
+    documents = ld.read_apps(spark, str(landing))
+    tables = tel.build_telemetry(spark, str(landing), app_documents=documents.filter(F.col("id") == B))
+    read = {name: df.inputFiles() for name, df in tables.items() if name != "dim_applications"}
+    read = {name: [f for f in files if "/apps/" not in f] for name, files in read.items()}
+    assert all(f"app_id={B}" in f for files in read.values() for f in files) and any(read.values())
+    whole = contents(tel.build_telemetry(spark, str(landing)))
+    for name, rows in contents(tables).items():
+        assert rows == [r for r in whole[name] if B in r], name
+    # a document that cannot be read does no harm to loads of other applications
+    assert load_landed(spark, str(landing), out, apps_a_load=1) == 2
+    assert contents(st.read_store(spark, out)) == whole
+    assert load_landed(spark, str(landing), out) == 0
+    (landing / "stages" / f"app_id={A}" / "response.json").write_bytes(b"[{broken")
+    third = "app-3"
+    write_app(landing, third, DOCS_B)
+    put(landing, "apps/day=3", apps(third))
+    assert load_landed(spark, str(landing), out) == 1
+    kept = contents(st.read_store(spark, out))
+    assert all([r for r in kept[name] if third not in r] == rows for name, rows in whole.items())
+    assert {r.app_id for r in st.loads(spark, out).collect()} == {A, B, third}
+
+
 def landed(folder, app, docs):
     folder.mkdir()
     write_app(folder, app, docs)
