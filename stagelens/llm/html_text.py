@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,34 +52,59 @@ NAMES = frozenset(
 TITLES = frozenset("article entry post story content".split())
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG = re.compile(r"<[A-Za-z/!?]")
 
 
 class _Lines(HTMLParser):
-    """Cuts a page's events into lines, one for each block, with what stands around it."""
+    """Cuts a page's events into lines, one for each block, and keeps for each element what it stands in.
+
+    Elements are numbered in page order, 0 is the page. A line knows the element it
+    ends in; the links of elements give what is around it, so the work is
+    linear in the page, however deep elements nest.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, apart
-        self.count = 0
+        self.open: list[tuple[str, int, bool, int]] = []  # name, number, apart, place of the innermost open block
+        self.places: dict[str, list[int]] = {}  # name -> places in ``open``
+        self.sealed_from = 0  # place of the outermost hidden element
         self.hidden = 0
         self.apart = 0
         self.own = 0
         self.named: set[int] = set()
-        self.mains: set[int] = set()
+        # of each element, itself included: the innermost container, article, main and named element, the outermost article
+        self.parent, self.container, self.article, self.main, self.name, self.outer = [0], [0], [0], [0], [0], [0]
         self.text: list[str] = []
         self.tags = 0
-        # text, tags, containers, apart, articles around, elements around that a name tells apart
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, tuple[int, ...], tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, apart
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            around = tuple(n for name, n, _ in self.open if name in BLOCKS and name not in CLOSED_BY_BLOCK and name != "li")
-            own = tuple(n for name, n, _ in self.open if name in OWN) if self.own else ()
-            named = tuple(n for _, n, _ in self.open if n in self.named) if self.named else ()
-            self.lines.append((text, self.tags, around, self.apart > 0, own, named))
+            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0, self.apart > 0))
         self.text, self.tags = [], 0
 
+    def _enter(self, tag: str, apart: bool, named: bool) -> None:
+        above, block = (self.open[-1][1], self.open[-1][3]) if self.open else (0, -1)
+        n, place = len(self.parent), len(self.open)
+        holds = tag in BLOCKS and tag not in CLOSED_BY_BLOCK and tag != "li"
+        self.parent.append(above)
+        self.container.append(n if holds else self.container[above])
+        self.article.append(n if tag in OWN else self.article[above])
+        self.main.append(n if tag == "main" and not self.hidden else self.main[above])
+        self.name.append(n if named else self.name[above])
+        self.outer.append(self.outer[above] or (n if tag in OWN else 0))
+        if named:
+            self.named.add(n)
+        self.open.append((tag, n, apart, place if tag in BLOCKS else block))
+        self.places.setdefault(tag, []).append(place)
+        if tag in HIDDEN and not self.hidden:
+            self.sealed_from = place
+        self.hidden += tag in HIDDEN
+        self.apart += apart
+        self.own += tag in OWN
+
     def _is_apart(self, tag: str, attrs) -> bool:
         if tag in APART or (tag == "header" and not self.own):
             return True
@@ -103,12 +130,16 @@ class _Lines(HTMLParser):
         end = self.rawdata.find(">", i + 3)
         return end + 1 if end >= 0 else len(self.rawdata)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment that never ends goes to the end of the page; so no page is searched anew for each such comment."""
+        rest = self.rawdata.startswith(">", i + 4) and i + 5 or self.rawdata.startswith("->", i + 4) and i + 6
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return rest or (end.end() if end else len(self.rawdata))
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if self.hidden and tag not in HIDDEN and tag != "body":
             if tag not in VOID:
-                self.count += 1
-                self.open.append((tag, self.count, False))
-                self.own += tag in OWN
+                self._enter(tag, False, False)
             return
         if tag in BLOCKS:
             if tag == "body":
@@ -121,46 +152,38 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
-        if tag in VOID:
-            return
-        self.count += 1
-        apart = self._is_apart(tag, attrs)
-        if self._is_named(tag, attrs):
-            self.named.add(self.count)
-        if tag == "main":
-            self.mains.add(self.count)
-        self.open.append((tag, self.count, apart))
-        self.hidden += tag in HIDDEN
-        self.apart += apart
-        self.own += tag in OWN
+        if tag not in VOID:
+            self._enter(tag, self._is_apart(tag, attrs), self._is_named(tag, attrs))
 
     def _imply_end(self, tag: str) -> None:
         """Inline elements left open inside a paragraph or item do not keep the next one from starting anew."""
-        for name, _, _ in reversed(self.open):
-            if name == tag or (tag in ("td", "th") and name in ("td", "th")) or (tag in ("dd", "dt") and name in ("dd", "dt")):
-                self._leave(name)
-                return
-            if name in BLOCKS:
-                return
+        place = self.open[-1][3] if self.open else -1
+        if place < 0:
+            return
+        name = self.open[place][0]
+        if name == tag or (tag in ("td", "th") and name in ("td", "th")) or (tag in ("dd", "dt") and name in ("dd", "dt")):
+            self._leave(name)
+
+    def _place(self, tag: str) -> int:
+        """Where the innermost open element of that name stands, -1 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
 
     def _leave(self, tag: str) -> None:
-        if not any(name == tag for name, _, _ in self.open):
-            return
-        while self.open:
-            name, _, apart = self.open.pop()
+        place = self._place(tag)
+        while 0 <= place < len(self.open):
+            name, _, apart, _ = self.open.pop()
+            self.places[name].pop()
             self.hidden -= name in HIDDEN
             self.apart -= apart
             self.own -= name in OWN
-            if name == tag:
-                return
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
-            first = next(i for i, (name, _, _) in enumerate(self.open) if name in HIDDEN)
-            last = next((name for name, _, _ in reversed(self.open[first:]) if name == tag), None)
-            if last or self.open[first][0] in SEALED:
+            inside = self._place(tag) >= self.sealed_from
+            if inside or self.open[self.sealed_from][0] in SEALED:
                 # neither the end of a hidden element's child nor a stray one reaches what stands around it
-                if last:
+                if inside:
                     if tag in HIDDEN:
                         self.tags += 1
                         if tag in BLOCKS:
@@ -170,11 +193,9 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        else:
+        elif not self.open or self._place(tag) <= self.open[-1][3]:
             # the end of an inline element does not close blocks opened since
-            inner = next((name for name, _, _ in reversed(self.open) if name == tag or name in BLOCKS), None)
-            if inner != tag:
-                return
+            return
         self._leave(tag)
 
     def handle_data(self, data: str) -> None:
@@ -190,73 +211,95 @@ def text_ratios(lines) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), bell / bell.sum(), "valid")
 
 
-def _overruled(lines, mains: set[int], usable: list[bool], dense: np.ndarray) -> set[int]:
+def _overruled(page: _Lines, usable: list[bool], dense: np.ndarray) -> set[int]:
     """Elements whose name would drop the page's content with them.
 
     A named element that holds the page's main element is overruled; while no
     article has lines outside all named elements, the named one with the most
     text of articles inside it; and any one with most of the dense text and nearly
     all of what names leave in doubt, unless an article beside it has lines.
-    Elements inside an overruled one are then judged by the same rule.
+    Elements inside an overruled one are then judged by the same rule: each is
+    judged once, with sums over what is in it that are made beforehand.
     """
+    # of each named element: dense text and article text in it, its last main, and dense text and articles right in it
+    weight: Counter[int] = Counter()
+    holds: Counter[int] = Counter()
+    last: Counter[int] = Counter()
+    right_in: Counter[int] = Counter()
+    beside: defaultdict[int, set[int]] = defaultdict(set)
+    for (text, _, at, _), good, thick in zip(page.lines, usable, dense, strict=True):
+        if not good:
+            continue
+        n, size = page.name[at], len(text) if thick else 0
+        weight[n] += size
+        right_in[n] += size
+        last[n] = max(last[n], page.main[at])
+        if page.article[at]:
+            holds[page.name[page.article[at]]] += len(text)
+            beside[n].add(page.outer[at])
+    inside: defaultdict[int, list[int]] = defaultdict(list)
+    for n in sorted(page.named, reverse=True):
+        above = page.name[page.parent[n]]
+        inside[above].append(n)
+        weight[above] += weight[n]
+        holds[above] += holds[n]
+        last[above] = max(last[above], last[n])
+    total, free, near = weight[0], 0, set()
     over: set[int] = set()
+    with_main, by_text, large = [], [], []
+    new = 0
     while True:
-        total, free, beside = 0, 0, []
-        weight: dict[int, int] = {}
-        holds: dict[int, int] = {}
-        around: dict[int, set[int]] = {}
-        new: set[int] = set()
-        for (text, _, _, _, own, named), good, thick in zip(lines, usable, dense, strict=True):
-            if not good:
-                continue
-            size = len(text) if thick else 0
-            total += size
-            n = next((n for n in named if n not in over), None)
-            if n is None:
-                free += size
-                if own:
-                    beside.append(own)
-                continue
-            weight[n] = weight.get(n, 0) + size
-            around[n] = {o for o in own if o < n}
-            if own and own[-1] > n:
-                holds[n] = holds.get(n, 0) + len(text)
-                if any(o > n and o in mains for o in own):
-                    new.add(n)
-        if not new and holds and not beside:
-            new = {max(holds, key=holds.get)}
-        if not new:
-            most = [n for n, w in weight.items() if 2 * w > total and w > WHOLE * (w + free)]
-            new = {n for n in most if all(around[n].intersection(own) for own in beside)}
+        # what stands right in the element decided last is free of names now, the named ones in it are judged next
+        free += right_in[new]
+        near |= beside[new]
+        for n in inside[new]:
+            if last[n] > n:
+                with_main.append(n)
+            elif holds[n]:
+                heapq.heappush(by_text, (-holds[n], n))
+            if 2 * weight[n] > total:
+                large.append(n)
+        while by_text and by_text[0][1] in over:
+            heapq.heappop(by_text)
+        if with_main:
+            new = with_main.pop()
+        elif by_text and not near:
+            new = heapq.heappop(by_text)[1]
+        else:
+            whole = (n for n in large if n not in over and weight[n] > WHOLE * (weight[n] + free))
+            new = next((n for n in whole if near <= {page.outer[page.parent[n]]} - {0}), 0)
         if not new:
             return over
-        over |= new
+        over.add(new)
 
 
 def main_text(html: str) -> str:
     """The article of a page, blocks joined by newlines; empty where there is none.
 
     Lines whose smoothed text-to-tag ratio lies above the threshold are dense.
-    Content regions are the containers of dense lines, or the page's own article
-    element where dense lines stand in one. Every line of a region, or of an element in one, is
-    kept, short ones too, but for those inside menus, forms, notices, adverts,
-    comments and the like, told by element or role, or by class or id where
-    that does not drop the page's content.
+    Content regions are the containers of dense lines. Every line of a region, or
+    of an element in one, is kept, short ones too, but for those inside menus,
+    forms, notices, adverts, comments and the like, told by element or role, or by
+    class or id where that does not drop the page's content. Where most of the
+    dense text lies in article or main elements, only regions in them count, and
+    lines of elements around these regions, such as headings, are kept as well.
     """
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.cut()
-    lines = parser.lines
-    usable = [bool(text) and not apart for text, _, _, apart, *_ in lines]
+    page = _Lines()
+    # a tag that the end of the page cuts off is no text
+    cut_off = _TAG.search(html, html.rfind(">") + 1)
+    page.feed(html[: cut_off.start()] if cut_off else html)
+    page.close()
+    page.cut()
+    lines = page.lines
+    usable = [bool(text) and not apart for text, _, _, apart in lines]
     if not any(usable):
         return ""
     smooth = text_ratios(lines)
     enough = lambda: smooth >= min(CUT * smooth.std(), max(s for s, u in zip(smooth, usable, strict=True) if u))
     dense = enough()
-    if parser.named:
-        over = _overruled(lines, parser.mains, usable, dense)
-        usable = [u and over.issuperset(line[5]) for u, line in zip(usable, lines, strict=True)]
+    if page.named:
+        over = _overruled(page, usable, dense) | {0}
+        usable = [u and page.name[at] in over for u, (_, _, at, _) in zip(usable, lines, strict=True)]
         if not any(usable):
             return ""
         dense = enough()
@@ -264,12 +307,23 @@ def main_text(html: str) -> str:
     if not chosen:
         return ""
     weight = lambda at: sum(len(lines[i][0]) for i in at)
-    owned = [i for i in chosen if lines[i][4]]
-    if owned and 2 * weight(owned) >= weight(chosen):
-        kept = [i for i, u in enumerate(usable) if u and lines[i][4]]
-    else:
-        regions = {lines[i][2][-1:] for i in chosen}
-        kept = [i for i, u in enumerate(usable) if u and (lines[i][2][-1:] in regions or any((n,) in regions for n in lines[i][2]))]
+    owned = [i for i in chosen if page.article[lines[i][2]]]
+    in_articles = bool(owned) and 2 * weight(owned) >= weight(chosen)
+    regions = {page.container[lines[i][2]] for i in (owned if in_articles else chosen)}
+    kept_in = set(regions)
+    for n in range(1, len(page.parent)):
+        above = page.container[page.parent[n]]
+        if page.container[n] == n and above and above in kept_in:
+            kept_in.add(n)
+    if in_articles:
+        around: set[int] = set()
+        for n in regions:
+            n = page.container[page.parent[n]]
+            while page.article[n] and n not in around:
+                around.add(n)
+                n = page.container[page.parent[n]]
+        kept_in |= around
+    kept = [i for i, u in enumerate(usable) if u and page.container[lines[i][2]] in kept_in and (page.article[lines[i][2]] or not in_articles)]
     return "\n".join(lines[i][0] for i in kept)
 
 

@@ -1,4 +1,7 @@
 import math
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -7,6 +10,7 @@ import pytest
 from helpers import by_id, no_documents, odd_documents
 from pyspark.sql import functions as F
 
+from stagelens.llm import html_text
 from stagelens.llm.common import text_buffer
 from stagelens.llm.digest import LEVELS, STEP, WINDOW, digests, fingerprints, likeness, parsed, rarity_table, window_levels, written
 from stagelens.llm.html_text import main_text, extract_pages
@@ -321,3 +325,70 @@ def test_toxicity_of_odd_rows(spark):
 )
 def test_malformed_declarations_end_no_page(html):
     assert main_text(html).split("\n")[0] == "a"
+
+
+def test_smoothing_equals_its_sum():
+    rng = random.Random(3)
+    for _ in range(50):
+        lines = [("x" * rng.choice([0, 3, 40, 400]), rng.randint(0, 5)) for _ in range(rng.randint(1, 30))]
+        ratio = [len(text) / max(tags, 1) for text, tags in lines]
+        bell = {d: math.exp(-d * d / (2 * html_text.SIGMA**2)) for d in range(-3, 4)}
+        near = [
+            sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for d, w in bell.items()) / sum(bell.values()) for i in range(len(ratio))
+        ]
+        assert np.allclose(html_text.text_ratios(lines), near)
+
+
+def test_regions_by_brute_force():
+    """Sections in an article: all of those with a dense line, none of the others, headings around them."""
+    rng = random.Random(7)
+    for _ in range(60):
+        sections = [[("w " * rng.choice([1, 2, 60, 150])).strip() for _ in range(rng.randint(1, 8))] for _ in range(rng.randint(1, 6))]
+        html = "<article><h1>Top</h1>" + "".join("<section>" + "".join(f"<p>{t}</p>" for t in s) + "</section>" for s in sections) + "</article>"
+        # the article's tag; the heading with its own; then a line for each tag that stands alone and one for each text
+        texts = [(None, "Top")] + [(i, t) for i, s in enumerate(sections) for t in s]
+        events = re.findall(r"<[^>]+>|[^<]+", html)
+        lines, at, tags, text, seen = [], [], 0, "", 0
+        for event in events:
+            if not event.startswith("<"):
+                text = event
+                continue
+            if event.startswith("</"):
+                tags += 1
+            lines.append((text, tags))
+            at.append(texts[seen][0] if text else None)
+            seen += bool(text)
+            text, tags = "", 0 if event.startswith("</") else 1
+        rows = [(line, place) for line, place in zip(lines, at, strict=True) if line[0] or line[1]]
+        smooth = html_text.text_ratios([line for line, _ in rows])
+        best = max(s for s, (line, _) in zip(smooth, rows, strict=True) if line[0])
+        dense = [bool(line[0]) and s >= min(html_text.CUT * smooth.std(), best) for s, (line, _) in zip(smooth, rows, strict=True)]
+        inside = {place for (_, place), d in zip(rows, dense, strict=True) if d}
+        # a dense heading makes the whole article a region
+        kept = [line[0] for line, place in rows if line[0] and (None in inside or place is None or place in inside)]
+        assert html_text.main_text(html) == "\n".join(kept)
+
+
+def test_undense_parts_of_an_article_go():
+    links = "<div>" + "<p><a>a</a> <a>b</a></p>" * 12 + "</div>"
+    text = "<div><p>" + "long words " * 40 + "</p></div>"
+    found = html_text.main_text(f"<main>{text}{text}{links}</main>")
+    assert found.split("\n") == [("long words " * 40).strip()] * 2
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><![foo[x]]>", "a"), ("<p>a</p><![", "a"), ("<p>a</p><!", "a"), ("<p>a</p><b", "a"), ("<p>a</p></b", "a"),
+        ("<p>a</p><!-- b", "a"), ("<p>a</p><!--><p>b</p>", "a\nb"), ("<p>a</p><!-- x --!><p>b</p>", "a\nb"), ("<p>a &lt; b</p>", "a < b"),
+    ],
+)
+def test_pages_cut_off(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ['<div class="comment">x ', "<div>x ", "<b><li>x</li>", "<!--", "<a ", "<span></i>", "</x ", "<noscript><div></p>"])
+def test_time_is_linear_in_the_page(piece):
+    started = time.monotonic()
+    html_text.main_text("<p>text</p>" + piece * 50_000)
+    assert time.monotonic() - started < 20
