@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +16,10 @@ from .common import pieces_array, text_buffer, text_or_empty, text_slices
 
 SPACE = "▁"
 NEVER = np.int64(1) << 62
-#: A pre-token with more symbols than this is merged on its own, from a queue.
-LONG = 512
+#: The lowest rank of a sequence is the least of those of its runs of so many symbols; a merge looks only at the runs it changes.
+RUN = 512
+#: Pre-tokens are merged in groups of so many code points, or of one that has more.
+GROUP = 1 << 19
 #: Distinct pre-tokens a worker remembers before it starts its memory anew.
 REMEMBERED = 400_000
 
@@ -32,6 +33,7 @@ class PieceTable:
     pairs: np.ndarray  # sorted left * n + right
     merged: np.ndarray
     rank: np.ndarray
+    neighbours: np.ndarray  # sorted left * n + right of characters that stand side by side in some piece
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs, rank ``NEVER`` where they don't merge. Symbols below 0 merge with nothing."""
@@ -72,6 +74,7 @@ def piece_table(model: str) -> PieceTable:
     return PieceTable(
         symbol_of, weight, keys, np.array([pairs[k][0] for k in keys.tolist()], np.int64),
         np.array([pairs[k][1] for k in keys.tolist()], np.int64),
+        np.array(sorted({symbols[a] * len(symbols) + symbols[b] for name in names for a, b in zip(name, name[1:], strict=False)}), np.int64),
     )
 
 
@@ -83,14 +86,22 @@ def merged_counts(codes: np.ndarray, starts: np.ndarray, table: PieceTable) -> n
     """Tokens of each sequence; ``codes`` are the code points of all of them, ``starts`` ends with their number.
 
     All sequences advance together. A round finds each sequence's leftmost pair
-    of lowest rank with one reduction over the ragged array, merges it, and
-    looks up the two pairs this makes. Sequences without a pair to merge leave.
+    of lowest rank with two reductions over ragged arrays, one over the runs of
+    symbols that the last round changed and one over the runs of each sequence,
+    merges it, and looks up the two pairs this makes. Sequences without a pair
+    to merge leave. Characters that no piece has side by side part a sequence
+    beforehand; what is left whole takes a round for each of its merges.
     """
     symbol = table.symbol_of[codes]
     weight = np.where(symbol >= 0, table.weight[np.maximum(symbol, 0)], _byte_length(codes))
     n = len(codes)
     if not n:
         return np.zeros(len(starts) - 1, np.int64)
+    # no merge crosses two characters that no piece has side by side: what they part are sequences of their own
+    side = symbol[:-1] * np.int64(len(table.weight)) + symbol[1:]
+    near = np.minimum(np.searchsorted(table.neighbours, side), len(table.neighbours) - 1)
+    parted = (table.neighbours[near] != side) | (symbol[:-1] < 0) | (symbol[1:] < 0)
+    counted, starts = starts, np.union1d(starts, np.flatnonzero(parted) + 1)
     last = np.zeros(n, bool)
     last[starts[1:] - 1] = True
     first = np.zeros(n, bool)
@@ -103,12 +114,21 @@ def merged_counts(codes: np.ndarray, starts: np.ndarray, table: PieceTable) -> n
     slot = np.arange(n)
     size = np.int64(n)
     key = np.where(rank < NEVER, rank * size + slot, NEVER)
-    begin, end = starts[:-1], starts[1:]
-    while len(begin):
-        bounds = np.stack([begin, end], 1).ravel()
-        best = np.minimum.reduceat(np.append(key, NEVER), bounds)[::2]
+    lengths = np.diff(starts)
+    runs = -(-lengths // RUN)
+    first_run = np.concatenate([[0], np.cumsum(runs)])
+    place = np.arange(first_run[-1]) - np.repeat(first_run[:-1], runs)
+    run_begin = np.repeat(starts[:-1], runs) + place * RUN
+    run_bounds = np.stack([run_begin, np.append(run_begin[1:], n)], 1)
+    # the last one stands for what comes after the end of the arrays
+    key, lowest = np.append(key, NEVER), np.full(len(place) + 1, NEVER)
+    lowest[:-1] = np.minimum.reduceat(key, run_bounds.ravel())[::2]
+    bounds, changed = np.stack([first_run[:-1], first_run[1:]], 1), np.zeros(len(place), bool)
+    open_run = first_run[:-1]
+    while True:
+        best = np.minimum.reduceat(lowest, bounds.ravel())[::2]
         open_ = best < NEVER
-        begin, end, at = begin[open_], end[open_], best[open_] % size
+        bounds, open_run, at = bounds[open_], open_run[open_], best[open_] % size
         if not len(at):
             break
         gone = following[at]
@@ -125,51 +145,13 @@ def merged_counts(codes: np.ndarray, starts: np.ndarray, table: PieceTable) -> n
             key[left] = np.where(rank < NEVER, rank * size + left, NEVER)
             if there is has:
                 key[lone] = NEVER
-    return np.add.reduceat(weight, starts[:-1])
-
-
-def queue_count(codes: np.ndarray, table: PieceTable) -> int:
-    """Tokens of one long sequence, merged from a priority queue in the same order."""
-    symbol = table.symbol_of[codes].tolist()
-    weight = np.where(np.array(symbol) >= 0, table.weight[np.maximum(symbol, 0)], _byte_length(codes)).tolist()
-    n = len(symbol)
-    merges = _merge_dict(table)
-    following, before, size = [*range(1, n), -1], [*range(-1, n - 1)], len(table.weight)
-
-    def found(i: int):
-        j = following[i]
-        hit = merges.get(symbol[i] * size + symbol[j]) if j >= 0 and symbol[i] >= 0 and symbol[j] >= 0 else None
-        return (hit[1], i, symbol[i], symbol[j], hit[0]) if hit else None
-
-    queue = [x for x in map(found, range(n)) if x]
-    heapq.heapify(queue)
-    while queue:
-        _, i, left, right, new = heapq.heappop(queue)
-        j = following[i]
-        if j < 0 or symbol[i] != left or symbol[j] != right or not weight[i]:
-            continue
-        symbol[i], weight[i], weight[j], symbol[j] = new, int(table.weight[new]), 0, -1
-        following[i] = following[j]
-        if following[j] >= 0:
-            before[following[j]] = i
-        for k in (i, before[i]):
-            if k >= 0 and (x := found(k)):
-                heapq.heappush(queue, x)
-    return sum(weight)
-
-
-@functools.lru_cache(2)
-def _merge_dict_of(table_id: int):
-    table = _TABLES[table_id]
-    return {k: (m, r) for k, m, r in zip(table.pairs.tolist(), table.merged.tolist(), table.rank.tolist(), strict=True)}
-
-
-_TABLES: dict[int, PieceTable] = {}
-
-
-def _merge_dict(table: PieceTable) -> dict[int, tuple[int, int]]:
-    _TABLES[id(table)] = table
-    return _merge_dict_of(id(table))
+        # the pairs before, at and after the merge have changed
+        for slots in (at, gone, np.where(before[at] >= 0, before[at], at)):
+            changed[open_run + (slots - run_begin[open_run]) // RUN] = True
+        redo = np.flatnonzero(changed)
+        changed[redo] = False
+        lowest[redo] = np.minimum.reduceat(key, run_bounds[redo].ravel())[::2]
+    return np.add.reduceat(weight, counted[:-1])
 
 
 def _counts_of(words: pa.Array, table: PieceTable, known: dict[str, int]) -> np.ndarray:
@@ -178,14 +160,13 @@ def _counts_of(words: pa.Array, table: PieceTable, known: dict[str, int]) -> np.
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = names
-    short = [w for w in new if len(w) <= LONG]
-    if short:
-        codes = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32)
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, short), np.int64, len(short)))])
-        known.update(zip(short, merged_counts(codes, starts, table).tolist(), strict=True))
-    for word in new:
-        if len(word) > LONG:
-            known[word] = queue_count(np.frombuffer(word.encode("utf-32-le"), np.uint32), table)
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))])
+    start = 0
+    while start < len(new):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + GROUP, "right")) - 1)
+        codes = np.frombuffer("".join(new[start:stop]).encode("utf-32-le"), np.uint32)
+        known.update(zip(new[start:stop], merged_counts(codes, ends[start : stop + 1] - ends[start], table).tolist(), strict=True))
+        start = stop
     return np.fromiter(map(known.__getitem__, names), np.int64, len(names))
 
 

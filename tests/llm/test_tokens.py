@@ -12,7 +12,7 @@ from stagelens.llm.bpe_words import encode_and_decode
 from stagelens.llm.byte_bpe import cut_words, encoded_texts, tokenizer
 from stagelens.llm.common import text_buffer
 from stagelens.llm.queries import QUERIES
-from stagelens.llm.token_count import count_tokens, merged_counts, piece_table, queue_count
+from stagelens.llm.token_count import count_tokens, RUN, merged_counts, piece_table
 from stagelens.llm.token_shards import _block, compress, expand, read_range, read_token_shards, write_token_shards
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,12 +56,15 @@ def test_cut_covers_the_text():
 
 def test_merging_equals_the_library(pieces):
     table = piece_table(PIECE)
-    words = ["▁" + w for w in ("abab" * 30, "the", "x", "日本語", "a" * 300, "nationalisation", "zzzz")]
+    rng = random.Random(1)
+    any_length = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (RUN - 2, RUN - 1, RUN, RUN + 1, 2 * RUN - 1, 2 * RUN, 9 * RUN + 7)]
+    mixed = "".join(rng.choices(["tion", "nation", "al", "日本", "é", "qq", "\U0001f600"], k=2000))
+    words = ["▁" + w for w in ("abab" * 30, "the", "x", "日本語", "a" * 300, "nationalisation", "zzzz", "a" * 5000, *any_length, mixed)]
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     want = [len(pieces.encode(w[1:])) for w in words]
     assert merged_counts(codes, starts, table).tolist() == want
-    assert [queue_count(codes[a:b], table) for a, b in zip(starts, starts[1:], strict=False)] == want
+    assert [merged_counts(codes[a:b], np.array([0, b - a]), table)[0] for a, b in zip(starts, starts[1:], strict=False)] == want
 
 
 def test_counts_of_documents(spark, sf, pieces):
