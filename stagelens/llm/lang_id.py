@@ -21,8 +21,8 @@ SAMPLE_CHARS = 2000
 FULL_LANGUAGES = 64
 FEWEST_CHARS = 1024
 CHUNK = 1024
-#: Texts up to this many bytes are compressed in a finer way.
-SHORT = 600
+#: The documents of a language meet in so many tasks, before the sample of each of these meets in one.
+SPREAD = 64
 SHARPNESS = 30.0
 #: The second language must cost this part more than the best; of held-out labelled documents nearly all have such a
 #: margin, and hardly any have it among the other languages (figures in the README).
@@ -60,25 +60,27 @@ def letters_only(raw: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
 def _compressors(dictionaries: tuple[bytes, ...]):
     import zstandard as zstd
 
-    def one(content: bytes, shortest: int):
+    def one(content: bytes):
         setting = zstd.ZstdCompressionParameters.from_level(
-            5, source_size=CHUNK, dict_size=len(content), min_match=shortest,
+            5, source_size=CHUNK, dict_size=len(content), min_match=4,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         known = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         known.precompute_compress(compression_params=setting)
         return zstd.ZstdCompressor(compression_params=setting, dict_data=known).compress
 
-    return [(one(content, 4), one(content, 3)) for content in dictionaries]
+    return [one(content) for content in dictionaries]
 
 
 def _costs(text: memoryview, compressors) -> list[int]:
-    if len(text) <= SHORT:
-        # repeated, as a frame that saves too few bytes would hold the text itself
-        again = (text.tobytes() + b" ") * 4
-        return [len(usual(again)) + len(fine(again)) for usual, fine in compressors]
-    parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-    return [sum(len(usual(p)) for p in parts) for usual, _ in compressors]
+    """Bytes of the text in chunks under each compressor; a chunk that is not full is repeated until it is.
+
+    A frame that saves too few bytes would hold the chunk itself, whatever the dictionary.
+    """
+    whole = text.tobytes()
+    parts = [whole[i : i + CHUNK] for i in range(0, len(whole), CHUNK)]
+    parts[-1] = ((parts[-1] + b" ") * (CHUNK // (len(parts[-1]) + 1) + 1))[:CHUNK]
+    return [sum(len(compress(part)) for part in parts) for compress in compressors]
 
 
 def _predict(model, column: str = "text"):
@@ -134,8 +136,11 @@ def fit_languages(
     if len(names) > most:
         raise ValueError(f"more than {most} languages")
     share = sample * chars * full // max(len(names), full)
-    order = Window.partitionBy("lang").orderBy("key")
-    chosen = keys.distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample)
+    # the smallest hashes of each part of a language first, so that no task gets all of a frequent language
+    chosen = keys.distinct()
+    for cell in (["lang", F.pmod(F.col("key"), F.lit(SPREAD))], ["lang"]):
+        order = Window.partitionBy(*cell).orderBy("key")
+        chosen = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).drop("_n")
     each = F.floor(F.lit(share) / F.count("key").over(Window.partitionBy("lang")))
     chosen = chosen.withColumn("_chars", F.least(F.lit(chars), F.greatest(F.lit(1), each)).cast("int"))
     texts = rows.withColumns({"_lang": F.col(lang), "_key": F.xxhash64(doc_id, text)}).select(
@@ -161,8 +166,8 @@ def identify_languages(docs: DataFrame, model, text: str = "text", keep: tuple[s
     """``keep`` columns with lang_pred, score and margin, one row per row of ``docs``.
 
     Each whole text, in lower case and without anything but letters, is
-    compressed in chunks with every language's dictionary; the smallest total
-    names the language, ties go to the language more frequent in training. The
+    compressed in chunks with every language's dictionary, the last one repeated
+    until it is as long as the others; the smallest total names the language, ties go to the language more frequent in training. The
     score is that language's share when a language weighs its total to the
     power ``-SHARPNESS``: near 1 with a clear margin, one over the number of
     languages without. The margin is the part by which the second smallest total
@@ -179,14 +184,24 @@ def identify_languages(docs: DataFrame, model, text: str = "text", keep: tuple[s
 
 
 def predicted_languages(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned outside fold 0 only. Rows with a null id are held out."""
+    """doc_id, held_out, lang_pred, score; learned outside fold 0 only. Rows with a null id are held out.
+
+    One row per row of ``docs``, repeated ones too; equal texts get equal
+    predictions. No rows give no rows; without a learned language all are ``und``.
+    Other columns are ignored.
+    """
     model = fit_languages(docs.filter(fold(F.col("doc_id"), folds) != 0))
     found = identify_languages(docs, model)
     return found.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def documents_in_a_language(docs: DataFrame, least: float = LEAST_MARGIN, folds: int = 5, text: str = "text") -> DataFrame:
-    """``docs`` without the documents in no language: no letters, or a margin below ``least``, too narrow to tell."""
+    """``docs`` without the documents in no language: no letters, or a margin below ``least``, too narrow to tell.
+
+    A null or empty text goes, equal texts share their fate, repeated rows stay
+    repeated, all columns stay as they are whatever their names. No rows give no
+    rows, and so does a corpus in which no document outside fold 0 has a language.
+    """
     model = fit_languages(docs.filter(fold(F.col("doc_id"), folds) != 0), text)
     whole = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)])
     found = identify_languages(whole, model, f"_{docs.columns.index(text)}", tuple(whole.columns))

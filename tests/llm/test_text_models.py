@@ -14,7 +14,7 @@ from stagelens.llm import html_text
 from stagelens.llm.common import text_buffer
 from stagelens.llm.digest import LEVELS, STEP, WINDOW, digests, fingerprints, likeness, parsed, rarity_table, window_levels, written
 from stagelens.llm.html_text import main_text, extract_pages
-from stagelens.llm.lang_id import documents_in_a_language, fit_languages, identify_languages, letters_only, predicted_languages
+from stagelens.llm.lang_id import CHUNK, _costs, documents_in_a_language, fit_languages, identify_languages, letters_only, predicted_languages
 from stagelens.llm.queries import QUERIES
 from stagelens.llm.toxicity import DECAY, SPAN, clean_documents, decision, fit_toxicity, kernel_features, score_toxicity, toxicity_scores, words_of
 
@@ -392,3 +392,41 @@ def test_time_is_linear_in_the_page(piece):
     started = time.monotonic()
     html_text.main_text("<p>text</p>" + piece * 50_000)
     assert time.monotonic() - started < 20
+
+
+def test_sample_of_a_language_is_its_smallest_hashes(spark):
+    """However many documents a language has: the same ones, all of them where there are fewer than the sample."""
+    words = ["alpha", "beta", "gamma", "delta", "rho"]
+    rows = [(i, f"{words[i % 5]} {words[i // 5 % 5]} {'x' * (i % 97 + 1)} {chr(97 + i % 26) * 3}", "aa" if i % 50 else "bb") for i in range(3000)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string").repartition(5)
+    names, contents = fit_languages(docs, sample=64)
+    keyed = docs.distinct().select("lang", "text", F.xxhash64("doc_id", "text").alias("key")).collect()
+    for name, content in zip(names, contents, strict=True):
+        texts = [r["text"] for r in sorted((r for r in keyed if r["lang"] == name), key=lambda r: r["key"])[:64]]
+        joined = " ".join(texts).encode()
+        assert content == letters_only(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]))[0]
+    assert set(names) == {"aa", "bb"}
+
+
+def test_costs_follow_one_rule_at_any_size():
+    """All chunks are equally long, the last one by repeating itself; no size is a border."""
+    text = b"".join(b"%d word " % (i * 7919) for i in range(500))
+    seen = []
+    for n in (1, 7, 599, 600, 601, CHUNK - 2, CHUNK - 1, CHUNK, CHUNK + 1, 3 * CHUNK):
+        seen.clear()
+        _costs(memoryview(text[:n]), [lambda part: seen.append(part) or part])
+        assert {len(part) for part in seen} == {CHUNK} and len(seen) == -(-n // CHUNK)
+        assert b"".join(seen)[:n] == text[:n]
+        last = text[:n][(len(seen) - 1) * CHUNK :] + b" "
+        assert seen[-1] == (last * CHUNK)[:CHUNK]
+
+
+def test_predictions_of_empty_tables_and_ties(spark):
+    none = no_documents(spark)
+    assert predicted_languages(none).collect() == []
+    assert documents_in_a_language(none).collect() == []
+    rows = [(i, "the same words in both languages", lang) for i, lang in enumerate(["aa", "bb"] * 20)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = predicted_languages(docs).collect()
+    assert len(found) == 80 and len({(r["lang_pred"], r["score"]) for r in found}) == 1
+    assert documents_in_a_language(docs).collect() == []
