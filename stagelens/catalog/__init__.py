@@ -15,10 +15,10 @@ class Query:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import diagnosis, star, streams, telemetry
+    from . import diagnosis, nodes, star, streams, telemetry
 
     out: dict[str, Query] = {}
-    for module in (star, telemetry, diagnosis, streams):
+    for module in (star, telemetry, nodes, diagnosis, streams):
         for name, query in module.QUERIES.items():
             if name in out:
                 raise ValueError(f"query {name} is registered twice")

@@ -42,7 +42,7 @@ def _top_stages(by: str) -> Query:
 for _by in mp.BOTTLENECK_BY:
     QUERIES[f"diag_top_stages_{_by}"] = _top_stages(_by)
 
-_STAGE_PLANS = (
+STAGE_PLANS = (
     "select s.*, j.job_id, j.sql_id, coalesce(p.plan_text, '') as plan_text, " + views.ran_plan_sql("coalesce(p.raw_plan, '')") + " as ran_plan from fact_stages s left join "
     "(select app_id, stage_id, min(job_id) as job_id, arg_min(coalesce(sql_id, -1), job_id) as sql_id from "
     "(select app_id, job_id, sql_id, cast(unnest(string_split(stage_ids, ',')) as int) as stage_id from map_jobs) "
@@ -77,7 +77,7 @@ QUERIES["diag_stage_to_plan"] = Query(
         "select app_id, stage_id, attempt_id, job_id, sql_id, plan_text, "
         + ", ".join(f"{_has(node)} as {flag}" for flag, node in pt.NODES.items())
         + f", {_WINDOW} as has_unpartitioned_window from stage_plans",
-        stage_plans=_STAGE_PLANS,
+        stage_plans=STAGE_PLANS,
     ),
 )
 
@@ -174,7 +174,7 @@ _RULES: dict[str, tuple[Callable, str, str]] = {
 }
 
 _EXTRA = {
-    "stage_plans": _STAGE_PLANS,
+    "stage_plans": STAGE_PLANS,
     "peaks": "select app_id, executor_id, metric_name, max(value_kb_or_ms) as peak, "
     "cast(sum(cast(value_kb_or_ms as decimal(24,2))) as double) / count(*) as mean, "
     "round_even(max({'t': timestamp, 'v': value_kb_or_ms}).v - min({'t': timestamp, 'v': value_kb_or_ms}).v, 2) "

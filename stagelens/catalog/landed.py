@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions import series as se
+from ..plans import nodes, rules
 from ..plans import telemetry as tel
 from ..session import scratch_path
 from ..sources import event_log as el
@@ -26,8 +27,8 @@ def _gmt(ms: Column) -> Column:
     return F.date_format(sc.epoch_ms_to_ts(ms), _GMT)
 
 
-def write_landing(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None = None) -> str:
-    """Landing folder in the lines layout; returns its path."""
+def write_landing(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None = None, layout: str = "lines") -> str:
+    """Landing folder; returns its path. In the ``response`` layout only of kinds that are answered once an application."""
     t = views.written_tasks(spark, sf)
     spans = views.app_spans(t)
     jobs = views.jobs(t)
@@ -49,19 +50,6 @@ def write_landing(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None =
         F.lit(True).alias("completed"),
         (F.col("end_ms") - F.col("start_ms")).alias("duration"),
     )
-    sample = F.array(
-        sc.ts_to_epoch(F.col("ts")).cast("string"),
-        F.col("raw_value").cast("string"),
-    )
-    series = F.concat(se.series_prefix(F.col("app_id")), "executor_id", F.lit("_"), "metric_name")
-    matrix = F.struct(
-        F.array(
-            F.struct(
-                F.create_map(F.lit("__name__"), series).alias("metric"),
-                F.array(sample).alias("values"),
-            )
-        ).alias("result")
-    )
     sql_jobs = jobs.filter(F.col("sql_id").isNotNull()).groupBy("app_id", "sql_id").agg(
         F.collect_set("job_id").alias("successJobIds")
     )
@@ -102,15 +90,50 @@ def write_landing(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None =
                 F.col("executor_id") == "3", F.create_map(F.lit("exitReason"), F.lit("lost"))
             ).alias("executorLogs"),
         ),
-        "metrics": views.samples(spark, sf).select("app_id", matrix.alias("data")),
+        "metrics": matrices(spark, sf, layout),
     }
     path = scratch_path(spark, "landing")
     for kind, df in kinds_of.items():
-        if kinds is None or kind in kinds:
+        if kinds is not None and kind not in kinds:
+            continue
+        if layout == "lines":
             df.write.json(f"{path}/{kind}")
+        else:
+            _write_responses(df, f"{path}/{kind}", kind)
     return path
 
 
+def matrices(spark: SparkSession, sf: str, layout: str = "lines") -> DataFrame:
+    """Metric matrices: many series in a document, many samples in a series.
+
+    One document for each application and hour it was asked for, or in the
+    ``response`` layout, which has one file for each answer, for each application.
+    """
+    sample = F.struct(sc.ts_to_epoch(F.col("ts")).alias("at"), F.col("raw_value").alias("value"))
+    asked = F.date_trunc("hour", "ts") if layout == "lines" else F.lit(None).cast("timestamp_ntz")
+    name = F.concat(se.series_prefix(F.col("app_id")), "executor_id", F.lit("_"), "metric_name")
+    series = (
+        views.samples(spark, sf)
+        .groupBy("app_id", asked.alias("asked"), name.alias("series"))
+        .agg(F.array_sort(F.collect_list(sample)).alias("samples"))
+    )
+    values = F.transform("samples", lambda s: F.array(s["at"].cast("string"), s["value"].cast("string")))
+    one = F.struct(F.create_map(F.lit("__name__"), F.col("series")).alias("metric"), values.alias("values"))
+    return series.groupBy("app_id", "asked").agg(F.struct(F.collect_list(one).alias("result")).alias("data")).drop("asked")
+
+
+def _write_responses(df: DataFrame, path: str, kind: str) -> None:
+    """One file for each answer: a page of the list of applications, the list of an application's records, its matrix."""
+    by = "app_id"
+    if kind == "apps":
+        by, df = "page", df.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(16)))
+    if kind != "metrics":
+        record = F.struct(*[c for c in df.columns if c != by])
+        df = df.groupBy(by).agg(F.collect_list(record).alias("data"))
+    answer = F.struct("data") if kind == "metrics" else F.col("data")
+    df.select(by, F.to_json(answer).alias("value")).repartition(by).write.partitionBy(by).text(path)
+
+
 def _line(event: str, **fields: Column) -> Column:
     """One event as JSON; the event name leads, as in real logs."""
     named = [F.lit(event).alias("Event")]
@@ -125,6 +148,25 @@ def _s(**fields: Column) -> Column:
 _SQL = "org.apache.spark.sql.execution.ui."
 
 
+def _counter(k: int, value: Column) -> Column:
+    """What a stage says of counter ``k`` of the query it ran for; two stages in a row ran for the same one."""
+    sql_id = F.floor(F.col("stage_id") / F.lit(2)).cast("bigint") % 8 + 1
+    return _s(ID=sql_id * 100 + k, Value=value.cast("string"), Metadata=F.lit("sql"))
+
+
+def _plan_tree(sql_id: Column, node: Column) -> Column:
+    """Plan as a tree: a scan writes an exchange, which the node of the query reads."""
+
+    def named(name: Column, children: Column, **metrics: str) -> Column:
+        counted = [_s(name=F.lit(label), accumulatorId=sql_id * 100 + int(k[1:])) for k, label in metrics.items()]
+        return _s(nodeName=name, children=children, metrics=F.array(*counted))
+
+    scan = named(F.lit("Scan parquet"), F.array(), n4=nodes.ROWS_METRIC)
+    exchange = named(F.lit("Exchange"), F.array(scan), n3="shuffle bytes written")
+    work = named(node, F.array(exchange), n1=nodes.ROWS_METRIC, n2=nodes.SPILL_METRIC)
+    return named(F.lit("WholeStageCodegen (1)"), F.array(work), n0="duration")
+
+
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``app_id, value``: one line (or a few lines kept together) of an event log."""
     t = views.written_tasks(spark, sf)
@@ -167,6 +209,7 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.min("launch_ms").alias("s"),
         F.max("finish_ms").alias("e"),
         F.count(F.lit(1)).cast("int").alias("n"),
+        F.sum("disk_spill_bytes").alias("spilled"),
     )
     stage = _s(
         Stage__ID=F.col("stage_id"),
@@ -174,6 +217,9 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         Number__of__Tasks=F.col("n"),
         Submission__Time=F.col("s"),
         Completion__Time=F.col("e"),
+        Accumulables=F.when(F.col("stage_id") % 2 == 1, F.array(_counter(1, F.col("n")), _counter(2, F.col("spilled")))).otherwise(
+            F.array(_counter(4, F.col("n")))
+        ),
     )
     app_id = F.col("app_id")
     job_failed = (F.split_part(app_id, F.lit("-"), F.lit(2)).cast("bigint") % 5 == 0) & (F.col("job_id") == 3)
@@ -208,6 +254,7 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
             _SQL + "SparkListenerSQLAdaptiveExecutionUpdate",
             executionId=F.col("sql_id"),
             physicalPlanDescription=F.col("raw_plan"),
+            sparkPlanInfo=_plan_tree(F.col("sql_id"), F.regexp_extract("raw_plan", r"\n   \+- (\w+)", 1)),
         ),
         _line(
             _SQL + "SparkListenerSQLExecutionEnd",
@@ -270,7 +317,22 @@ def write_event_log(spark: SparkSession, sf: str) -> str:
 
 
 def event_log_tables(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return tel.build_from_event_log(spark, write_event_log(spark, sf))[table]
+    return tel.build_from_event_log(spark, write_event_log(spark, sf), with_nodes=table in tel.LOG_TABLES)[table]
+
+
+def node_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of each plan node of all logged queries."""
+    events = el.stage_event_log(spark, write_event_log(spark, sf))
+    return nodes.node_metrics(nodes.plan_nodes(events), nodes.stage_counters(events))
+
+
+def node_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings at the stages that ran the node at fault, and the nodes that spilled."""
+    loaded = tel.build_from_event_log(spark, write_event_log(spark, sf), with_nodes=True)
+    found = rules.stage_findings(rules.plans_of_stages(loaded), only=["spilling_sort_merge_join", "healthy_broadcast_join"])
+    both = found.unionByName(rules.spill_ranking(loaded))
+    names = F.coalesce(F.try_element_at("evidence", F.lit("spilling_nodes")), F.lit(""))
+    return both.select("app_id", "rule_id", "stage_id", names.alias("spilling_nodes"))
 
 
 def event_kinds(spark: SparkSession, sf: str) -> DataFrame:

@@ -340,6 +340,20 @@ _LANDED["fact_hardware_metrics"] = (
 for _name, _sql in _LANDED.items():
     QUERIES[f"landed_{_name}"] = Query(_landed(_name), with_views(_sql))
 
+
+
+def _answered(table: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = landed.write_landing(spark, sf, _NEEDS[table], "response")
+        return tel.build_telemetry(spark, path)[table]
+
+    return run
+
+
+# the tables whose answers come once an application
+for _name in ("dim_applications", "fact_executors", "fact_hardware_metrics"):
+    QUERIES[f"answers_{_name}"] = Query(_answered(_name), with_views(_LANDED[_name]))
+
 _LOGGED = dict(_ALL)
 _LOGGED["dim_applications"] = (
     "select * replace (case when cast(split_part(app_id, '-', 2) as bigint) % 5 = 0 and app_id in "

@@ -310,7 +310,7 @@ def median_sql(group: str, value: str, source: str) -> str:
     )
 
 
-_PLAN_ROWS = ", ".join(f"({i}, '{n}')" for i, n in PLAN_NODES.items())
+PLAN_ROWS = ", ".join(f"({i}, '{n}')" for i, n in PLAN_NODES.items())
 _BY = "app_id, stage_id, attempt_id"
 
 CTES = {
@@ -342,7 +342,7 @@ CTES = {
     "dim_sql_plans": "select app_id, i as sql_id, 'query ' || i as description, "
     + clean_plan_sql(RAW_PLAN_SQL.format(i="i", node="node"))
     + " as plan_text, " + RAW_PLAN_SQL.format(i="i", node="node") + " as raw_plan, cast(i * 1000 as bigint) as duration_ms "
-    f"from v_apps, (values {_PLAN_ROWS}) p(i, node)",
+    f"from v_apps, (values {PLAN_ROWS}) p(i, node)",
     "fact_hardware_metrics": f"select app_id, ts as timestamp, executor_id, metric_name, {METRIC_VALUE_SQL} "
     "as value_kb_or_ms from v_samples",
     "map_jobs": "select app_id, cast(job_id as int) as job_id, "

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import plan_text as pt
 from .mapping import MEMORY_METRIC, flags_of_plans, memory_headroom, rank_stages, stage_metrics, stage_to_plan, top_stages
 from .telemetry import metric_peaks
 
@@ -80,8 +82,35 @@ def app_overview(t: Tables) -> DataFrame:
 # --- rules that look at one stage and its plan ----------------------------------
 
 
+def with_nodes(stages: DataFrame, t: Tables) -> DataFrame:
+    """Stages with the names of the plan nodes that ran in them: ``nodes``, and ``spilling_nodes``, those that spilled.
+
+    Null where they are not known: applications not loaded from event logs, or
+    stages outside SQL.
+    """
+    if {"nodes", "spilling_nodes"} <= set(stages.columns):
+        return stages
+    if "fact_stage_nodes" not in t:
+        unknown = F.lit(None).cast("array<string>")
+        return stages.withColumns({"nodes": unknown, "spilling_nodes": unknown})
+    by = ["app_id", "stage_id", "attempt_id"]
+    # as many names a stage as there are kinds of nodes
+    names = t["fact_stage_nodes"].groupBy(*by).agg(
+        F.collect_set("node_name").alias("nodes"),
+        F.collect_set(F.when(F.col("spill_kb") > 0, F.col("node_name"))).alias("spilling_nodes"),
+    )
+    return stages.join(names, by, "left")
+
+
 def plans_of_stages(t: Tables) -> DataFrame:
-    return stage_to_plan(t["fact_stages"], t["map_jobs"], t["dim_sql_plans"])
+    return with_nodes(stage_to_plan(t["fact_stages"], t["map_jobs"], t["dim_sql_plans"]), t)
+
+
+def _ran_here(*flags: str) -> Column:
+    """Did one of these nodes run in the stage? Where the nodes of a stage are not known, somewhere in its query."""
+    names = F.array(*[F.lit(pt.NODES[flag]) for flag in flags])
+    in_query = reduce(Column.__or__, [F.col(flag) for flag in flags])
+    return F.coalesce(F.arrays_overlap("nodes", names), in_query)
 
 
 def _stage_rules(th: Thresholds) -> dict[str, tuple[Column, Column, Column]]:
@@ -100,12 +129,12 @@ def _stage_rules(th: Thresholds) -> dict[str, tuple[Column, Column, Column]]:
             ),
         ),
         "spilling_sort_merge_join": (
-            F.col("has_sort_merge_join") & (F.col("disk_spill_kb") > 0),
+            _ran_here("has_sort_merge_join") & (F.col("disk_spill_kb") > 0),
             F.lit("high"),
             _evidence(attempt_id=attempt, disk_spill_kb=_kb("disk_spill_kb")),
         ),
         "healthy_broadcast_join": (
-            F.col("has_broadcast_hash_join")
+            _ran_here("has_broadcast_hash_join")
             & (F.col("input_bytes_kb") > 0)
             & (F.col("shuffle_write_kb") < F.col("input_bytes_kb") * th.shuffle_share),
             F.lit("info"),
@@ -116,7 +145,7 @@ def _stage_rules(th: Thresholds) -> dict[str, tuple[Column, Column, Column]]:
             ),
         ),
         "unpartitioned_window": (
-            F.col("has_unpartitioned_window") & (F.col("num_tasks") == 1),
+            F.col("has_unpartitioned_window") & _ran_here("has_window") & (F.col("num_tasks") == 1),
             F.lit("high"),
             _evidence(
                 attempt_id=attempt, executor_run_time_ms=_text(F.col("executor_run_time_ms"))
@@ -164,10 +193,11 @@ def unpartitioned_window(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
 def nested_loop_join(
     t: Tables, th: Thresholds = DEFAULT, stage_plans: DataFrame | None = None
 ) -> DataFrame:
-    """Queries that pair all rows and shuffle: reported at their heaviest stage."""
+    """Queries that pair all rows and shuffle: reported at their heaviest stage, of those that pair where they are known."""
     stage_plans = plans_of_stages(t) if stage_plans is None else stage_plans
     looped = stage_plans.filter(F.col("has_cartesian") | F.col("has_nested_loop_join"))
-    worst = F.max(F.struct(F.col("shuffle_write_kb"), (-F.col("stage_id")).alias("neg_stage")))
+    here = _ran_here("has_cartesian", "has_nested_loop_join").alias("here")
+    worst = F.max(F.struct(here, F.col("shuffle_write_kb"), (-F.col("stage_id")).alias("neg_stage")))
     per_sql = (
         looped.groupBy("app_id", "sql_id")
         .agg(
@@ -204,15 +234,17 @@ def single_task_stage(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
 
 
 def spill_ranking(t: Tables, th: Thresholds = DEFAULT) -> DataFrame:
-    """All stages that spilled, ranked per application by how much."""
+    """All stages that spilled, ranked per application by how much, with the nodes that did where they are known."""
     spilled = t["fact_stages"].filter(F.col("memory_spill_kb") + F.col("disk_spill_kb") > 0)
-    ranked = rank_stages(spilled, "spill")
+    ranked = with_nodes(rank_stages(spilled, "spill"), t)
     evidence = _evidence(
         rank=_text(F.col("rank")),
         attempt_id=_text(F.col("attempt_id")),
         memory_spill_kb=_kb("memory_spill_kb"),
         disk_spill_kb=_kb("disk_spill_kb"),
+        spilling_nodes=F.array_join(F.array_sort("spilling_nodes"), ", "),
     )
+    evidence = F.map_filter(evidence, lambda _, value: value.isNotNull())
     severity = F.when(F.col("disk_spill_kb") > 0, "medium").otherwise("low")
     return _finding(ranked, "spill", severity, evidence)
 

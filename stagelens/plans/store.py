@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import path_exists
-from .telemetry import TABLES, conform
+from .telemetry import LOG_TABLES, TABLES, conform
 
 LOADS = "loads"
 
@@ -41,8 +41,8 @@ def _write(df: DataFrame, out: str, name: str, load_id: str) -> None:
 
 
 def load_tables(tables: Mapping[str, DataFrame], out: str, load_id: str) -> None:
-    """Write the six tables of some applications, then list them as loaded."""
-    for name in TABLES:
+    """Write the six tables of some applications, and what else event logs gave, then list them as loaded."""
+    for name in [*TABLES, *(n for n in LOG_TABLES if n in tables)]:
         _write(tables[name], out, name, load_id)
     listed = tables["dim_applications"].select("app_id", F.lit(time.time_ns()).alias("loaded_ns"))
     _write(listed, out, LOADS, load_id)
@@ -68,13 +68,17 @@ def other_loads(spark: SparkSession, out: str, load_id: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The six tables, whole applications only, each from its latest load."""
+    """The six tables, whole applications only, each from its latest load.
+
+    With ``fact_stage_nodes`` if any load has it.
+    """
     current = loads(spark, out)
     tables = {}
-    for name, schema in TABLES.items():
+    for name, schema in {**TABLES, **LOG_TABLES}.items():
         path = f"{out}/{name}"
         if not path_exists(spark, path):
-            tables[name] = spark.createDataFrame([], schema)
+            if name in TABLES:
+                tables[name] = spark.createDataFrame([], schema)
             continue
         stored = spark.read.schema(f"{schema}, load_id string").parquet(path)
         kept = stored.join(current, ["app_id", "load_id"], "left_semi")

@@ -17,6 +17,7 @@ from ..functions import series as se
 from ..operators.aggregates import order_stats
 from ..sources import event_log as el
 from ..sources import landing as ld
+from .nodes import stage_nodes
 
 TABLES = {
     "dim_applications": (
@@ -44,10 +45,18 @@ TABLES = {
     "map_jobs": "app_id string, job_id int, sql_id int, stage_ids string",
 }
 
+# What only event logs tell; the store keeps it where a load has it.
+LOG_TABLES = {
+    "fact_stage_nodes": (
+        "app_id string, sql_id int, stage_id int, attempt_id int, node_id int, parent_id int, node_name string, "
+        "rows_out bigint, spill_kb double"
+    ),
+}
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns by name, in contract order and type."""
-    types = [part.split() for part in TABLES[table].split(", ")]
+    types = [part.split() for part in {**TABLES, **LOG_TABLES}[table].split(", ")]
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in types])
 
 
@@ -414,13 +423,12 @@ def _log_stages(events: DataFrame) -> DataFrame:
     """All stages a job planned; skipped ones have neither times nor tasks' totals."""
     by = ["app_id", "stage_id", "attempt_id"]
     fields = ["Stage ID", "Stage Attempt ID", "Number of Tasks", "Submission Time", "Completion Time"]
-    planned = el.events_of(events, "job_start").select(
-        "app_id", F.explode("`Stage Infos`").alias("s")
-    )
+    listed = el.events_of(events, "job_start").select("app_id", F.explode("`Stage Infos`").alias("s"))
+    planned = listed.select("app_id", *[F.col("s")[f].alias(f) for f in fields])
     ran = el.events_of(events, "stage_submitted", "stage_completed").select(
-        "app_id", F.col("`Stage Info`").alias("s")
+        "app_id", *[F.col("`Stage Info`")[f].alias(f) for f in fields]
     )
-    sid, attempt, n_tasks, start, end = [F.col("s")[f] for f in fields]
+    sid, attempt, n_tasks, start, end = [F.col(f"`{f}`") for f in fields]
     seen = (
         planned.unionByName(ran)
         .groupBy("app_id", sid.alias("stage_id"), F.coalesce(attempt, F.lit(0)).alias("attempt_id"))
@@ -552,8 +560,8 @@ def _log_metrics(events: DataFrame) -> DataFrame:
     )
 
 
-def tables_from_events(events: DataFrame) -> dict[str, DataFrame]:
-    """Six tables from parsed events, completed applications only."""
+def tables_from_events(events: DataFrame, with_nodes: bool = False) -> dict[str, DataFrame]:
+    """Six tables from parsed events, completed applications only; ``with_nodes`` adds ``fact_stage_nodes``."""
     apps = _log_applications(events)
     ids = apps.select("app_id")
     tables: Mapping[str, DataFrame] = {
@@ -562,19 +570,21 @@ def tables_from_events(events: DataFrame) -> dict[str, DataFrame]:
         "dim_sql_plans": _log_sql_plans(events),
         "fact_hardware_metrics": _log_metrics(events),
         "map_jobs": _log_job_map(events),
+        **({"fact_stage_nodes": stage_nodes(events)} if with_nodes else {}),
     }
     done = {name: df.join(ids, "app_id", "left_semi") for name, df in tables.items()}
     return {name: conform(df, name) for name, df in {"dim_applications": apps, **done}.items()}
 
 
 def build_from_event_log(
-    spark: SparkSession, path: str, staged: bool = True, known: DataFrame | None = None
+    spark: SparkSession, path: str, staged: bool = True, known: DataFrame | None = None, with_nodes: bool = False
 ) -> dict[str, DataFrame]:
     """Six tables from a folder of event logs, the last attempt of each application.
 
     ``staged`` parses the text once into a columnar table in the shared folder;
     without it every table scans the text again, which suits small folders.
     ``known`` (``app_id``, such as ``store.loads``) names applications whose logs are not read.
+    ``with_nodes`` adds ``fact_stage_nodes``, by which rules tell the node at fault.
     """
     events = el.stage_event_log(spark, path, known=known) if staged else el.read_event_log(spark, path, known)
-    return tables_from_events(events)
+    return tables_from_events(events, with_nodes)

@@ -34,7 +34,8 @@ KINDS = {
 
 _STAGE = (
     "struct<`Stage ID`: int, `Stage Attempt ID`: int, `Number of Tasks`: int, "
-    "`Submission Time`: bigint, `Completion Time`: bigint>"
+    "`Submission Time`: bigint, `Completion Time`: bigint, "
+    "`Accumulables`: array<struct<`ID`: bigint, `Value`: string, `Metadata`: string>>>"
 )
 
 _EXECUTOR_METRICS = (
@@ -62,7 +63,7 @@ EVENT = (
     "`Executor ID` string, `Executor Info` struct<`Host`: string, `Total Cores`: int>, "
     "`Removed Reason` string, "
     "`Block Manager ID` struct<`Executor ID`: string, `Host`: string>, `Maximum Memory` bigint, "
-    "executionId int, description string, physicalPlanDescription string, "
+    "executionId int, description string, physicalPlanDescription string, sparkPlanInfo string, "
     "`time` bigint, errorMessage string"
 )
 

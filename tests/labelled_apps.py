@@ -32,6 +32,14 @@ def sort_merge(spark, data):
     tb.materialize(sales.join(customers.hint("merge"), "customer_id"))
 
 
+def sort_after_join(spark, data):
+    # the join's sorts are small, the sort of the copies is not
+    customers = tb.read_table(spark, f"{data}/customers")
+    joined = customers.join(customers.select("customer_id").hint("merge"), "customer_id")
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    tb.materialize(copies.repartition("copy").sortWithinPartitions("copy", "customer_id"))
+
+
 def broadcast(spark, data):
     sales, stores = tb.read_table(spark, f"{data}/sales"), tb.read_table(spark, f"{data}/stores")
     joined = sales.join(F.broadcast(stores), "store_id")
@@ -76,7 +84,9 @@ PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThre
 APPS = {
     "skew": (skew, PLAIN),
     "sort_merge": (sort_merge, {**PLAIN, "spark.shuffle.spill.numElementsForceSpillThreshold": "1000"}),
-    "broadcast": (broadcast, {}),
+    "sort_after_join": (sort_after_join, {**PLAIN, "spark.shuffle.spill.numElementsForceSpillThreshold": "1000"}),
+    # two tasks: their partial sums are small beside what the join's own stage reads
+    "broadcast": (broadcast, {"spark.sql.files.minPartitionNum": "2"}),
     "window": (window, {}),
     "pairs": (pairs, PLAIN),
     "single": (single, PLAIN),

@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 
 from stagelens.functions import plan_text as pt
-from stagelens.plans import mapping, report, rules
+from stagelens.plans import mapping, nodes, report, rules
+from stagelens.plans import store as st
 from stagelens.plans import telemetry as tel
 from stagelens.sources import event_log as el
 
@@ -25,7 +26,7 @@ def run_apps(tmp_path_factory, form, *names):
 
 @pytest.fixture(scope="module")
 def logged(spark, tmp_path_factory):
-    tables = tel.build_from_event_log(spark, run_apps(tmp_path_factory, "plain"))
+    tables = tel.build_from_event_log(spark, run_apps(tmp_path_factory, "plain"), with_nodes=True)
     return {n: df.checkpoint() for n, df in tables.items()}
 
 
@@ -61,6 +62,92 @@ def test_the_spill_is_ranked(logged, names):
     assert "sort_merge" in spilled
 
 
+def test_findings_stand_at_the_stage_of_their_node(logged, names):
+    joins = rules.spilling_sort_merge_join(logged).collect()
+    assert {names[r.app_id] for r in joins} == {"sort_merge"}
+    # without the nodes the join of the query is blamed for the spill of a later sort
+    plain = {n: df for n, df in logged.items() if n != "fact_stage_nodes"}
+    assert "sort_after_join" in {names[r.app_id] for r in rules.spilling_sort_merge_join(plain).collect()}
+    spilled = {names[r.app_id]: r.evidence for r in rules.spill_ranking(logged).collect()}
+    assert spilled["sort_after_join"]["spilling_nodes"] == "Sort"
+    assert all("spilling_nodes" not in r.evidence for r in rules.spill_ranking(plain).collect())
+
+
+def test_the_healthy_join_is_found_where_it_joins(logged, names):
+    found = [r for r in rules.healthy_broadcast_join(logged).collect() if names[r.app_id] == "broadcast"]
+    nodes_at = {(r.app_id, r.stage_id) for r in logged["fact_stage_nodes"].collect() if r.node_name == "BroadcastHashJoin"}
+    # not the stage that reads the small side to send it
+    assert found and {(r.app_id, r.stage_id) for r in found} <= nodes_at
+
+
+def test_nodes_hold_their_rows(logged, names):
+    rows = [r for r in logged["fact_stage_nodes"].collect() if names[r.app_id] == "sort_after_join"]
+    joins = {(r.rows_out, r.stage_id) for r in rows if r.node_name == "SortMergeJoin"}
+    assert {n for n, _ in joins} == {3000} and len(joins) == 1
+    sorts = [r for r in rows if r.node_name == "Sort" and r.spill_kb]
+    # the join's own sorts ran in its stage and did not spill
+    assert sorts and {r.stage_id for r in sorts}.isdisjoint({s for _, s in joins})
+    generated = {r.rows_out for r in rows if r.node_name == "Generate"}
+    assert generated == {120000}
+
+
+def test_the_store_keeps_nodes(spark, logged, tmp_path):
+    out = str(tmp_path / "store")
+    st.load_new(spark, logged, out, "first")
+    stored = st.read_store(spark, out)
+    assert stored["fact_stage_nodes"].count() == logged["fact_stage_nodes"].count() > 0
+    st.load_tables({n: logged[n] for n in tel.TABLES}, str(tmp_path / "plain"), "first")
+    assert set(st.read_store(spark, str(tmp_path / "plain"))) == set(tel.TABLES)
+
+
+def node(name, *children, **metrics):
+    counted = [{"name": n, "accumulatorId": i, "metricType": "sum"} for n, i in metrics.items()]
+    return {"nodeName": name, "children": list(children), "metrics": counted}
+
+
+def test_plan_trees_fall_into_parts():
+    tree = node("Join", node("Sort", node("Exchange", node("Scan", rows=3), written=2), spill=1),
+                node("InMemoryTableScan", node("Filter", rows=4)), node("ReusedExchange"), node("Subquery", node("Scan", rows=5)))
+    rows = nodes.tree_nodes(json.dumps(tree))
+    assert [(r["node_name"], r["parent_id"], r["part"]) for r in rows] == [
+        ("Join", None, 0), ("Sort", 0, 0), ("Exchange", 1, 2), ("Scan", 2, 2), ("InMemoryTableScan", 0, 0),
+        ("Filter", 4, 5), ("ReusedExchange", 0, 0), ("Subquery", 0, 7), ("Scan", 7, 7),
+    ]
+    assert rows[1]["metrics"] == [{"accumulator_id": 1, "name": "spill"}]
+    deep = node("Scan")
+    for _ in range(200):
+        deep = node("Project", deep)
+    assert len(nodes.tree_nodes(json.dumps(deep))) == 201
+    for text in ("", "not json", "[]", "null", "3", "[" * 100000):
+        assert nodes.tree_nodes(text) == []
+    assert nodes.tree_nodes("{}") == [{"node_id": 0, "parent_id": None, "part": 0, "node_name": "", "metrics": []}]
+
+
+def test_nodes_that_passed_no_row_are_tied_by_their_part(spark, tmp_path):
+    sql = "org.apache.spark.sql.execution.ui."
+    first = node("Guess", rows=99)
+    tree = node("SortMergeJoin", node("Sort", node("Exchange", node("Scan", **{"number of output rows": 3}), written=2), **{"spill size": 1}),
+                **{"number of output rows": 4})
+
+    def done(stage, *counters):
+        listed = [{"ID": i, "Name": "n", "Value": v, "Metadata": "sql"} for i, v in counters]
+        listed += [{"ID": 1, "Name": "internal.metrics.x", "Value": [], "Internal": True}]
+        return event("SparkListenerStageCompleted", Stage__Info={"Stage ID": stage, "Stage Attempt ID": 0, "Number of Tasks": 1, "Accumulables": listed})
+
+    lines = [
+        event("SparkListenerApplicationStart", App__Name="n", App__ID="n", Timestamp=1000),
+        event(sql + "SparkListenerSQLExecutionStart", executionId=0, description="q", physicalPlanDescription="(a)", time=1, sparkPlanInfo=first),
+        event(sql + "SparkListenerSQLAdaptiveExecutionUpdate", executionId=0, physicalPlanDescription="(b)", sparkPlanInfo=tree),
+        done(0, (3, "7"), (2, "50")), done(1, (1, "2048"), (2, "51")), done(2),
+        event(sql + "SparkListenerSQLExecutionStart", executionId=1, description="no tree", physicalPlanDescription="(c)", time=1),
+        event("SparkListenerApplicationEnd", Timestamp=9000),
+    ]
+    (tmp_path / "n").write_text("\n".join(lines))
+    tables = tel.build_from_event_log(spark, str(tmp_path), with_nodes=True)
+    got = {(r.stage_id, r.node_name): (r.rows_out, r.spill_kb) for r in tables["fact_stage_nodes"].collect()}
+    assert got == {(0, "Exchange"): (None, None), (0, "Scan"): (7, None), (1, "SortMergeJoin"): (0, None), (1, "Sort"): (None, 2.0)}
+
+
 def test_status_and_overview(logged, names):
     rows = {names[r.app_id]: r for r in rules.app_overview(logged).collect()}
     assert rows["failing"].final_status == "FAILED"
@@ -85,7 +172,7 @@ def test_skipped_stages_have_no_times(logged, names):
 
 def test_tables_follow_the_contract(logged):
     for name, df in logged.items():
-        assert ", ".join(f"{c} {k}" for c, k in df.dtypes) == tel.TABLES[name]
+        assert ", ".join(f"{c} {k}" for c, k in df.dtypes) == {**tel.TABLES, **tel.LOG_TABLES}[name]
 
 
 def test_rolled_compressed_logs_and_direct_scan(spark, tmp_path_factory):
