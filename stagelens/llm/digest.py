@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, span_hashes, text_buffer, text_or_empty, text_slices
+from .common import mixed, span_hashes, stored, text_buffer, text_or_empty, text_slices
 
 WINDOW = 64
 #: A feature is kept if it is the rarest of its neighbours in this many places of WINDOW.
@@ -22,6 +22,12 @@ HASHES = 5
 #: Features of one Bloom filter; the next one goes to a new filter.
 MOST_FEATURES = 128
 
+#: Documents are dealt into ranges of some RANGE_BYTES; so few ranges that their bounds fit everywhere.
+RANGE_BYTES = 64 << 20
+MOST_RANGES = 1 << 16
+#: Copies of one document leave a task in runs of at most this many.
+RUN = 4096
+
 # c * log2 c of a byte's count in whole numbers, so that sums are the same in any order;
 # a window's entropy is log2(WINDOW) less their sum, and a step of it 2 ** STEP of these
 _LOG = np.rint(np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]) * 4096).astype(np.int32)
@@ -178,54 +184,105 @@ def _level_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS, dtype=np.int32)), pa.array(total)], names=["level", "n"])
 
 
-def rarity_table(texts: DataFrame) -> np.ndarray:
-    """Rank of each entropy step over all texts, the rarest first; of ``LEVELS`` numbers whatever the corpus."""
+def level_counts(texts: DataFrame) -> np.ndarray:
+    """Windows of each entropy step over all texts; ``LEVELS`` numbers whatever the corpus."""
     counted = texts.select("text").mapInArrow(_level_counts, "level int, n long").groupBy("level").agg(F.sum("n").alias("n"))
     counts = np.zeros(LEVELS, np.int64)
     for row in counted.collect():
         counts[row["level"]] = row["n"]
+    return counts
+
+
+def _rarity(counts: np.ndarray) -> np.ndarray:
     rank = np.empty(LEVELS, np.uint8)
     rank[np.lexsort((np.arange(LEVELS), counts))] = np.arange(LEVELS)
     return rank
 
 
+def rarity_table(texts: DataFrame) -> np.ndarray:
+    """Rank of each entropy step over all texts, the rarest first."""
+    return _rarity(level_counts(texts))
+
+
 _DIGEST = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
-           ("near_edited", pa.float64()), ("near_next", pa.float64())]
+           ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n", pa.int64())]
 
 
-def _rows(doc_ids: list, texts: list[str], goes_on: list[bool], rarity: np.ndarray) -> list[dict]:
-    """Rows of all texts but the last, where the next one follows."""
+def _rows(doc_ids: list, texts: list[str], copies: list[int], rarity: np.ndarray) -> list[dict]:
+    """Rows of all documents but the last, each followed by the next one; many copies in several runs."""
     found = digests(pa.array(texts, pa.large_string()), rarity)
-    at = [i for i, on in enumerate(goes_on) if on]
-    halves = {i: len(texts[i]) // 2 for i in at}
-    edited = [texts[i][: len(texts[i]) - halves[i]] + texts[i + 1][: halves[i]] for i in at]
+    halves = [len(text) // 2 for text in texts]
+    edited = [text[: len(text) - half] + follower[:half] for text, half, follower in zip(texts, halves, texts[1:], strict=False)]
     changed = digests(pa.array(edited, pa.large_string()), rarity)
-    return [
-        {
+    out = []
+    for i, (new, other) in enumerate(zip(edited, changed, strict=True)):
+        row = {
             "doc_id": doc_ids[i], "n_chars": len(texts[i]), "edited_sha256": hashlib.sha256(new.encode()).hexdigest(),
             "fingerprint": written(*found[i]), "edited_fingerprint": written(*other),
             "near_edited": likeness(found[i], other), "near_next": likeness(found[i], found[i + 1]),
-        }
-        for i, new, other in zip(at, edited, changed, strict=True)
-    ]
+        }
+        out += [{**row, "n": min(RUN, copies[i] - done)} for done in range(0, copies[i], RUN)]
+    return out
 
 
 def _digests(rank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, last = rank.value, ([], [], [], [])
+        rarity = rank.value
+        # documents that wait for their next one, of one range: id, text, tie and number of copies
+        waiting, home = [], None
         for batch in batches:
             schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), *_DIGEST])
             for part in text_slices(batch, "text", 1 << 20):
-                # the row before goes first: this slice has its next document
-                rows = tuple(old + part.column(c).to_pylist() for old, c in zip(last, ("doc_id", "text", "home", "guest"), strict=True))
-                doc_ids, texts, homes, guests = rows
-                goes_on = [not g and a == b for g, a, b in zip(guests, homes, homes[1:], strict=False)]
-                yield pa.RecordBatch.from_pylist(_rows(doc_ids, texts, goes_on, rarity), schema)
-                last = tuple(r[-1:] for r in rows)
+                rows = []
+                for row in part.to_pylist():
+                    if row["home"] != home:
+                        # the range before ended in its guest
+                        rows += _rows(*_columns(waiting), rarity) if len(waiting) > 1 else []
+                        waiting, home = [], row["home"]
+                    same = waiting and not row["guest"] and _place(waiting[-1]) == _place(row)
+                    if same:
+                        waiting[-1]["n"] += row["n"]
+                    else:
+                        waiting.append(row)
+                if len(waiting) > 1:
+                    rows += _rows(*_columns(waiting), rarity)
+                    waiting = waiting[-1:]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
+def _columns(rows: list[dict]) -> tuple[list, list[str], list[int]]:
+    return [r["doc_id"] for r in rows], [r["text"] for r in rows], [r["n"] for r in rows]
+
+
+def _place(row: dict) -> tuple:
+    return _order(row["doc_id"]), row["_tie"]
+
+
+def _order(doc_id) -> tuple:
+    """Sorts as Spark does: null first, not-a-number last."""
+    if doc_id is None:
+        return (0,)
+    return (2,) if doc_id != doc_id else (1, doc_id)
+
+
+def _dealt(bounds):
+    """Range of each (id, tie) and its number of copies in the batch: 0 for all but the first of them."""
+
+    def deal(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for doc_ids, ties in batches:
+            places = [(_order(i), t) for i, t in zip(doc_ids.to_pylist(), ties.to_pylist(), strict=True)]
+            first: dict[tuple, int] = {}
+            copies = np.zeros(len(places), np.int64)
+            for at, place in enumerate(places):
+                copies[first.setdefault(place, at)] += 1
+            homes = np.array([max(bisect_right(bounds.value, place) - 1, 0) for place in places], np.int32)
+            yield pa.StructArray.from_arrays([pa.array(homes, pa.int32()), pa.array(copies)], names=["home", "n"])
+
+    return deal
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Digest of each whole text, and its likeness to an edited text's and to the next document's.
 
@@ -238,39 +295,47 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     texts ranks it. Windows that are the rarest of their neighbourhood often
     enough are the features, put into chained Bloom filters.
 
-    Documents are dealt into ranges of ids, one for each shuffle partition; the first
-    document of each range also goes, as a guest, to the end of the range
-    before, so every document meets its next one inside a task. Rows that share an
-    id stand in order of a hash of their text; a null id comes first; a null text
-    is empty, with an empty fingerprint; a single document is its own next. No
-    rows give no rows; other columns are ignored.
+    Documents are dealt into ranges of (id, hash of the text), more ranges the more
+    text there is; the first document of a range also goes, as a guest, to the
+    end of the range before, so every document meets its next one inside a task.
+    Ids may be of any type that sorts. Rows that share an id stand in order of a
+    hash of their text, so an id that many rows have, or null, is cut like any
+    other; rows that share id and text are one document here, whose row is returned
+    as often, and meet before they move. A null id comes first; a null text is
+    empty, with an empty fingerprint; a single document is its own next. No rows
+    give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    rank = spark.sparkContext.broadcast(rarity_table(rows))
-    ordered = rows.withColumn("_tie", F.xxhash64("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cuts = sorted({*docs.filter(F.col(doc_id).isNotNull()).approxQuantile(doc_id, [i / parts for i in range(1, parts)], 1 / (8 * parts))})
-    home = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(cuts, ids.fillna(-np.inf), "right")), "int")
-    placed = ordered.withColumn("home", home(F.col("doc_id").cast("double")))
-    firsts = placed.groupBy("home").agg(F.min(F.struct("doc_id", "_tie")).alias("first")).orderBy("home").collect()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    counts = level_counts(rows)
+    rank = spark.sparkContext.broadcast(_rarity(counts))
+
+    # ids and hashes only; at most MOST_RANGES of them come to the driver
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // RANGE_BYTES, 1)
+    cut = rows.select("doc_id", "_tie").distinct().repartitionByRange(min(ranges, MOST_RANGES), "doc_id", "_tie")
+    cut = stored(cut.withColumn("_part", F.spark_partition_id()), "ranges")
+    firsts = cut.groupBy("_part").agg(F.min(F.struct("doc_id", "_tie")).alias("first")).orderBy("_part").collect()
     if not firsts:
-        return docs.sparkSession.createDataFrame([], _output(rows))
-    before = {row["home"]: firsts[i - 1]["home"] for i, row in enumerate(firsts)}
-    moves = spark.createDataFrame([(r["first"]["doc_id"], r["first"]["_tie"], r["home"], before[r["home"]]) for r in firsts], _moves(rows))
-    same = placed.doc_id.eqNullSafe(moves._id) & (placed._tie == moves._t) & (placed.home == moves._h)
-    # one row for each range
-    guest = placed.join(F.broadcast(moves), same).dropDuplicates(["doc_id", "_tie", "home"])
-    guest = guest.select("doc_id", "text", "_tie", F.col("_to").alias("home"), F.lit(True).alias("guest"))
-    dealt = placed.select("doc_id", "text", "_tie", "home", F.lit(False).alias("guest")).unionByName(guest)
-    dealt = dealt.repartition(len(firsts), "home").sortWithinPartitions("home", "guest", "doc_id", "_tie")
-    return dealt.select("doc_id", "text", "home", "guest").mapInArrow(_digests(rank), _output(rows))
+        return spark.createDataFrame([], _output(rows))
+    starts = [(row["first"]["doc_id"], row["first"]["_tie"]) for row in firsts]
+    bounds = spark.sparkContext.broadcast([(_order(i), tie) for i, tie in starts])
+    # not run again behind the filter, on fewer rows
+    deal = F.arrow_udf(_dealt(bounds), "home int, n long", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    placed = rows.withColumn("_d", deal("doc_id", "_tie")).select("doc_id", "text", "_tie", "_d.home", "_d.n").filter("n > 0")
+
+    last = len(starts) - 1
+    moves = [(i, tie, home - 1 if home else last) for home, (i, tie) in enumerate(starts)]
+    moves = spark.createDataFrame(moves, f"_id {dict(rows.dtypes)['doc_id']}, _t long, _to int")
+    # one row a range, MOST_RANGES at most
+    guest = rows.join(F.broadcast(moves), rows.doc_id.eqNullSafe(moves._id) & (rows._tie == moves._t), "inner")
+    guest = guest.groupBy("_to").agg(F.min(F.struct("doc_id", "text", "_tie")).alias("g"))
+    guest = guest.select("g.*", F.col("_to").alias("home"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("guest"))
+    dealt = placed.withColumn("guest", F.lit(False)).unionByName(guest)
+    dealt = dealt.repartitionById(len(starts), F.col("home")).sortWithinPartitions("home", "guest", "doc_id", "_tie")
+    found = dealt.select("doc_id", "text", "_tie", "home", "n", "guest").mapInArrow(_digests(rank), f"{_output(rows)}, n long")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "n"))).drop("n", "_copy")
 
 
 def _output(rows: DataFrame) -> str:
     kind = dict(rows.dtypes)["doc_id"]
     return f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def _moves(rows: DataFrame) -> str:
-    return f"_id {dict(rows.dtypes)['doc_id']}, _t long, _h int, _to int"

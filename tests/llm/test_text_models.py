@@ -417,3 +417,29 @@ def test_predictions_of_empty_tables_and_ties(spark):
     found = predicted_languages(docs).collect()
     assert len(found) == 80 and len({(r["lang_pred"], r["score"]) for r in found}) == 1
     assert documents_in_a_language(docs).collect() == []
+
+
+def followed(rows):
+    """(id, text) -> the text that follows, rows that share id and text taken as one; a null id first."""
+    distinct = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or "", r[2]))
+    return {(i, t): distinct[(at + 1) % len(distinct)][1] for at, (i, t, _) in enumerate(distinct)}
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "double"])
+def test_fingerprints_with_ids_of_any_type_that_many_rows_share(spark, kind):
+    import hashlib
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(0, 300, 120)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]
+    rows = list(zip(ids, texts, strict=True)) + [(None, texts[0])] * 200 + [(7, texts[1])] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "1 as home")
+    wanted = followed([tuple(r) for r in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()])
+    got = fingerprints(docs).collect()
+    expected = Counter()
+    for r in docs.collect():
+        half = len(r["text"]) // 2
+        edited_text = r["text"][: len(r["text"]) - half] + wanted[(r["doc_id"], r["text"])][:half]
+        expected[(r["doc_id"], len(r["text"]), hashlib.sha256(edited_text.encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == expected
