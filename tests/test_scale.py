@@ -7,7 +7,7 @@ from conftest import plan_of
 
 from pyspark.sql import functions as F
 
-from stagelens.catalog import landed, views
+from stagelens.catalog import landed, telemetry, views
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +65,17 @@ def test_long_lines_of_logs_are_not_sorted(spark, made):
     plan = plan_of(ends)
     # the line is made above the only sort, and nothing moves
     assert plan.count("Sort [") == 1 and plan.index(" AS value#") < plan.index("Sort [") and "Exchange" not in plan
+
+
+def test_the_store_is_offered_written_tables(spark, made, monkeypatch):
+    read = []
+    load = telemetry.st.load_tables
+
+    def seen(tables, out, load_id):
+        read.extend(f for df in tables.values() for f in df.inputFiles())
+        load(tables, out, load_id)
+
+    monkeypatch.setattr(telemetry.st, "load_tables", seen)
+    rows = telemetry.QUERIES["store_roundtrip"].run(spark, made).collect()
+    # neither load derives a table from the line items or events again
+    assert len(rows) == 41 and read and not [f for f in read if made in f]
