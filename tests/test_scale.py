@@ -1,5 +1,6 @@
 """Steps that must grow no faster than their input: what is written, moved and asked for."""
 
+import json
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from stagelens.catalog import landed, telemetry, views
+from stagelens.sources import landing as ld
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +81,22 @@ def test_the_store_is_offered_written_tables(spark, made, monkeypatch):
     rows = telemetry.QUERIES["store_roundtrip"].run(spark, made).collect()
     # neither load derives a table from the line items or events again
     assert len(rows) == 41 and read and not [f for f in read if made in f]
+
+
+def test_records_outside_folders_meet_a_batch_by_join(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "stages"
+    folder.mkdir()
+    (folder / "all.json").write_text("\n".join(json.dumps({"app_id": f"a{i % 900}", "stageId": i}) for i in range(1800)))
+    asked = []
+    exists = ld.path_exists
+    monkeypatch.setattr(ld, "path_exists", lambda s, p: asked.append(p) or exists(s, p))
+    some = [f"a{i}" for i in range(0, 900, 2)]
+    found = ld.read_stages(spark, str(tmp_path), "lines", [*some, "a0", None, "other"])
+    # the first application tells that there are no folders
+    assert len(asked) == 2
+    plan = plan_of(found)
+    assert "LeftSemi" in plan and " IN " not in plan and "INSET" not in plan
+    rows = found.collect()
+    assert sorted(r.stageId for r in rows) == list(range(0, 1800, 2)) and {r.app_id for r in rows} == set(some)
+    assert found.columns[0] == "app_id" and found.columns[-1] == "position"
+    assert ld.read_stages(spark, str(tmp_path), "lines", []).collect() == []
