@@ -90,8 +90,9 @@ def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np
         own = np.repeat(rank_of, counts)
         rank = np.full(len(symbols) + 1, len(pairs), np.int32)
         rank[place + 1] = own
-        ahead = (own < rank[place]) & (own < rank[place + 2])
-        place, own = place[ahead], own[ahead]
+        # compared in order of place: reading ranks at scattered places costs more
+        place = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] < rank[2:]))
+        own = rank[place + 1]
         uses = np.bincount(own, minlength=len(pairs))
         used = uses >= np.where(has_rule[order], 1, fewest)
         place, own = place[used[own]], own[used[own]]
