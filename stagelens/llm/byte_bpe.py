@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import pre_tokenizers
 
-from .common import SLICE_BYTES, binary_slices, pieces_array, text_buffer
+from .common import SLICE_BYTES, binary_slices, pieces_array, span_hashes, text_buffer
 
 #: Distinct words a worker remembers before it starts its memory anew.
 REMEMBERED = 1 << 21
@@ -166,21 +166,49 @@ def word_ids(words: pa.Array, path: str) -> pa.Array:
     return found.take(pa.array(back))
 
 
-_MEMORY: dict[str, tuple[pa.Array, pa.Array]] = {}
+# words and their ids; the words' hashes in order, and which word each one is
+_MEMORY: dict[str, tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]] = {}
+
+
+def _places(words: pa.Array, own: np.ndarray, known: pa.Array, hashes: np.ndarray, holder: np.ndarray) -> np.ndarray:
+    """Where in ``known`` each word is, -1 if it isn't; what has a word's hash is compared with the word."""
+    at = np.full(len(words), -1, np.int64)
+    by_hash = np.argsort(own)
+    slot = np.searchsorted(hashes, own[by_hash])
+    hit = np.flatnonzero(np.append(hashes, np.uint64(0))[slot] == own[by_hash])
+    hit = hit[slot[hit] < len(hashes)]
+    at[by_hash[hit]] = holder[slot[hit]]
+    hit = np.flatnonzero(at >= 0)
+    alike = pc.equal(known.take(pa.array(at[hit])), words.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+    at[hit[~alike]] = -1
+    return at
 
 
 def remembered_ids(words: pa.Array, path: str) -> pa.Array:
-    """``word_ids`` of distinct words; a worker asks the library for those it has not met, and keeps a bounded number."""
-    nothing = (pa.array([], pa.large_string()), pa.array([], pa.large_binary()))
-    known, ids = _MEMORY.get(path, nothing)
-    at = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
-    new = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(words), bool)
+    """``word_ids`` of distinct words; a worker asks the library for those it has not met, and keeps a bounded number.
+
+    Known words are found by hashes kept in order, as a table of them made anew for each call costs more the more are known.
+    """
+    words = words.cast(pa.large_string())
+    nothing = (pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    known, ids, hashes, holder = _MEMORY.get(path, nothing)
+    raw, starts = text_buffer(words)
+    own = span_hashes(raw, starts[:-1], starts[1:])
+    at = _places(words, own, known, hashes, holder)
+    new = at < 0
     if new.any():
         fresh = words.filter(pa.array(new))
+        at[new] = np.arange(len(known), len(known) + len(fresh))
         known, ids = pa.concat_arrays([known, fresh]), pa.concat_arrays([ids, word_ids(fresh, path)])
-        at[new] = np.arange(len(known) - int(new.sum()), len(known))
-    found = ids.take(pa.array(at.astype(np.int64)))
-    _MEMORY[path] = (known, ids) if len(known) <= REMEMBERED else (words, found)
+        more = np.flatnonzero(new)
+        more = more[np.argsort(own[more])]
+        where = np.searchsorted(hashes, own[more])
+        hashes, holder = np.insert(hashes, where, own[more]), np.insert(holder, where, at[more])
+    found = ids.take(pa.array(at))
+    if len(known) > REMEMBERED:
+        holder = np.argsort(own)
+        known, ids, hashes = words, found, own[holder]
+    _MEMORY[path] = (known, ids, hashes, holder)
     return found
 
 

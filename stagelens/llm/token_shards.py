@@ -25,23 +25,35 @@ FEWEST = 2
 #: Every so many symbols of a block, the position of the next id is stored.
 ANCHOR = 256
 
+_STIR = np.uint64(0x9E3779B97F4A7C15)
+
 FORMAT = (
     "shard int, block int, before long, n_ids long, doc_ids array<{doc_id}>, lengths array<int>, terminals int, "
     "rules binary, expansion binary, symbols binary, anchors binary"
 )
 
 
-def _pairs_in_order(symbols: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys, ``bits`` a symbol, of the pairs that start at ``at``, and where each one starts."""
-    key = (symbols[at].astype(np.uint64) << np.uint64(bits)) | symbols[at + 1]
-    low = len(symbols).bit_length()
+def _pairs_in_order(key: np.ndarray, at: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, ``bits`` a symbol, of the pairs that start at ``at`` in ``size`` symbols, and where each one starts."""
+    low = size.bit_length()
     if 2 * bits + low > 64:
         order = np.argsort(key, kind="stable")
         return key[order], at[order]
     # sorted with their places in the low bits, which is faster than sorting places
-    key = (key << np.uint64(low)) | at.astype(np.uint64)
+    key = (key << np.uint64(low)) | at.view(np.uint64)
     key.sort()
-    return key >> np.uint64(low), (key & np.uint64((1 << low) - 1)).astype(np.int64)
+    place = (key & np.uint64((1 << low) - 1)).view(np.int64)
+    key >>= np.uint64(low)
+    return key, place
+
+
+def _may_be_often(key: np.ndarray, known: np.ndarray, fewest: int) -> np.ndarray:
+    """Is a pair possibly one with ``fewest`` places or a rule? Told by counts of hashes, so some others pass too."""
+    shift = np.uint64(64 - max(len(key).bit_length(), 8))
+    slot = ((key * _STIR) >> shift).view(np.int64)
+    counts = np.bincount(slot, minlength=1 << (64 - int(shift)))
+    counts[((known * _STIR) >> shift).view(np.int64)] = fewest
+    return (counts >= fewest)[slot]
 
 
 def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np.ndarray]:
@@ -58,19 +70,38 @@ def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np
     known, named = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # pairs with a rule, in order, and their nonterminals
     # where a pair starts that can still be replaced: only pairs with a symbol written in the last round ever get more places
     live = np.ones(len(symbols), bool)
+    rare = False  # were many of the last round's places of pairs that are not replaced?
     while True:
         live[-1:] = False
         at = np.flatnonzero(live)
-        same = np.flatnonzero(symbols[at] == symbols[at + 1])
+        left, right = symbols[at], symbols[at + 1]
+        same = np.flatnonzero(left == right)
         if len(same):
             # in a run of one symbol every other place overlaps the one before
             run = at[same]
             starts = np.where(np.diff(run, prepend=-2) > 1, np.arange(len(run)), 0)
-            at = np.delete(at, same[(run - run[np.maximum.accumulate(starts)]) % 2 == 1])
+            lost = same[(run - run[np.maximum.accumulate(starts)]) % 2 == 1]
+            if len(lost):
+                kept = np.ones(len(at), bool)
+                kept[lost] = False
+                kept = np.flatnonzero(kept)
+                at, left, right = at[kept], left[kept], right[kept]
         if len(at) < fewest:
             break
         bits = (top - 1).bit_length()
-        key, place = _pairs_in_order(symbols, at, bits)
+        key = left.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= right
+        if rare and len(at) > len(known):
+            kept = _may_be_often(key, known, fewest)
+            live[at[np.flatnonzero(~kept)]] = False
+            kept = np.flatnonzero(kept)
+            at, key = at[kept], key[kept]
+            if not len(at):
+                break
+        if bits < 32:
+            key = ((key >> np.uint64(32)) << np.uint64(bits)) | (key & np.uint64(0xFFFFFFFF))
+        key, place = _pairs_in_order(key, at, bits, len(symbols))
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(first, append=len(key))
         pairs = key[first]
@@ -80,8 +111,10 @@ def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np
         often = (counts >= fewest) | has_rule
         if not often.any():
             break
-        live[place[np.repeat(~often, counts)]] = False
-        place = place[np.repeat(often, counts)]
+        kept = np.repeat(often, counts)
+        live[place[np.flatnonzero(~kept)]] = False
+        place = place[np.flatnonzero(kept)]
+        rare = rare or 5 * len(place) < 4 * len(kept)
         pairs, counts, slot, has_rule = pairs[often], counts[often], slot[often], has_rule[often]
         # ties in order of a hash, so that a long passage is halved in a few rounds
         order = np.argsort((mixed(pairs) >> np.uint64(32)).astype(np.int64) - (counts << 32))
@@ -106,7 +139,7 @@ def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np
         if again.any():
             written = np.zeros(top + len(new), bool)
             written[name[again]] = True
-            touched = np.concatenate([place, np.flatnonzero(written[symbols])])
+            touched = np.concatenate([place, np.flatnonzero(written.take(symbols))])
         live[touched] = live[np.maximum(touched - 1, 0)] = True
         top += len(new)
         by_pair = np.argsort(new)
@@ -114,16 +147,29 @@ def compress(ids: np.ndarray, fewest: int = FEWEST) -> tuple[int, np.ndarray, np
         known, named = np.insert(known, at, new[by_pair]), np.insert(named, at, name[fresh][by_pair])
         kept = np.ones(len(symbols), bool)
         kept[place + 1] = False
+        if 8 * len(place) > len(symbols):
+            kept = np.flatnonzero(kept)  # faster than a mask where many symbols go
         symbols, live = symbols[kept], live[kept]
     return terminals, np.concatenate(rules), symbols
 
 
 def expansion_lengths(terminals: int, rules: np.ndarray) -> np.ndarray:
     """Ids each nonterminal stands for."""
-    size = [1] * terminals
-    for a, b in rules.tolist():
-        size.append(size[a] + size[b])
-    return np.array(size[terminals:], np.int64)
+    size = np.concatenate([np.ones(terminals, np.int64), np.zeros(len(rules), np.int64)])
+    open_ = np.arange(len(rules))
+    for _ in range(64):
+        # rules of one round stand on those of earlier rounds, so few passes settle them
+        both = size[rules[open_]]
+        done = both.all(1)
+        size[terminals + open_[done]] = both[done].sum(1)
+        open_ = open_[~done]
+        if not len(open_):
+            return size[terminals:]
+    sizes = size.tolist()
+    for i in open_.tolist():
+        a, b = rules[i].tolist()
+        sizes[terminals + i] = sizes[a] + sizes[b]
+    return np.array(sizes[terminals:], np.int64)
 
 
 def expand(symbols: np.ndarray, terminals: int, rules: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:

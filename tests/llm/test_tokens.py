@@ -8,12 +8,13 @@ import pyarrow as pa
 import pytest
 from helpers import by_id, no_documents, odd_documents
 
+from stagelens.llm import byte_bpe, token_shards
 from stagelens.llm.bpe_words import encode_and_decode
-from stagelens.llm.byte_bpe import cut_words, encoded_texts, tokenizer
+from stagelens.llm.byte_bpe import cut_words, encoded_texts, remembered_ids, tokenizer, word_ids
 from stagelens.llm.common import text_buffer
 from stagelens.llm.queries import QUERIES
 from stagelens.llm.token_count import count_tokens, RUN, merged_counts, piece_table
-from stagelens.llm.token_shards import _block, compress, expand, read_range, read_token_shards, write_token_shards
+from stagelens.llm.token_shards import _block, compress, expand, expansion_lengths, read_range, read_token_shards, write_token_shards
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
@@ -117,6 +118,39 @@ def test_grammar_leaves_no_pair_twice():
         assert len({tuple(r) for r in rules.tolist()}) == len(rules)
 
 
+def test_most_pairs_of_one_place_are_not_sorted(monkeypatch):
+    ids = np.random.default_rng(5).zipf(1.2, 100000).clip(0, 50000).astype(np.uint32)
+    want, sort, sizes = compress(ids), token_shards._pairs_in_order, []
+    monkeypatch.setattr(token_shards, "_pairs_in_order", lambda *a: sizes.append(len(a[1])) or sort(*a))
+    compress(ids)
+    fewer = sum(sizes)
+    monkeypatch.setattr(token_shards, "_may_be_often", lambda key, *_: np.ones(len(key), bool))
+    sizes.clear()
+    assert all(np.array_equal(a, b) for a, b in zip(compress(ids), want, strict=True))
+    assert fewer < 0.9 * sum(sizes)
+
+
+@pytest.mark.parametrize("depth", [5, 500])
+def test_lengths_of_chained_rules(depth):
+    rules = np.array([(0, 1)] + [(2 + i, 0) for i in range(depth)])
+    assert expansion_lengths(2, rules).tolist() == list(range(2, depth + 3))
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_known_words_are_found_without_a_new_table(monkeypatch, alike):
+    monkeypatch.setattr(byte_bpe, "_MEMORY", {})
+    monkeypatch.setattr(byte_bpe.pc, "index_in", None)
+    if alike:  # words of one hash
+        monkeypatch.setattr(byte_bpe, "span_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    for words in (["a", " the", "", "日本"], [" the", "b", "\n", "a"], ["b", "zebra", "日本", "a"], []):
+        words = pa.array(words, pa.large_string())
+        assert remembered_ids(words, BYTE).equals(word_ids(words, BYTE))
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
+    for words in (["c", "a"], ["a", "d", "e"], ["e", "c", "a"]):
+        words = pa.array(words, pa.large_string())
+        assert remembered_ids(words, BYTE).equals(word_ids(words, BYTE))
+
+
 def expected_shards(library, rows):
     at, out = 0, {}
     for doc_id, text in rows:
