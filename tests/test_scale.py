@@ -3,12 +3,14 @@
 import json
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import plan_of
 
 from pyspark.sql import functions as F
 
 from stagelens.catalog import landed, telemetry, views
+from stagelens.sources import event_log
 from stagelens.sources import landing as ld
 
 
@@ -50,6 +52,21 @@ def test_written_tasks_of_an_application_lie_together(spark, made):
     assert sorted(map(str, written.collect())) == sorted(map(str, views.tasks(spark, made).collect()))
 
 
+def test_line_items_move_before_they_become_tasks(spark, made, monkeypatch):
+    plans = []
+    monkeypatch.setattr(views, "write_table", lambda df, path: plans.append(plan_of(df)))
+    monkeypatch.setattr(views, "read_table", lambda spark, path: None)
+    views.written_tasks(spark, made)
+    # the tasks' columns are made above the only exchange
+    assert plans[0].count("Exchange ") == 1 and plans[0].index(" AS shuffle_write_bytes#") < plans[0].index("Exchange ")
+
+
+def test_staged_events_are_stored_tightly(spark, made, tmp_path):
+    event_log.stage_event_log(spark, landed.write_event_log(spark, made), str(tmp_path / "events"))
+    files = list((tmp_path / "events").rglob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
 def test_logs_are_compressed_and_hold_all_events(spark, made):
     path = Path(landed.write_event_log(spark, made))
     text = spark.read.text(str(path))
