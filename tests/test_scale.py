@@ -10,6 +10,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from stagelens.catalog import landed, telemetry, views
+from stagelens.operators.aggregates import select_rank, value_counts
 from stagelens.sources import event_log
 from stagelens.sources import landing as ld
 
@@ -67,6 +68,18 @@ def test_staged_events_are_stored_tightly(spark, made, tmp_path):
     assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
 
 
+def test_counts_of_single_values_are_not_summed_again(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("k"), (F.col("id") * 7919 % 3001).alias("v"))
+    counts = value_counts(rows, ["k"], "v")
+    found = select_rank(counts, ["k"], F.floor(F.col("_n") / F.lit(2)))
+    # only the rows of a group are summed, in two steps
+    assert plan_of(found).count("HashAggregate(") == 2
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.k, []).append(r.v)
+    assert {r.k: (r.lo, r.mid, r.hi) for r in found.collect()} == {k: (min(v), sorted(v)[len(v) // 2], max(v)) for k, v in want.items()}
+
+
 def test_logs_are_compressed_and_hold_all_events(spark, made):
     path = Path(landed.write_event_log(spark, made))
     text = spark.read.text(str(path))
