@@ -3,6 +3,7 @@
 import json
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import plan_of
@@ -10,7 +11,9 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from stagelens.catalog import landed, telemetry, views
+from stagelens.functions import plan_text
 from stagelens.operators.aggregates import select_rank, value_counts
+from stagelens.plans import nodes
 from stagelens.sources import event_log
 from stagelens.sources import landing as ld
 
@@ -130,3 +133,90 @@ def test_records_outside_folders_meet_a_batch_by_join(spark, tmp_path, monkeypat
     assert sorted(r.stageId for r in rows) == list(range(0, 1800, 2)) and {r.app_id for r in rows} == set(some)
     assert found.columns[0] == "app_id" and found.columns[-1] == "position"
     assert ld.read_stages(spark, str(tmp_path), "lines", []).collect() == []
+
+
+def test_orders_are_dealt_to_applications_in_whole_numbers(spark, tmp_path):
+    keys = [-1501, -1500, -751, -750, -749, -31, -30, -1, 0, 29, 30, 748, 749, 750, 1499, 9 * 10**15, None]
+    item = "k as l_orderkey, 7 as l_linenumber, 10.5d as l_extendedprice, 3d as l_quantity, 0.1d as l_discount, 0.1d as l_tax, 'R' as l_returnflag"
+    spark.createDataFrame([(k,) for k in keys], "k bigint").selectExpr(*item.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for derived in (views.tasks(spark, str(tmp_path)), views.written_tasks(spark, str(tmp_path))):
+        want = spark.sql(views.TASKS_SQL.replace("from lineitem", "from {src}"), src=spark.read.parquet(str(tmp_path / "lineitem.parquet")))
+        assert derived.dtypes == want.dtypes
+        assert sorted(map(str, derived.collect())) == sorted(map(str, want.collect()))
+    assert "decimal" not in plan_of(views.tasks(spark, str(tmp_path)))
+
+
+def test_staged_task_ends_hold_their_own_fields(spark, made, tmp_path):
+    path = landed.write_event_log(spark, made)
+    staged, read = event_log.stage_event_log(spark, path, str(tmp_path / "events")), event_log.read_event_log(spark, path)
+    assert staged.schema.simpleString() == read.schema.simpleString()
+    columns = [c for c in read.columns if c != "place"]
+    for family in ("tasks", "rest"):
+        a, b = (sorted(map(str, df.filter(F.col("family") == family).select(*columns).collect())) for df in (staged, read))
+        assert a and a == b
+    # nothing of other events is stored for a task, and a step reads one of the two folders
+    task = next((tmp_path / "events" / "family=tasks").glob("*.parquet"))
+    assert pq.read_table(task, columns=["e"])["e"].null_count == pq.ParquetFile(task).metadata.num_rows
+    for kind in ("task_end", "job_end"):
+        plan = plan_of(event_log.events_of(staged, kind).select("app_id", F.col("`Task Info`.`Executor ID`")))
+        assert plan.count("FileScan") == 1 and "JVMHeapMemory" not in plan
+
+
+def test_small_logs_share_a_task(spark, made, monkeypatch):
+    path = landed.write_event_log(spark, made)
+    size = sum(f.stat().st_size for f in Path(path).rglob("part-*"))
+    monkeypatch.setattr(event_log, "TASKS_A_CORE", 0)
+    monkeypatch.setattr(event_log, "TASK_BYTES", size // 2)
+    lines = event_log._log_lines(spark, path, None)
+    assert lines.rdd.getNumPartitions() == 2 and lines.filter("kind = 'task_end'").count() == 20000
+
+
+def test_lines_are_told_with_and_without_the_pattern(spark):
+    lines = {
+        '{"Event":"SparkListenerTaskEnd","Stage ID":1}': "task_end",
+        ' { "Event" : "SparkListenerTaskEnd"}': "task_end",
+        '{"Event":"SparkListenerTaskEndOther"}': None,
+        '{"Event":"SparkListenerJobEnd"}': "job_end",
+        '{"X":1,"Event":"SparkListenerTaskEnd"}': None,
+        "": None,
+    }
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", event_log._event_kind(F.col("line")).alias("kind"))
+    assert {r.line: r.kind for r in got.collect()} == lines
+
+
+def test_plans_are_walked_many_a_batch(monkeypatch):
+    tree = json.dumps({"nodeName": "Sort", "children": [{"nodeName": "Exchange", "children": [], "metrics": []}], "metrics": []})
+    plans = pa.RecordBatch.from_pylist([{"app_id": f"a{i}", "sql_id": i, "info": tree} for i in range(300)])
+    found = list(nodes._walk(iter([plans])))
+    assert len(found) == 1 and found[0].num_rows == 600
+    monkeypatch.setattr(nodes, "NODES_A_BATCH", 100)
+    assert [b.num_rows for b in nodes._walk(iter([plans]))] == [100] * 6 + [0]
+
+
+def test_findings_read_stages_once(spark, made):
+    found = landed.node_findings(spark, made)
+    # stages and the nodes that ran in them are read as written; plans and jobs come from the rest of the events
+    plan = plan_of(found)
+    assert "value-counts" not in plan and "plan-nodes" not in plan and plan.count("/stage-nodes-") == 2
+    assert found.count() > 0
+
+
+def test_groups_of_few_values_are_ordered_at_once(spark):
+    rows = [("few", v * 2**30) for v in (5, -3, 5, 5, 11, 8)] + [(None, 2**40), (None, 1), ("two", 7), ("two", 9)]
+    counts = value_counts(spark.createDataFrame(rows, "k string, v bigint"), ["k"], "v")
+    half = F.floor(F.col("_n") / F.lit(2))
+    plan = plan_of(select_rank(counts, ["k"], half, digit=3))
+    assert "Join" not in plan and plan.count("Window [") == 1
+    more = rows + [("many", v * 77) for v in range(-40, 61)] + [("edge", v) for v in range(8)]
+    counts = value_counts(spark.createDataFrame(more, "k string, v bigint"), ["k"], "v")
+    want = {}
+    for k, v in more:
+        want.setdefault(k, []).append(v)
+    got = select_rank(counts, ["k"], half, digit=3)
+    assert {r.k: (r.lo, r.mid, r.hi) for r in got.collect()} == {k: (min(v), sorted(v)[len(v) // 2], max(v)) for k, v in want.items()}
+
+
+def test_plans_without_a_window_have_none_to_partition(spark):
+    texts = ["", "Sort\n+- Exchange SinglePartition", "Window\n+- Exchange SinglePartition", "WindowGroupLimit\n+- Exchange SinglePartition"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", plan_text.has_unpartitioned_window(F.col("t")).alias("w"))
+    assert {r.t: r.w for r in found.collect()} == dict(zip(texts, [False, False, True, False], strict=True))
