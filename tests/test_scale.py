@@ -220,3 +220,10 @@ def test_plans_without_a_window_have_none_to_partition(spark):
     texts = ["", "Sort\n+- Exchange SinglePartition", "Window\n+- Exchange SinglePartition", "WindowGroupLimit\n+- Exchange SinglePartition"]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", plan_text.has_unpartitioned_window(F.col("t")).alias("w"))
     assert {r.t: r.w for r in found.collect()} == dict(zip(texts, [False, False, True, False], strict=True))
+
+
+def test_tasks_are_read_once_for_stages_jobs_and_applications(spark, made):
+    _, rest = landed.event_lines(spark, made)
+    plan = plan_of(rest)
+    # executors come from the tasks, all else from the stages
+    assert plan.count("/tasks-") == 1 and plan.count("/stage-info-") == 4
